@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from flowloom.sources import scratch
 
-
 PARAMETERS = ["pos", "feature", "mean", "std_pop", "scale"]
 
 
@@ -105,6 +104,7 @@ def fit_folds(df, columns, fold="fold"):
     )
     held = part.select(F.col("_f").alias(fold), "feature")
     pairs = part.join(held, "feature").filter(F.col("_f") != F.col(fold))
+    centre = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
     merged = pairs.groupBy(fold, "pos", "feature").agg(
         F.sum("n").alias("rows"), centre.alias("mean"),
         F.collect_list(F.struct("n", "mean", "m2")).alias("_parts"),

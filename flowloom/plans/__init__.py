@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["cleaning"]
+GROUPS = ["cleaning", "sampling", "scoring"]
 
 
 def load():
