@@ -110,8 +110,10 @@ def propagate(nodes, edges, key, columns, hops=1):
     """Symmetric-normalised propagation with self-loops, ``hops`` times.
 
     A row becomes the sum over incoming edges i->j of x_i / sqrt(d_i d_j) plus
-    x_j / d_j, where d is the in-degree plus one.
+    x_j / d_j, where d is the in-degree plus one. A self-loop among the edges
+    is not counted twice.
     """
+    edges = edges.filter(F.col("src") != F.col("dst"))
     kept = [c for c in nodes.columns if c not in columns]
     degree = edges.groupBy(F.col("dst").alias(key)).agg((F.count(F.lit(1)) + 1).alias("_d"))
     current = nodes.join(degree, key, "left").withColumn(

@@ -133,3 +133,34 @@ def sorted_ordinal(df, order_by, per=(), name="ordinal", partitions=None):
         .withColumn(name, F.col("_start") + F.col("_at") - F.col("_first"))
         .select(*df.columns, name)
     )
+
+
+def top_n(df, score, n, key, steps=1_000_000, small=100_000):
+    """The n rows with the largest score, ties to the smaller key, for any n.
+
+    A short list is taken with a bounded heap per task. A long one is cut at
+    the score's histogram: rows above the cut step are in, only the rows of
+    that one step are put in order. NULL scores come last.
+    """
+    order = [F.col(score).desc_nulls_last(), *[F.col(k) for k in _key(key)]]
+    if n <= small:
+        return df.orderBy(*order).limit(n)
+    ends = df.agg(F.min(score), F.max(score)).first()
+    low, high = (float(e) if e is not None else 0.0 for e in ends)
+    width = (high - low) / steps or 1.0
+    step = F.coalesce(F.floor((F.col(score) - low) / width), F.lit(-1)).cast("long")
+    placed = df.withColumn("_step", step)
+    counts = placed.groupBy("_step").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.orderBy(F.col("_step").desc()))
+    cut = (
+        counts.withColumn("_upto", upto)
+        .filter(F.col("_upto") >= n)
+        .orderBy(F.col("_step").desc())
+        .first()
+    )
+    if cut is None:
+        return df
+    missing = n - (cut["_upto"] - cut["_c"])
+    above = placed.filter(F.col("_step") > cut["_step"]).drop("_step")
+    edge = sorted_ordinal(placed.filter(F.col("_step") == cut["_step"]).drop("_step"), order, (), "_at")
+    return above.unionByName(edge.filter(F.col("_at") < missing).drop("_at"))

@@ -67,12 +67,11 @@ def pad_zero(df, width, n=10, name="buffer"):
 
 def buffer_mean(name, width):
     """Mean vector of an array of vectors."""
-    return F.array(
-        *[
-            F.aggregate(name, F.lit(0.0), lambda s, x, i=i: s + x[i]) / F.size(name)
-            for i in range(width)
-        ]
-    )
+
+    def mean(i):
+        return F.aggregate(name, F.lit(0.0), lambda s, x: s + x[i]) / F.size(name)
+
+    return F.array(*[mean(i) for i in range(width)])
 
 
 def pad_mean(df, width, n=10, name="buffer"):
@@ -98,8 +97,3 @@ def equal_steps(df, width, steps=10, features="features", name="steps"):
             lambda i: F.slice(F.col(features), i * size + 1, size),
         ),
     )
-
-
-def top_k(df, score, k, tie):
-    """The k rows with the largest score, ties by key."""
-    return df.orderBy(F.col(score).desc(), F.col(tie)).limit(k)

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["cleaning", "sampling", "scoring"]
+GROUPS = ["cleaning", "sampling", "scoring", "sequencing", "networks", "training", "streams"]
 
 
 def load():
