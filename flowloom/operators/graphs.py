@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from flowloom.functions import numeric
 from flowloom.operators.neighbours import knn_edges
 from flowloom.operators.ordering import sorted_ordinal
-from flowloom.operators.skew import skew_join
+from flowloom.operators.skew import hot_keys, skew_join
 from flowloom.sources import scratch
 
 
@@ -111,39 +111,34 @@ def propagate(nodes, edges, key, columns, hops=1):
 
     A row becomes the sum over incoming edges i->j of x_i / sqrt(d_i d_j) plus
     x_j / d_j, where d is the in-degree plus one. A self-loop among the edges
-    is not counted twice.
+    is not counted twice. Values travel divided by sqrt(d), which leaves one
+    join and one sum per hop.
     """
-    edges = edges.filter(F.col("src") != F.col("dst"))
     kept = [c for c in nodes.columns if c not in columns]
-    degree = edges.groupBy(F.col("dst").alias(key)).agg((F.count(F.lit(1)) + 1).alias("_d"))
-    current = nodes.join(degree, key, "left").withColumn(
-        "_d", F.coalesce("_d", F.lit(1)).cast("double")
-    )
-    links = edges.select("src", "dst")
+    loops = nodes.select(F.col(key).alias("src"), F.col(key).alias("dst"))
+    links = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).unionByName(loops)
     if hops > 1:
-        current, links = scratch.materialise(current, "hop"), scratch.materialise(links, "hop")
+        links = scratch.materialise(links, "links")
+    hot = hot_keys(links, "src")
+    degree = links.groupBy(F.col("dst").alias(key)).agg(F.count(F.lit(1)).alias("_d"))
+    sent = nodes.join(degree, key).selectExpr(
+        f"`{key}` AS src", *[f"`{c}` / sqrt(_d) AS `{c}`" for c in columns]
+    )
     for hop in range(hops):
-        sent = current.select(
-            F.col(key).alias("src"), *[(F.col(c) / F.sqrt("_d")).alias(c) for c in columns]
-        )
         got = (
-            skew_join(links, sent, "src")
-            .groupBy(F.col("dst").alias(key))
-            .agg(*[F.sum(c).alias(f"_g_{c}") for c in columns])
+            skew_join(links, sent, "src", hot=hot)
+            .groupBy("dst")
+            .agg(F.expr("count(1) AS _d"), *[F.expr(f"sum(`{c}`) AS `{c}`") for c in columns])
         )
-        current = current.join(got, key, "left").select(
-            *kept,
-            "_d",
-            *[
-                (
-                    F.coalesce(F.col(f"_g_{c}"), F.lit(0.0)) / F.sqrt("_d") + F.col(c) / F.col("_d")
-                ).alias(c)
-                for c in columns
-            ],
+        last = hop + 1 == hops
+        scale = "sqrt(_d)" if last else "_d"
+        sent = got.selectExpr(
+            f"dst AS {'`' + key + '`' if last else 'src'}",
+            *[f"`{c}` / {scale} AS `{c}`" for c in columns],
         )
-        if hop + 1 < hops:
-            current = scratch.materialise(current, "hop")
-    return current.select(*kept, *columns)
+        if not last:
+            sent = scratch.materialise(sent, "hop")
+    return nodes.select(*kept).join(sent, key).select(*kept, *columns)
 
 
 def seeded_layers(widths, seed=42):

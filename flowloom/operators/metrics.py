@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import ratio
 
-ONE = F.lit(1)
-
 
 def class_distribution(df, label="label", by=()):
     """(by..., label, n, percent): counts and shares per set."""

@@ -2,29 +2,43 @@
 
 from pyspark.sql import functions as F
 
+SHARE = 0.001
+MIN_ROWS = 1_000_000
 
-def skew_join(facts, lookup, on, how="inner", share=0.001, min_rows=1_000_000, salts=32):
-    """Join ``facts`` to ``lookup`` (one row per key), salting only hot keys.
 
-    A key is hot when it holds more than ``share`` of the fact rows and more
-    than ``min_rows`` rows, so there are at most ``1 / share`` of them and the
-    list is safe to send to every task. Rows of a hot key are spread over
-    ``salts`` partitions and its lookup row is copied as often.
+def hot_keys(facts, on, share=SHARE, min_rows=MIN_ROWS):
+    """The keys with more than ``share`` of the rows and over ``min_rows`` rows.
+
+    There are at most ``1 / share`` of them, so the list is safe to send to
+    every task. None when there is no such key.
     """
     on = [on] if isinstance(on, str) else list(on)
     sizes = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_c"))
-    total = sizes.agg(F.sum("_c")).first()[0] or 0
-    floor = max(total * share, min_rows)
+    total = facts.count()
     if total <= min_rows:
-        return facts.join(lookup, on, how)
+        return None
+    floor = max(total * share, min_rows)
     rows = sizes.filter(F.col("_c") > floor).drop("_c").limit(int(1 / share) + 1).collect()
     if not rows:
+        return None
+    return facts.sparkSession.createDataFrame(rows, facts.select(*on).schema)
+
+
+FIND = object()
+
+
+def skew_join(facts, lookup, on, how="inner", hot=FIND, salts=32):
+    """Join ``facts`` to ``lookup`` (one row per key), salting only hot keys.
+
+    Rows of a hot key are spread over ``salts`` partitions and its lookup row
+    is copied as often. ``hot`` may carry the result of ``hot_keys``.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    if hot is FIND:
+        hot = hot_keys(facts, on)
+    if hot is None:
         return facts.join(lookup, on, how)
-    hot = F.broadcast(
-        facts.sparkSession.createDataFrame(rows, facts.select(*on).schema).withColumn(
-            "_hot", F.lit(True)
-        )
-    )
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
     left = facts.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))

@@ -62,14 +62,14 @@ BUFFER = """b AS (SELECT flow_id, list(x0) OVER w AS xs FROM ev
     fx.with_sql(
         EV, BUFFER.format(9),
         """SELECT flow_id, CAST(10 AS INT) AS steps,
-             round(list_sum([x * i FOR x, i IN xs]), 4) AS signature FROM b""",
+             round(list_sum([x * i FOR x, i IN xs]) + 1e-7, 4) AS signature FROM b""",
     ),
 )
 def q03(spark, sf):
     df = fx.events(spark, sf).withColumn("features", F.array("x0", "x1"))
     slid = sequences.sliding(df, "stream_key", ["ts", "flow_id"], "features", 10)
     return sequences.pad_zero(slid, 2, 10).select(
-        "flow_id", F.size("buffer").alias("steps"), F.round(_signature("buffer", 0), 4).alias("signature")
+        "flow_id", F.size("buffer").alias("steps"), F.round(_signature("buffer", 0) + 1e-7, 4).alias("signature")
     )
 
 
@@ -79,14 +79,14 @@ def q03(spark, sf):
         EV, BUFFER.format(49),
         "p AS (SELECT flow_id, xs || [list_avg(xs) FOR i IN range(10 - len(xs))] AS xs FROM b)",
         """SELECT flow_id, CAST(len(xs) AS INT) AS steps,
-             round(list_sum([x * i FOR x, i IN xs]), 4) AS signature FROM p""",
+             round(list_sum([x * i FOR x, i IN xs]) + 1e-7, 4) AS signature FROM p""",
     ),
 )
 def q04(spark, sf):
     df = fx.events(spark, sf).withColumn("features", F.array("x0", "x1"))
     slid = sequences.sliding(df, "stream_key", ["ts", "flow_id"], "features", 50)
     return sequences.pad_mean(slid, 2, 10).select(
-        "flow_id", F.size("buffer").alias("steps"), F.round(_signature("buffer", 0), 4).alias("signature")
+        "flow_id", F.size("buffer").alias("steps"), F.round(_signature("buffer", 0) + 1e-7, 4).alias("signature")
     )
 
 

@@ -61,7 +61,9 @@ def scan_raw(spark, paths, columns):
         .csv(paths)
         .withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
     )
-    too_long = F.coalesce(_commas(F.col(CORRUPT)) >= len(columns), F.lit(False))
+    # A scan of the corrupt column alone is refused, so a real column takes part.
+    present = F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
+    too_long = F.coalesce(_commas(F.col(CORRUPT)) >= len(columns), F.lit(False)) & present
     return rows.filter(~too_long).drop(CORRUPT)
 
 

@@ -7,6 +7,8 @@ and what was decided are written per batch id, which makes a repeated batch
 overwrite its own output.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,12 +19,14 @@ from flowloom.operators.quantiles import exact_quantiles
 from flowloom.sources import packets, scratch
 
 
-def replay(df, folder, order_by, slices=4):
-    """Write packet lines to ``folder`` in ``slices`` steps along ``order_by``.
+def replay(df, folder, order_by, slices=4, rows_per_file=1_000_000):
+    """Write packet lines to ``folder``, one file after the other along ``order_by``.
 
     ``df`` has the line as ``value`` and the order column, which must be a
-    number; later slices are written later, as a live feed would be.
+    number. There are at least ``slices`` files and none is much larger than
+    ``rows_per_file``; later rows are in later files, as in a live feed.
     """
+    slices = max(slices, math.ceil(df.count() / rows_per_file))
     marks = exact_quantiles(df, [order_by], [i / slices for i in range(1, slices)])[order_by]
     edges = [None, *marks, None]
     for low, high in zip(edges[:-1], edges[1:]):
@@ -31,7 +35,7 @@ def replay(df, folder, order_by, slices=4):
             part = part.filter(F.col(order_by) > low)
         if high is not None:
             part = part.filter(F.col(order_by) <= high)
-        part.select("value").write.mode("append").text(folder)
+        part.select("value").coalesce(1).write.mode("append").text(folder)
 
 
 def read_flows(spark, folder, extra="", files_per_trigger=None):
