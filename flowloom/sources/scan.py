@@ -57,6 +57,7 @@ def scan_raw(spark, paths, columns):
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(paths)
         .withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
