@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions import numeric, text
+from flowloom.operators.ordering import sorted_ordinal
 from flowloom.operators.quantiles import exact_quantiles
+from flowloom.operators.skew import lookup_join
 from flowloom.sources import scratch
 
 LABEL = "Label"
@@ -135,16 +137,12 @@ def encode_categories(df, columns, fit_on=None):
 
     Codes come from ``fit_on`` (the training rows); a text unseen there is -1.
     """
-    from pyspark.sql import Window
-
     for c in columns:
         value = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
         words = (fit_on if fit_on is not None else df).select(value.alias("_v")).distinct()
-        # One row per distinct word: as small as the vocabulary.
-        codes = words.withColumn("_code", F.row_number().over(Window.orderBy("_v")) - 1)
+        codes = sorted_ordinal(words, ["_v"], (), "_code")
         df = (
-            df.withColumn("_v", value)
-            .join(scratch.broadcast_if_small(codes), "_v", "left")
+            lookup_join(df.withColumn("_v", value), codes, "_v", "left")
             .withColumn(c, F.coalesce("_code", F.lit(-1)))
             .drop("_v", "_code")
         )

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from flowloom.functions import numeric
 from flowloom.operators.neighbours import knn_edges
 from flowloom.operators.ordering import sorted_ordinal
-from flowloom.operators.skew import hot_keys, skew_join
+from flowloom.operators.skew import hot_keys, lookup_join, skew_join
 from flowloom.sources import scratch
 
 
@@ -79,7 +79,7 @@ def edge_ids(flows, ids, src, dst):
     """Both addresses looked up in ``ids``; a busy host does not skew the join."""
     start = ids.select(F.col("node").alias(src), F.col("node_id").alias("src"))
     end = ids.select(F.col("node").alias(dst), F.col("node_id").alias("dst"))
-    return skew_join(skew_join(flows, start, src), end, dst)
+    return lookup_join(lookup_join(flows, start, src), end, dst)
 
 
 def degree_stats(n_nodes, n_edges):

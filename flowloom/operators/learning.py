@@ -151,19 +151,21 @@ def active_learning(
     labeled = scratch.materialise(initial_labels(nodes, key, first, "label", seed), "al")
     history = []
     for turn in range(1, rounds + 1):
-        known = labeled.count()
-        features = scratch.materialise(smooth(nodes, labeled, key, columns, k, hops, edges), "al")
-        train = features.join(labeled, key, "left_semi")
-        model = fit_graph_classifier(train, columns)
-        test = features.join(labeled, key, "left_anti")
-        scored = scratch.materialise(score(model, test).select(key, "label", "prob", "y_pred"), "al")
-        result = evaluate(scored)
-        history.append(
-            (turn, known, known * 100.0 / n, result["accuracy"], result["f1"], result["auc"])
-        )
-        if turn < rounds:
-            chosen = query(scored, labeled, key, more, strategy, "prob", seed + turn)
-            labeled = scratch.materialise(labeled.unionByName(chosen), "al")
+        following = scratch.new_path(spark, "al")
+        with scratch.temporary(spark):
+            known = labeled.count()
+            smoothed = smooth(nodes, labeled, key, columns, k, hops, edges)
+            features = scratch.materialise(smoothed, "al")
+            model = fit_graph_classifier(features.join(labeled, key, "left_semi"), columns)
+            test = score(model, features.join(labeled, key, "left_anti"))
+            scored = scratch.materialise(test.select(key, "label", "prob", "y_pred"), "al")
+            result = evaluate(scored)
+            history.append(
+                (turn, known, known * 100.0 / n, result["accuracy"], result["f1"], result["auc"])
+            )
+            if turn < rounds:
+                chosen = query(scored, labeled, key, more, strategy, "prob", seed + turn)
+                labeled = scratch.materialise(labeled.unionByName(chosen), path=following)
     return spark.createDataFrame(
         history,
         "round int, labeled_count long, labeled_percent double, test_acc double, test_f1 double, test_auc double",

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from flowloom.operators.skew import skew_join
 from flowloom.sources import scratch
 
-MAX_CELLS = 1024
+MAX_CELLS = 2048
+SLICE = 512
 
 
 def _matrix(column):
@@ -30,6 +31,13 @@ def _distances(a, b):
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _slices(batches, size=2048):
+    """Batches in pieces, so that a piece times all pivots stays small."""
+    for part in batches:
+        for at in range(0, len(part), size):
+            yield part.iloc[at : at + size]
+
+
 def _distinct(rows, metric):
     """One row per distinct vector: hash, smallest id, search vector, zero flag."""
     groups = rows.groupBy("v").agg(F.first("x").alias("x"), F.min("id").alias("rep"))
@@ -54,7 +62,7 @@ def _assign(groups, pivots):
     )
 
     def nearest(batches):
-        for part in batches:
+        for part in _slices(batches):
             gap = _distances(_matrix(part["u"]), pivots)
             cell = gap.argmin(1)
             yield part.assign(cell=cell.astype("int32"), far=gap[np.arange(len(gap)), cell])
@@ -88,7 +96,7 @@ def _send(cells, pivots, reach):
     )
 
     def targets(batches):
-        for part in batches:
+        for part in _slices(batches):
             gap = _distances(_matrix(part["u"]), pivots)
             near = gap <= reach[None, :]
             near[np.arange(len(gap)), part["cell"].to_numpy()] = True
@@ -97,41 +105,54 @@ def _send(cells, pivots, reach):
     return cells.mapInPandas(targets, schema)
 
 
+def _nearest(a, b, own, reps, k, metric):
+    """(row of a, row of b, distance) of the k nearest per row of a, ties by id.
+
+    ``own`` is the row of b that holds the same vector, or -1.
+    """
+    gap = 1.0 - a @ b.T if metric == "cosine" else _distances(a, b)
+    same = np.flatnonzero(own >= 0)
+    gap[same, own[same]] = np.inf
+    # Keep whatever ties with the k-th, so that ids decide, not positions.
+    last = min(k, gap.shape[1]) - 1
+    edge = np.partition(gap, last, axis=1)[:, last]
+    slack = 0.0 if metric == "cosine" else 1e-7
+    rows, cols = np.nonzero((gap <= edge[:, None] + slack) & np.isfinite(gap))
+    if metric == "cosine":
+        exact = gap[rows, cols]
+    else:
+        exact = np.sqrt(((a[rows] - b[cols]) ** 2).sum(1))
+    order = np.lexsort((reps[cols], exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], exact[keep]
+
+
 def _search(k, metric):
     def search(part):
         asks = part[part["ask"]].reset_index(drop=True)
         offers = part[~part["ask"]].reset_index(drop=True)
-        empty = pd.DataFrame({"qv": [], "sv": [], "srep": [], "distance": []})
+        found = [pd.DataFrame({"qv": [], "sv": [], "srep": [], "distance": []})]
         if asks.empty or offers.empty:
-            return empty
+            return found[0]
         a, b = _matrix(asks["u"]), _matrix(offers["u"])
-        gap = 1.0 - a @ b.T if metric == "cosine" else _distances(a, b)
         place = {v: i for i, v in enumerate(offers["v"])}
-        own = [(i, place[v]) for i, v in enumerate(asks["v"]) if v in place]
-        if own:
-            gap[tuple(np.array(own).T)] = np.inf
-        # Keep whatever ties with the k-th, so that ids decide, not positions.
-        last = min(k, gap.shape[1]) - 1
-        edge = np.partition(gap, last, axis=1)[:, last]
-        slack = 1e-7 if metric != "cosine" else 0.0
-        rows, cols = np.nonzero((gap <= edge[:, None] + slack) & np.isfinite(gap))
-        if metric == "cosine":
-            exact = gap[rows, cols]
-        else:
-            exact = np.sqrt(((a[rows] - b[cols]) ** 2).sum(1))
-        reps = offers["rep"].to_numpy()[cols]
-        order = np.lexsort((reps, exact, rows))
-        rows, cols, exact, reps = rows[order], cols[order], exact[order], reps[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
-        return pd.DataFrame(
-            {
-                "qv": asks["v"].to_numpy()[rows[keep]],
-                "sv": offers["v"].to_numpy()[cols[keep]],
-                "srep": reps[keep],
-                "distance": exact[keep],
-            }
-        )
+        own = np.array([place.get(v, -1) for v in asks["v"]])
+        reps = offers["rep"].to_numpy()
+        for at in range(0, len(a), SLICE):
+            here = slice(at, at + SLICE)
+            rows, cols, gap = _nearest(a[here], b, own[here], reps, k, metric)
+            found.append(
+                pd.DataFrame(
+                    {
+                        "qv": asks["v"].to_numpy()[rows + at],
+                        "sv": offers["v"].to_numpy()[cols],
+                        "srep": reps[cols],
+                        "distance": gap,
+                    }
+                )
+            )
+        return pd.concat(found[1:], ignore_index=True)
 
     return search
 
@@ -167,7 +188,7 @@ def _blocks(sent, block):
     return asks.select(*columns).unionByName(offers.select(*columns))
 
 
-def knn_edges(df, key, features="features", k=10, metric="cosine", block=2048, cells=None):
+def knn_edges(df, key, features="features", k=10, metric="cosine", block=8192, cells=None):
     """(src, dst, rank, distance): every row's k nearest other rows.
 
     Ties go to the smaller id and k is at most the number of other rows. The

@@ -111,8 +111,7 @@ def sorted_ordinal(df, order_by, per=(), name="ordinal", partitions=None):
     ``order_by`` must end in something that tells rows apart, so that a value
     shared by many rows can still be cut between range partitions.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or scratch.partitions_for(df)
     keys = [F.col("_s"), *[F.col(c) if isinstance(c, str) else c for c in order_by]]
     ranged = (
         df.withColumn("_s", stratum(per))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from flowloom.sources import scratch
+
 SHARE = 0.001
 MIN_ROWS = 1_000_000
 
@@ -50,3 +52,11 @@ def skew_join(facts, lookup, on, how="inner", hot=FIND, salts=32):
         lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     )
     return left.drop("_hot").join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def lookup_join(facts, lookup, on, how="inner"):
+    """Join to a narrow lookup table: broadcast when small, else salted."""
+    small = scratch.broadcast_if_small(lookup)
+    if small is not lookup:
+        return facts.join(small, on, how)
+    return skew_join(facts, scratch.materialise(lookup, "lookup"), on, how)

@@ -3,11 +3,17 @@
 from pyspark.sql import SparkSession
 
 
+def partitions_for_bytes(size, per_partition=128 * 1024 * 1024):
+    """Shuffle partitions for an input of ``size`` bytes: 200 to 100,000."""
+    return max(200, min(100_000, -(-size // per_partition)))
+
+
 def session(app="flowloom", master=None, shuffle_partitions=None, extra=None):
     """A session with adaptive execution, skew handling and UTC time.
 
-    On a cluster leave ``master`` and ``shuffle_partitions`` to spark-submit;
-    the adaptive planner coalesces a generous partition number by itself.
+    On a cluster leave ``master`` to spark-submit and give a generous
+    ``shuffle_partitions`` (see ``partitions_for_bytes``); the adaptive planner
+    merges the small ones.
     """
     builder = (
         SparkSession.builder.appName(app)

@@ -5,19 +5,14 @@ from pyspark.sql import types as T
 
 from flowloom.operators.ordering import sorted_ordinal
 from flowloom.operators.sampling import exact_n
+from flowloom.sources import scratch
 
 CORRUPT = "_corrupt"
 
 
-def _filesystem(spark, path):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def list_files(spark, folder, suffix=".csv", first=None):
     """Sorted file paths of a folder, optionally only the first few."""
-    system, target = _filesystem(spark, folder)
+    system, target = scratch.filesystem(spark, folder)
     paths = sorted(
         s.getPath().toString() for s in system.listStatus(target) if s.isFile()
     )
@@ -28,7 +23,7 @@ def existing(spark, paths):
     """(present, absent) of the named files; an error when none is present."""
     present, absent = [], []
     for p in paths:
-        system, target = _filesystem(spark, p)
+        system, target = scratch.filesystem(spark, p)
         (present if system.exists(target) else absent).append(p)
     if not present:
         raise FileNotFoundError(f"none of these files exists: {list(paths)}")

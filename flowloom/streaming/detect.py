@@ -94,7 +94,14 @@ class Detector:
         return f"{self.out}/state/batch_id={batch_id}"
 
     def process(self, batch, batch_id):
+        """Decide one micro-batch; its scratch and outdated state are removed."""
         spark = batch.sparkSession
+        with scratch.temporary(spark):
+            self._decide(spark, batch, batch_id)
+        if batch_id > 1:
+            scratch.remove(spark, self._state(batch_id - 2))
+
+    def _decide(self, spark, batch, batch_id):
         good, bad = clean.check_width(batch, self.width)
         bad.write.mode("overwrite").parquet(f"{self.out}/rejected/batch_id={batch_id}")
         n, pad = self.rule
