@@ -8,7 +8,7 @@ from flowloom.operators.ordering import shuffled_ordinal
 from flowloom.operators.splitting import kfold
 from flowloom.plans import fixtures as fx
 from flowloom.plans.registry import query
-from flowloom.sources import packets, scan, scratch
+from flowloom.sources import packets, scan, scratch, sinks
 
 RAW, TOK, DD, KEPT = fx.RAW_SQL, fx.TOKENS_SQL, fx.DISTINCT_SQL, fx.KEPT_SQL
 FLOWS = fx.FLOWS_SQL
@@ -96,6 +96,87 @@ def s08(spark, sf):
     return scan.row_counts(fx.flows(spark, sf))
 
 
+@query("s01_scan_raw", fx.with_sql(RAW, TOK, f"SELECT {COLS} FROM tok"))
+def s01(spark, sf):
+    folder = scratch.new_path(spark, "raw")
+    fx.raw_flows(spark, sf).write.option("header", True).csv(folder)
+    paths = scan.list_files(spark, folder)
+    df = scan.scan_raw(spark, paths, scan.header(spark, paths[0])).drop("source_file")
+    return clean.apply_null_tokens(clean.normalise_header(df))
+
+
+@query(
+    "s02_bad_lines",
+    fx.with_sql(
+        FLOWS,
+        "k AS (SELECT *, CAST(split_part(flow_key, '-', 1) AS BIGINT) AS o FROM flows)",
+        """SELECT flow_key, CASE WHEN o % 11 <> 0 THEN src_ip END AS src_ip, CASE WHEN o % 11 <> 0 THEN flag END AS flag
+           FROM k WHERE o % 13 <> 0""",
+    ),
+)
+def s02(spark, sf):
+    """Some lines get two fields too many, others lack their last two."""
+    order = F.split("flow_key", "-")[0].cast("long")
+    line = (
+        F.when(order % 13 == 0, F.concat_ws(",", "flow_key", "src_ip", "flag", F.lit("x"), F.lit("y")))
+        .when(order % 11 == 0, F.col("flow_key"))
+        .otherwise(F.concat_ws(",", "flow_key", "src_ip", "flag"))
+    )
+    folder = scratch.new_path(spark, "lines")
+    fx.flows(spark, sf).select(line.alias("value")).write.text(folder)
+    rows = scan.scan_raw(spark, folder, ["flow_key", "src_ip", "flag"], header=False)
+    return rows.drop("source_file")
+
+
+@query(
+    "s09_write_cleaned",
+    fx.with_sql(FLOWS, "SELECT source_file, flow_key, qty, price, label FROM flows"),
+)
+def s09(spark, sf):
+    folder = scratch.new_path(spark, "cleaned")
+    df = fx.flows(spark, sf).select("source_file", "flow_key", "qty", "price", "label")
+    sinks.write_table(df, folder, "parquet", ["source_file"])
+    return spark.read.parquet(folder)
+
+
+@query(
+    "s12_saved_scaler",
+    fx.with_sql(
+        FLOWS,
+        " UNION ALL ".join(
+            f"SELECT {i} AS pos, '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS scale FROM flows"
+            for i, c in enumerate(fx.FEATURES)
+        ),
+    ),
+)
+def s12(spark, sf):
+    folder = scratch.new_path(spark, "scaler")
+    scaling.save(scaling.fit(fx.flows(spark, sf), fx.FEATURES), folder)
+    params = scaling.load(spark, folder)
+    return params.select("pos", "feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
+
+
+@query(
+    "s16_load_cleaned",
+    fx.with_sql(
+        FLOWS,
+        """SELECT flow_key, qty, CASE WHEN label = 1 THEN price END AS price, label AS "Label" FROM flows""",
+    ),
+)
+def s16(spark, sf):
+    """Two labelled files with different columns and one without a label."""
+    df = fx.flows(spark, sf).withColumnRenamed("label", "Label")
+    folder = scratch.new_path(spark, "folder")
+    parts = {
+        "a": df.filter(F.col("Label") == 0).select("flow_key", "qty", "Label"),
+        "b": df.filter(F.col("Label") == 1).select("flow_key", "qty", "price", "Label"),
+        "c": df.select("flow_key", "tax"),
+    }
+    for name, part in parts.items():
+        part.write.parquet(f"{folder}/{name}.parquet")
+    return scan.load_cleaned(spark, [f"{folder}/{name}.parquet" for name in parts])
+
+
 @query(
     "s14_encode_flow",
     fx.with_sql(

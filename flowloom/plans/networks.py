@@ -1,5 +1,6 @@
 """Queries: host graphs, nearest-neighbour graphs, propagation."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.operators import graphs
@@ -233,19 +234,61 @@ def g03(spark, sf):
     return graphs.self_loops(fx.vectors(spark, sf), "row_id")
 
 
-@query("g05_gcn_layer")
+def _layers(widths, first=0):
+    """Made-up weights that SQL can write down too: 0.3 sin(3 i + 7 j + layer)."""
+    layers = graphs.seeded_layers(widths)
+    for n, layer in enumerate(layers):
+        i, j = np.indices(layer["weight"].shape)
+        layer["weight"] = 0.3 * np.sin(3 * i + 7 * j + first + n)
+    return layers
+
+
+DEGREE = "deg AS (SELECT v.row_id, 1 + count(src) AS d FROM vectors v LEFT JOIN near ON dst = v.row_id GROUP BY v.row_id)"
+
+
+def _spread_sql(source, name):
+    return f"""{name}_g AS (SELECT dst AS row_id, pos, sum(value / sqrt(d)) AS g FROM near JOIN {source} s ON src = s.row_id
+        JOIN deg ON deg.row_id = src GROUP BY dst, pos),
+      {name} AS (SELECT s.row_id, s.pos, coalesce(g, 0) / sqrt(d) + value / d AS value FROM {source} s JOIN deg USING (row_id)
+        LEFT JOIN {name}_g g ON g.row_id = s.row_id AND g.pos = s.pos)"""
+
+
+def _dense_sql(source, name, n, width, activate=True):
+    total = f"sum(value * 0.3 * sin(3 * pos + 7 * j + {n}))"
+    if activate:
+        total = f"greatest({total} / sqrt(1 + 1e-5), 0)"
+    return f"{name} AS (SELECT row_id, j AS pos, {total} AS value FROM {source}, range({width}) t(j) GROUP BY row_id, j)"
+
+
+@query(
+    "g05_gcn_layer",
+    fx.with_sql(
+        VECTORS, _knn_sql("vectors", 10), LONG, DEGREE, _spread_sql("x", "h0"), _dense_sql("h0", "z0", 0, 64),
+        "SELECT row_id, pos::INT AS pos, round(value, 6) + 0.0 AS value FROM z0",
+    ),
+)
 def g05(spark, sf):
     edges = scratch.materialise(knn_edges(fx.vectors(spark, sf), "row_id"), "edges")
-    layer = graphs.seeded_layers([fx.WIDTH, 64])[0]
+    layer = _layers([fx.WIDTH, 64])[0]
     out, columns = graphs.gcn_layer(fx.wide_vectors(spark, sf), edges, "row_id", fx.WIDE, layer)
-    return out.select("row_id", *[F.round(c, 6).alias(c) for c in columns])
+    return fx.long_form(out, "row_id", columns)
 
 
-@query("g06_gcn_log_softmax")
+@query(
+    "g06_gcn_log_softmax",
+    fx.with_sql(
+        VECTORS, _knn_sql("vectors", 10), LONG, DEGREE,
+        _spread_sql("x", "h0"), _dense_sql("h0", "z0", 0, 64), _spread_sql("z0", "h1"), _dense_sql("h1", "z1", 1, 64),
+        _spread_sql("z1", "h2"), _dense_sql("h2", "z2", 2, 64), _dense_sql("z2", "z3", 3, 32),
+        _dense_sql("z3", "z4", 4, 2, False),
+        "w AS (SELECT row_id, sum(value) FILTER (pos = 0) AS a, sum(value) FILTER (pos = 1) AS b FROM z4 GROUP BY row_id)",
+        """SELECT row_id, round(a - greatest(a, b) - ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS logp0,
+             round(b - greatest(a, b) - ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS logp1 FROM w""",
+    ),
+)
 def g06(spark, sf):
     edges = scratch.materialise(knn_edges(fx.vectors(spark, sf), "row_id"), "edges")
-    layers = graphs.seeded_layers([fx.WIDTH, 64, 64, 64])
-    head = graphs.seeded_layers([64, 32, 2], 7)
+    layers, head = _layers([fx.WIDTH, 64, 64, 64]), _layers([64, 32, 2], 3)
     out, logits = graphs.gcn_logits(fx.wide_vectors(spark, sf), edges, "row_id", fx.WIDE, layers, head)
     scored = graphs.class_scores(out, logits)
     return scored.select("row_id", F.round("logp0", 6).alias("logp0"), F.round("logp1", 6).alias("logp1"))

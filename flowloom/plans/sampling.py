@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowloom.operators import sampling, splitting
 from flowloom.plans import fixtures as fx
 from flowloom.plans.registry import query
+from flowloom.sources import scratch, sinks
 
 FLOWS = fx.FLOWS_SQL
 H = fx.hash_sql("flow_key")
@@ -114,6 +115,23 @@ def r07(spark, sf):
     return splitting.kfold(fx.flows(spark, sf), "flow_key").select("flow_key", "label", "fold")
 
 
+@query(
+    "s10_write_folds",
+    fx.with_sql(
+        FLOWS, PER_CLASS,
+        "f AS (SELECT label, qty, list_sum([(o >= n * i // 5)::INT FOR i IN [1, 2, 3, 4]])::INT AS fold FROM r)",
+        "SELECT fold, label, count(*) AS n, round(sum(qty), 2) AS qty FROM f GROUP BY fold, label",
+    ),
+)
+def s10(spark, sf):
+    folder = scratch.new_path(spark, "folds")
+    sinks.write_table(splitting.kfold(fx.flows(spark, sf), "flow_key"), folder, "parquet", ["fold"])
+    saved = spark.read.parquet(folder)
+    return saved.groupBy("fold", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 2).alias("qty")
+    )
+
+
 @query(
     "r08_temporal_split",
     """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS o, count(*) OVER () AS n FROM events)
@@ -124,13 +142,30 @@ def r08(spark, sf):
     return splitting.temporal(df, "ts", "event_id").select("event_id", "split")
 
 
-@query("r09_smote")
+@query(
+    "r09_smote",
+    fx.with_sql(
+        fx.VECTORS_SQL,
+        f"""m AS (SELECT row_id, features, row_number() OVER (ORDER BY {fx.hash_sql('row_id')}) - 1 AS o, count(*) OVER () AS n
+             FROM vectors WHERE label = 1)""",
+        "t AS (SELECT count(*) FILTER (label = 0) - count(*) FILTER (label = 1) AS missing FROM vectors)",
+        """pairs AS (SELECT a.row_id AS src, b.row_id AS dst, list_distance(a.features, b.features) AS distance
+             FROM m a, m b WHERE a.row_id <> b.row_id)""",
+        "near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM pairs)",
+        "b AS (SELECT row_id, features, unnest(range(ceil((missing - o) / n)::BIGINT)) AS round FROM m, t WHERE o < missing)",
+        "p AS (SELECT *, concat_ws('|', row_id, round) AS pick FROM b)",
+        f"""s AS (SELECT p.row_id, p.features AS x, o.features AS y, {fx.uniform_sql('pick', 43)} AS u FROM p
+             JOIN near ON src = p.row_id AND rank = floor({fx.uniform_sql('pick')} * 5) + 1 JOIN m o ON o.row_id = dst)""",
+        """SELECT row_id, label, false AS synthetic, round(list_avg(features), 6) + 0.0 AS mean FROM vectors
+           UNION ALL SELECT row_id, 1, true, round(list_avg(x) + (list_avg(y) - list_avg(x)) * u, 6) + 0.0 FROM s""",
+    ),
+)
 def r09(spark, sf):
     v = fx.vectors(spark, sf)
     counts = sampling.class_counts(v)
     made = sampling.smote(v, "row_id", "features", {1: counts[0]})
     mean = F.aggregate("features", F.lit(0.0), lambda s, x: s + x) / F.size("features")
-    return made.select("row_id", "label", "synthetic", F.round(mean, 6).alias("mean"))
+    return made.select("row_id", "label", "synthetic", (F.round(mean, 6) + 0.0).alias("mean"))
 
 
 @query(

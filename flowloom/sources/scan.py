@@ -36,10 +36,10 @@ def _commas(text):
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
 
 
-def scan_raw(spark, paths, columns):
+def scan_raw(spark, paths, columns, header=True):
     """All columns as text plus ``source_file``.
 
-    A line with more fields than the header is skipped, a shorter one is
+    A line with more fields than ``columns`` is skipped, a shorter one is
     filled with NULL.
     """
     schema = T.StructType(
@@ -49,7 +49,7 @@ def scan_raw(spark, paths, columns):
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = (
         spark.read.schema(schema)
-        .option("header", True)
+        .option("header", header)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
         .option("columnPruning", False)
