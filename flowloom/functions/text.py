@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-# Texts that a CSV reader takes as missing.
-NULL_TOKENS = ["", "NA", "N/A", "NULL", "null", "None", "NaN", "nan", "#N/A", "<NA>"]
+# Texts that the public pandas CSV reader takes as missing by default.
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def null_tokens(col):

@@ -8,6 +8,7 @@ order key, so both engines see the same rows.
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import uniform
+from flowloom.sources import scan
 
 SEED = 42
 FEATURES = ["qty", "price", "disc", "tax"]
@@ -16,7 +17,7 @@ WIDTH = 64
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _flow_key():
@@ -83,7 +84,8 @@ RAW_SQL = f"""raw AS (
       WHEN l_returnflag = 'A' THEN 'DoS-Hulk' ELSE 'Bot' END AS "Label"
   FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 37 = 0))"""
 
-_TOKENS = "('', 'NA', 'N/A', 'NULL', 'null', 'None', 'NaN', 'nan', '#N/A', '<NA>')"
+_TOKENS = """('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN',
+  '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"""
 RAW_COLUMNS = ["Flow_ID", "Src_IP", "Dst_IP", "Timestamp", *RAW_FEATURES, "Label"]
 TOKENS_SQL = "tok AS (SELECT " + ", ".join(
     f'CASE WHEN trim("{c}") NOT IN {_TOKENS} THEN trim("{c}") END AS "{c}"' for c in RAW_COLUMNS

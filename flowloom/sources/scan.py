@@ -10,6 +10,15 @@ from flowloom.sources import scratch
 CORRUPT = "_corrupt"
 
 
+def spread(df):
+    """Even rows over all cores when a scan yields fewer splits than cores.
+
+    Only a small input has so few; a large scan is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def list_files(spark, folder, suffix=".csv", first=None):
     """Sorted file paths of a folder, optionally only the first few."""
     system, target = scratch.filesystem(spark, folder)

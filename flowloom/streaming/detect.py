@@ -26,6 +26,7 @@ def replay(df, folder, order_by, slices=4, rows_per_file=1_000_000):
     number. There are at least ``slices`` files and none is much larger than
     ``rows_per_file``; later rows are in later files, as in a live feed.
     """
+    df = scratch.materialise(df.select("value", order_by), "feed")
     slices = max(slices, math.ceil(df.count() / rows_per_file))
     marks = exact_quantiles(df, [order_by], [i / slices for i in range(1, slices)])[order_by]
     edges = [None, *marks, None]
