@@ -112,7 +112,7 @@ def propagate(nodes, edges, key, columns, hops=1):
     A row becomes the sum over incoming edges i->j of x_i / sqrt(d_i d_j) plus
     x_j / d_j, where d is the in-degree plus one. A self-loop among the edges
     is not counted twice. Values travel divided by sqrt(d), which leaves one
-    join and one sum per hop.
+    join and one sum per hop, and a hop is read once, by the next.
     """
     kept = [c for c in nodes.columns if c not in columns]
     loops = nodes.select(F.col(key).alias("src"), F.col(key).alias("dst"))
@@ -136,8 +136,6 @@ def propagate(nodes, edges, key, columns, hops=1):
             f"dst AS {'`' + key + '`' if last else 'src'}",
             *[f"`{c}` / {scale} AS `{c}`" for c in columns],
         )
-        if not last:
-            sent = scratch.materialise(sent, "hop")
     return nodes.select(*kept).join(sent, key).select(*kept, *columns)
 
 
