@@ -63,7 +63,8 @@ def fit_graph_classifier(rows, columns, label="label", weights=None, max_iter=50
     """Weighted logistic regression on propagated features."""
     weighted = fixed_weights(rows, weights or GRAPH_WEIGHTS, label, "_weight")
     model = LogisticRegression(
-        featuresCol="_vector", labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=5e-4
+        featuresCol="_vector", labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=5e-4,
+        tol=1e-4,
     )
     return Pipeline(stages=[_assembler(columns), model]).fit(weighted)
 

@@ -157,30 +157,41 @@ def _search(k, metric):
     return search
 
 
-def _blocks(sent, block):
-    """Queries and candidates of every (cell, query block, candidate block)."""
+def _parts(sent, block):
+    """(cell, qs, ss): blocks of queries and of candidates, a row per cell."""
     asked = sent.groupBy("cell").agg(F.count(F.lit(1)).alias("a"))
     offered = sent.select(F.explode("to").alias("cell")).groupBy("cell").agg(
         F.count(F.lit(1)).alias("o")
     )
-    parts = scratch.broadcast_if_small(
-        asked.join(offered, "cell").select(
-            "cell",
-            F.ceil(F.col("a") / block).cast("int").alias("qs"),
-            F.ceil(F.col("o") / block).cast("int").alias("ss"),
-        )
+    return asked.join(offered, "cell").select(
+        "cell",
+        F.ceil(F.col("a") / block).cast("int").alias("qs"),
+        F.ceil(F.col("o") / block).cast("int").alias("ss"),
     )
+
+
+def _with_parts(rows, parts):
+    """Adds qs and ss; a single cell needs no join."""
+    if len(parts) == 1:
+        return rows.withColumns({"qs": F.lit(parts[0]["qs"]), "ss": F.lit(parts[0]["ss"])})
+    table = rows.sparkSession.createDataFrame(parts, "cell int, qs int, ss int")
+    return rows.join(F.broadcast(table), "cell")
+
+
+def _blocks(sent, block):
+    """Queries and candidates of every (cell, query block, candidate block)."""
+    # One row per cell, so at most MAX_CELLS.
+    parts = _parts(sent, block).collect()
     spot = F.xxhash64("v")
     columns = ["cell", "q", "s", "v", "rep", "u", "ask"]
     asks = (
-        sent.join(parts, "cell")
+        _with_parts(sent, parts)
         .withColumn("q", F.pmod(spot, F.col("qs")).cast("int"))
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ss") - 1)))
         .withColumn("ask", F.lit(True))
     )
     offers = (
-        sent.withColumn("cell", F.explode("to"))
-        .join(parts, "cell")
+        _with_parts(sent.withColumn("cell", F.explode("to")), parts)
         .withColumn("s", F.pmod(spot, F.col("ss")).cast("int"))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
         .withColumn("ask", F.lit(False))
@@ -208,6 +219,7 @@ def knn_edges(df, key, features="features", k=10, metric="cosine", block=8192, c
     n = groups.count()
     if cells is None:
         cells = max(1, min(MAX_CELLS, math.ceil(n / block)))
+    cells = min(cells, MAX_CELLS)
     if cells > 1:
         chosen = groups.orderBy("v").limit(cells).select("u").collect()
         pivots = np.array([r["u"] for r in chosen], dtype=np.float64)

@@ -97,3 +97,23 @@ def test_broadcast_only_up_to_the_limit(spark):
     df = spark.range(20)
     assert "ResolvedHint" in scratch.broadcast_if_small(df, 20)._jdf.queryExecution().analyzed().toString()
     assert scratch.broadcast_if_small(df, 19) is df
+
+
+def test_temporary_tables_go_with_their_block(spark):
+    kept = scratch.materialise(spark.range(5))
+    with scratch.temporary(spark):
+        inner = scratch.materialise(spark.range(7))
+        path = inner.inputFiles()[0]
+        assert inner.count() == 7
+        with scratch.temporary(spark):
+            scratch.materialise(spark.range(1))
+        assert inner.count() == 7
+    assert not os.path.exists(path.removeprefix("file:").replace("//", "/")) and kept.count() == 5
+
+
+def test_partition_number_follows_the_scanned_files(spark, monkeypatch):
+    df = scratch.materialise(spark.range(1000)).groupBy("id").count()
+    assert scratch.partitions_for(df) == 8
+    monkeypatch.setattr(scratch, "PARTITION_BYTES", 100)
+    assert 8 < scratch.partitions_for(df) < 1000
+    assert scratch.partitions_for(spark.createDataFrame([(1,)], "id int")) == 8
