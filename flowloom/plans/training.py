@@ -97,12 +97,24 @@ def l09(spark, sf):
     return _row(spark, learning.evaluate(scratch.materialise(_graph_scores(spark, sf), "scored")))
 
 
-@query("l10_result_document")
+@query(
+    "l10_result_document",
+    fx.with_sql(
+        SCORED, fx.COUNTS_SQL,
+        """SELECT tn, fp, fn, tp, round((tp + tn) / (tn + fp + fn + tp), 6) AS accuracy, 'made-up' AS name, 0.5::DOUBLE AS threshold
+           FROM cells""",
+    ),
+)
 def l10(spark, sf):
+    """The nested document, read back field by field."""
     from flowloom.operators import metrics
 
     rates = metrics.scores(metrics.confusion(fx.scored(spark, sf)))
-    return sinks.result_document(rates, {"model": {"name": "made-up", "threshold": 0.5}})
+    text = sinks.result_document(rates, {"model": {"name": "made-up", "threshold": 0.5}})
+    schema = """metrics STRUCT<tn: LONG, fp: LONG, fn: LONG, tp: LONG, accuracy: DOUBLE>,
+        model STRUCT<name: STRING, threshold: DOUBLE>"""
+    doc = text.select(F.from_json("document", schema).alias("d"))
+    return doc.select("d.metrics.*", "d.model.*").withColumn("accuracy", F.round("accuracy", 6))
 
 
 def _split_flows(spark, sf):
