@@ -1,9 +1,17 @@
 """Registered queries of this package and the SQL that some of them must equal."""
 
-from flowloom.llm import lines, mixing
+from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, mixing, secrets, toxicity
 from flowloom.llm.text import table
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -13,5 +21,37 @@ def op5_source_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_source_mix)}
-ORACLES = {"op4_line_dedup": lines.SQL}
+def op6_embedding_near_dup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark, sf_dir):
+    judged = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.drop("_text")
+
+
+def op9_chat_format(spark, sf_dir):
+    return chat.recover(table(spark, sf_dir, "conversations"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_ngram_jaccard, op3_secret_scan, op4_line_dedup, op5_source_mix, op6_embedding_near_dup,
+        op7_lm_score, op8_decontaminate, op9_chat_format, op10_toxicity,
+    )
+}
+ORACLES = {
+    "op2_ngram_jaccard": jaccard.SQL,
+    "op4_line_dedup": lines.SQL,
+    "op6_embedding_near_dup": embeddings.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+}
