@@ -230,7 +230,7 @@ def near_duplicates(table, threshold=THRESHOLD):
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
       WHERE e IS NOT NULL AND list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
 p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y

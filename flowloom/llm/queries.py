@@ -1,9 +1,13 @@
 """Registered queries of this package and the SQL that some of them must equal."""
 
-from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, mixing, secrets, toxicity
+from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, mixing, secrets, substrings, toxicity
 from flowloom.llm.text import table
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark, sf_dir):
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_ngram_jaccard, op3_secret_scan, op4_line_dedup, op5_source_mix, op6_embedding_near_dup,
+        op1_suffix_array_dedup, op2_ngram_jaccard, op3_secret_scan, op4_line_dedup, op5_source_mix, op6_embedding_near_dup,
         op7_lm_score, op8_decontaminate, op9_chat_format, op10_toxicity,
     )
 }
