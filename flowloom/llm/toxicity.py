@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic model
-over its words; a document's is the noisy-or of its sentences, so labels of
+over its words and word stems; a document's is the noisy-or of its sentences, so labels of
 documents train a model of sentences, which then points at the offending ones.
 
 Training reads a bounded sample of the labelled rows (``max_train``, chosen by a
@@ -26,6 +26,11 @@ MAX_FEATURES = 5_000
 THRESHOLD = 0.3
 SENTENCE = re.compile(rb"[^.!?\n]+")
 PARTS = 12
+#: Lengths in characters of the leading parts of a word that are features too.
+STEMS = range(4, 9)
+CACHE = 500_000
+#: Candidates must differ between the classes by so many standard errors.
+LEAST_Z = 3.0
 
 
 @dataclass
@@ -60,13 +65,37 @@ def training_rows(docs, labels, max_train=MAX_TRAIN, seed=7):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(marks, "doc_id").select("data", "y")
 
 
+def features(word):
+    """A word and its stems, the latter with a star."""
+    text = word.decode(errors="replace")
+    return [word, *(text[:n].encode() + b"*" for n in STEMS if len(text) > n)]
+
+
+class Known(dict):
+    """Word -> numbers of its features that a model has, remembered per word."""
+
+    def __init__(self, numbers):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, word):
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[word] = tuple(self.numbers[f] for f in features(word) if f in self.numbers)
+        return found
+
+    def of(self, found):
+        """Distinct feature numbers of the words of a sentence."""
+        return {i for w in found for i in self[w]}
+
+
 def _word_counts(batches):
     for batch in batches:
         seen = ({}, {})
         for data, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts = seen[1 if y else 0]
-            for word in set(terms(data)):
-                counts[word] = counts.get(word, 0) + 1
+            for feature in {f for w in set(terms(data)) for f in features(w)}:
+                counts[feature] = counts.get(feature, 0) + 1
         names = list(seen[0].keys() | seen[1].keys())
         columns = [pa.array(names, pa.binary())]
         columns += [pa.array([seen[k].get(w, 0) for w in names], pa.int64()) for k in (0, 1)]
@@ -88,6 +117,7 @@ def candidate_words(rows, max_features=MAX_FEATURES, min_docs=3):
     top = (
         counts.filter(F.col("n0") + F.col("n1") >= min_docs)
         .select("word", odds.alias("odds"), F.abs(odds / error).alias("z"))
+        .filter(F.col("z") >= LEAST_Z)
         .orderBy(F.desc("z"), "word")
         .limit(max_features)
     )
@@ -98,7 +128,7 @@ def _bags(known):
     """Sentences as lists of feature numbers, one row per document."""
 
     def build(batches):
-        get = known.value.get
+        numbers = Known(known.value)
         for batch in batches:
             ids, lengths = [], []
             for data in batch.column(0).to_pylist():
@@ -106,7 +136,7 @@ def _bags(known):
                 for sentence in SENTENCE.findall(data):
                     found = terms(sentence)
                     if found:
-                        hit = {i for i in map(get, found) if i is not None}
+                        hit = numbers.of(found)
                         own.extend(sorted(hit))
                         sizes.append(len(hit))
                 ids.append(own)
@@ -149,11 +179,11 @@ def _gradient(weights, bias):
     return run
 
 
-def train(docs, labels, max_train=MAX_TRAIN, max_features=MAX_FEATURES, steps=40, penalty=0.1):
+def train(docs, labels, max_train=MAX_TRAIN, max_features=MAX_FEATURES, steps=40, penalty=1e-3):
     """A ``Model`` from document labels.
 
-    Adam steps with a soft threshold, so words without effect end at 0. Without
-    labels of both classes the model scores every text as harmless.
+    Adam steps on the noisy-or likelihood with a squared penalty on weights.
+    Without labels of both classes the model scores every text as harmless.
     """
     spark = docs.sparkSession
     rows = scratch.materialise(training_rows(docs, labels, max_train), "toxic-rows")
@@ -164,34 +194,26 @@ def train(docs, labels, max_train=MAX_TRAIN, max_features=MAX_FEATURES, steps=40
     bags = rows.repartition(PARTS).mapInArrow(_bags(known), "y int, ids array<int>, sizes array<int>")
     bags = scratch.materialise(bags, "toxic-bags")
     n = bags.count()
-    weights = np.array([odds if odds > 1 and z > 4 else 0.0 for _, odds, z in chosen])
-    point, m, v = np.r_[weights, -7.0], 0.0, 0.0
-    rate, floor = 0.3, penalty / n * 10
+    weights = np.array([odds / 2 if odds > 1 else 0.0 for _, odds, _ in chosen])
+    point, m, v = np.r_[weights, -6.0], 0.0, 0.0
+    rate = 0.3
     for step in range(1, steps + 1):
         parts = bags.mapInArrow(_gradient(point[:-1], point[-1]), "sums binary").collect()
         slope = sum(np.frombuffer(p["sums"]) for p in parts)[:-1] / n
+        slope[:-1] += penalty * point[:-1] / 10
         m, v = 0.8 * m + 0.2 * slope, 0.95 * v + 0.05 * slope**2
-        scale = rate / (np.sqrt(v / (1 - 0.95**step)) + 1e-4)
-        point = point - scale * m / (1 - 0.8**step)
-        shrink = np.minimum(scale * floor, 1.0)[:-1]
-        point[:-1] = np.sign(point[:-1]) * np.maximum(np.abs(point[:-1]) - shrink, 0)
+        point = point - rate * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-4)
         rate *= 0.97
-    return Model({w: float(x) for (w, _, _), x in zip(chosen, point) if abs(x) > 1e-6}, float(point[-1]))
+    return Model({w: float(x) for (w, _, _), x in zip(chosen, point)}, float(point[-1]))
 
 
-def _score(data, weights, bias):
-    """Noisy-or over the sentences of one text."""
-    clear, rest = 0, 0.0
-    get = weights.get
-    for sentence in SENTENCE.findall(data):
-        found = terms(sentence)
+def _sentence_scores(data, known, weights, bias):
+    """Logits of the sentences of a text that have words."""
+    for match in SENTENCE.finditer(data):
+        found = terms(match[0])
         if found:
-            hit = {w for w in found if w in weights}
-            if hit:
-                rest += float(_softplus(bias + sum(map(get, hit))))
-            else:
-                clear += 1
-    return float(-np.expm1(-(rest + clear * _softplus(bias))))
+            hit = known.of(found)
+            yield match, bias + sum(weights[i] for i in hit) if hit else bias
 
 
 def score(rows, model, data="data"):
@@ -199,38 +221,48 @@ def score(rows, model, data="data"):
 
     A text without words scores 0.
     """
-    bias = model.bias
-    known = rows.sparkSession.sparkContext.broadcast(model.weights)
+    bias, names = model.bias, list(model.weights)
+    weights = [model.weights[w] for w in names]
+    sent = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
     kept = [c for c in rows.columns if c != data]
 
     def run(batches):
+        known = Known(sent.value)
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            scores = pa.array([_score(t or b"", known.value, bias) for t in texts], pa.float64())
-            yield pa.record_batch([*batch.columns[:-1], scores], names=[*kept, "score"])
+            scores = []
+            for text in batch.column(len(kept)).to_pylist():
+                logits = np.array([z for _, z in _sentence_scores(text or b"", known, weights, bias)])
+                scores.append(float(-np.expm1(-_softplus(logits).sum())))
+            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     schema = StructType([*rows.select(*kept).schema.fields, StructField("score", DoubleType())])
     return rows.select(*kept, data).mapInArrow(run, schema)
 
 
 def locate(docs, model, threshold=THRESHOLD):
-    """(doc_id, sentence, start, end, score, text) of offending sentences; byte offsets."""
-    known = docs.sparkSession.sparkContext.broadcast(model.weights)
-    bias = model.bias
+    """(doc_id, sentence, start, end, score, text) of offending sentences; byte offsets.
+
+    ``sentence`` counts the sentences of a document that have words.
+    """
+    bias, names = model.bias, list(model.weights)
+    weights = [model.weights[w] for w in names]
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    fields = [
+        ("doc_id", pa.int64()), ("sentence", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
+        ("score", pa.float64()), ("text", pa.string()),
+    ]
 
     def run(batches):
+        known = Known(sent.value)
         for batch in batches:
             out = []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, m in enumerate(SENTENCE.finditer(data)):
-                    hit = known.value.keys() & set(terms(m[0]))
-                    p = 1 / (1 + np.exp(-(bias + sum(known.value[w] for w in hit))))
+                for i, (m, z) in enumerate(_sentence_scores(data, known, weights, bias)):
+                    p = float(1 / (1 + np.exp(-z)))
                     if p >= threshold:
-                        out.append((doc, i, m.start(), m.end(), float(p), m[0].decode(errors="replace")))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("doc_id", "sentence", "start", "end", "score", "text"), o)) for o in out],
-                pa.schema([("doc_id", pa.int64()), ("sentence", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("text", pa.string())]),
-            )
+                        text = m[0].decode(errors="replace")
+                        out.append(dict(zip((f for f, _ in fields), (doc, i, m.start(), m.end(), p, text))))
+            yield pa.RecordBatch.from_pylist(out, pa.schema(fields))
 
     ready = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary"))
     return ready.mapInArrow(run, "doc_id long, sentence long, start long, end long, score double, text string")
