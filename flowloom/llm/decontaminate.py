@@ -227,8 +227,12 @@ def clean(docs, benchmark, window=WINDOW, share=20):
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = judge(docs, benchmark, window, share).filter("contaminated")
     bad = bad.select(id_or_last(F.col("doc_id")).alias("_id"), "_text").distinct()
-    key = [id_or_last(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
-    return docs.select("*", *key).join(bad, DOC, "left_anti").select(*docs.columns)
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        id_or_last(F.col("doc_id")).alias("_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"),
+    )
+    return keyed.join(bad, DOC, "left_anti").select("_row.*")
 
 
 SQL = r"""

@@ -318,11 +318,11 @@ def keep_first(docs, width=WIDTH):
     """One row of each group of near duplicates, the one with the smallest id; all rows without words."""
     found = near_duplicates(tagged(docs), width)
     stay = found.filter("n = 0 or _id = component").select("_id").distinct()
-    own = docs.withColumn("_id", id_or_last(F.col("doc_id")))
-    kept = own.join(stay, "_id", "left_semi")
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    turn = F.row_number().over(Window.partitionBy("_id", wordless).orderBy(F.xxhash64("text")))
-    return kept.withColumn("_turn", turn).filter(wordless | (F.col("_turn") == 1)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_or_last(F.col("doc_id")).alias("_id"))
+    kept = rows.join(stay, "_id", "left_semi")
+    wordless = ~F.coalesce("_row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    turn = F.row_number().over(Window.partitionBy("_id", wordless).orderBy(F.xxhash64("_row.text")))
+    return kept.withColumn("_turn", turn).filter(wordless | (F.col("_turn") == 1)).select("_row.*")
 
 
 SQL = r"""

@@ -11,7 +11,7 @@ has the smallest id.
 
 from pyspark.sql import functions as F
 
-from flowloom.llm.text import WHITE, id_or_last, id_or_null, lower_ascii
+from flowloom.llm.text import WHITE, id_or_last, lower_ascii
 from flowloom.sources import scratch
 
 MIN_KEY = 10
@@ -94,40 +94,46 @@ def repeated(docs, batches=4, fanout=2):
     return union.groupBy("_id", "_text").agg(F.collect_set("_line").alias("_lines"))
 
 
-def dedup(docs, batches=4, fanout=2):
-    """Documents without the lines that an earlier document holds.
-
-    Returns the columns of ``docs`` with ``text`` replaced, plus n_lines (before)
-    and n_dropped. A line's key is the line without white space at both ends,
-    A-Z lower-cased; keys of under ten code points never count. A key that two
-    or more ids hold keeps its lines only under the smallest id, there all of
-    them. Null text is one empty line. Rows of one id count as one document; a
-    missing id counts as the largest.
-    """
-    own = docs.columns
-    tagged = docs.withColumns(
-        {
-            "text": F.coalesce("text", F.lit("")),
-            "_id": id_or_last(F.col("doc_id")),
-        }
-    ).withColumn("_text", F.xxhash64("text"))
+def _lined(docs, batches, fanout):
+    """(_row, text, n_lines, n_dropped): every row as it was, and its text without lost lines."""
+    text = F.coalesce("text", F.lit(""))
+    tagged = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        text.alias("text"),
+        id_or_last(F.col("doc_id")).alias("_id"),
+        F.xxhash64(text).alias("_text"),
+    )
     lost = repeated(tagged.select("_id", "_text", "text"), batches, fanout)
     joined = tagged.join(lost, ["_id", "_text"], "left").withColumn("_split", F.split("text", "\n", -1))
-    lines = F.coalesce("_lines", F.array().cast("array<int>"))
-    spared = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), lines)
+    numbers = F.coalesce("_lines", F.array().cast("array<int>"))
+    spared = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), numbers)
     kept = F.concat_ws("\n", F.transform(spared, lambda i: F.get("_split", i)))
     return joined.select(
-        *[c for c in own if c != "text"],
+        "_row",
         F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.size("_split").cast("long").alias("n_lines"),
-        F.size(lines).cast("long").alias("n_dropped"),
+        F.size(numbers).cast("long").alias("n_dropped"),
     )
 
 
+def dedup(docs, batches=4, fanout=2):
+    """``docs`` with the lines taken out of ``text`` that an earlier document holds.
+
+    A line's key is the line without white space at both ends, A-Z lower-cased;
+    keys of under ten code points never count. A key that two or more ids hold
+    keeps its lines only under the smallest id, there all of them. Null text is
+    one empty line. Rows of one id count as one document; a missing id counts as
+    the largest. Other columns come back as they were, whatever their names.
+    """
+    return _lined(docs, batches, fanout).select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
+
+
 def digest(docs, batches=4, fanout=2):
-    """doc_id, n_lines, n_dropped, kept_sha256 of ``dedup``."""
-    done = dedup(docs.select("doc_id", "text"), batches, fanout)
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, n_lines (before), n_dropped and kept_sha256 of what ``dedup`` leaves."""
+    done = _lined(docs.select("doc_id", "text"), batches, fanout)
+    return done.select(
+        "_row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
 
 
 SQL = r"""
