@@ -1,14 +1,15 @@
 """Class distributions, binary-classification metrics and result tables.
 
 Scored rows carry ``y_true``, ``prob`` and ``y_pred``. Anything that needs an
-order of scores works on counts per distinct score (rounded to six places, so
-at most a million rows however large the input is).
+order of scores works on counts per distinct score, in range partitions: scores
+are compared as they are and there may be as many as rows.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.numeric import ratio
+from flowloom.operators.ordering import previous, running_totals
 
 
 def class_distribution(df, label="label", by=()):
@@ -79,44 +80,44 @@ def scores(counts):
 
 
 def histogram(df, truth="y_true", prob="prob"):
-    """(prob, pos, neg) per distinct score."""
-    return df.groupBy(F.round(prob, 6).alias("prob")).agg(
-        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
+    """(prob, pos, neg) per distinct score; rows without a score count nowhere."""
+    return (
+        df.filter(F.col(prob).isNotNull())
+        .groupBy(F.col(prob).cast("double").alias("prob"))
+        .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
     )
 
 
+def _from_the_top(df, truth, prob):
+    """The histogram with totals of each class at and above every score."""
+    return running_totals(histogram(df, truth, prob), [F.col("prob").desc()], ["pos", "neg"])
+
+
 def auc(df, truth="y_true", prob="prob"):
     """(auc): ties count half; NULL when a class is missing."""
-    above = Window.orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = histogram(df, truth, prob).withColumn(
-        "_over", F.coalesce(F.sum("pos").over(above), F.lit(0))
-    )
-    area = F.sum(F.col("neg") * (F.col("_over") + F.col("pos") / 2.0))
+    ranked = _from_the_top(df, truth, prob)
+    area = F.sum(F.col("neg") * (F.col("pos_upto") - F.col("pos") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg(F.try_divide(area, pairs).alias("auc"))
 
 
 def roc(df, truth="y_true", prob="prob"):
-    """(threshold, fpr, tpr), one point per distinct score, high scores first."""
-    upto = Window.orderBy(F.col("prob").desc())
-    everything = Window.partitionBy()
-    return histogram(df, truth, prob).select(
+    """(threshold, fpr, tpr), one point per distinct score."""
+    ranked = _from_the_top(df, truth, prob)
+    pos, neg = ranked.agg(F.sum("pos"), F.sum("neg")).first()
+    return ranked.select(
         F.col("prob").alias("threshold"),
-        F.try_divide(F.sum("neg").over(upto).cast("double"), F.sum("neg").over(everything)).alias(
-            "fpr"
-        ),
-        F.try_divide(F.sum("pos").over(upto).cast("double"), F.sum("pos").over(everything)).alias(
-            "tpr"
-        ),
+        F.try_divide(F.col("neg_upto").cast("double"), F.lit(neg).cast("double")).alias("fpr"),
+        F.try_divide(F.col("pos_upto").cast("double"), F.lit(pos).cast("double")).alias("tpr"),
     )
 
 
 def roc_area(points):
     """Trapezoid area under ``roc`` points, from the corner (0, 0)."""
-    order = Window.orderBy("fpr", "tpr")
-    last_fpr = F.coalesce(F.lag("fpr").over(order), F.lit(0.0))
-    last_tpr = F.coalesce(F.lag("tpr").over(order), F.lit(0.0))
-    slabs = points.select(
+    pairs = previous(points, ["fpr", "tpr"], ["fpr", "tpr"])
+    last_fpr = F.coalesce("fpr_before", F.lit(0.0))
+    last_tpr = F.coalesce("tpr_before", F.lit(0.0))
+    slabs = pairs.select(
         ((F.col("fpr") - last_fpr) * (F.col("tpr") + last_tpr) / 2.0).alias("slab")
     )
     return slabs.agg(F.sum("slab").alias("area"))

@@ -105,6 +105,16 @@ def segments(df, key, bounds, per=(), seed=42, name="segment", digits=4):
     return whole.select(*columns).unionByName(split.select(*columns))
 
 
+def _ranged(df, keys, parts):
+    """``df`` in range partitions of ``keys``, written once, with _p and _at of each row."""
+    ranged = (
+        df.repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    return scratch.materialise(ranged, "ordinal").withColumn("_p", F.shiftright("_at", 33))
+
+
 def sorted_ordinal(df, order_by, per=(), name="ordinal", partitions=None):
     """Number rows 0..n-1 (within ``per``) in the order of ``order_by``.
 
@@ -113,15 +123,7 @@ def sorted_ordinal(df, order_by, per=(), name="ordinal", partitions=None):
     """
     parts = partitions or scratch.partitions_for(df)
     keys = [F.col("_s"), *[F.col(c) if isinstance(c, str) else c for c in order_by]]
-    ranged = (
-        df.withColumn("_s", stratum(per))
-        .repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    fixed = scratch.materialise(ranged, "ordinal").withColumn(
-        "_p", F.shiftright("_at", 33)
-    )
+    fixed = _ranged(df.withColumn("_s", stratum(per)), keys, parts)
     counts = fixed.groupBy("_s", "_p").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first")
     )
@@ -134,12 +136,49 @@ def sorted_ordinal(df, order_by, per=(), name="ordinal", partitions=None):
     )
 
 
+def running_totals(df, order_by, sums, partitions=None):
+    """Adds ``<column>_upto`` for each column of ``sums``: its total up to the row.
+
+    Rows go to range partitions of ``order_by``, which must tell them apart.
+    Each partition adds up its own rows; the only window over all of them has
+    one row per partition.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    fixed = _ranged(df, keys, partitions or scratch.partitions_for(df))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = fixed.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    starts = starts.select("_p", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    own = fixed.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums})
+    return (
+        own.join(scratch.broadcast_if_small(starts), "_p")
+        .withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_b_{c}") for c in sums})
+        .select(*df.columns, *[f"{c}_upto" for c in sums])
+    )
+
+
+def previous(df, order_by, columns, partitions=None):
+    """Adds ``<column>_before``: the value of the row before in ``order_by``, NULL for the first."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    fixed = _ranged(df, keys, partitions or scratch.partitions_for(df))
+    last = fixed.groupBy("_p").agg(*[F.max_by(F.struct(c), "_at").alias(f"_l_{c}") for c in columns])
+    ahead = Window.orderBy("_p")
+    ends = last.select("_p", *[F.lag(f"_l_{c}").over(ahead).alias(f"_l_{c}") for c in columns])
+    inside = Window.partitionBy("_p").orderBy("_at")
+    own = fixed.withColumns({f"_o_{c}": F.lag(F.struct(c)).over(inside) for c in columns})
+    joined = own.join(scratch.broadcast_if_small(ends), "_p")
+    return joined.withColumns(
+        {f"{c}_before": F.coalesce(f"_o_{c}", f"_l_{c}")[c] for c in columns}
+    ).select(*df.columns, *[f"{c}_before" for c in columns])
+
+
 def top_n(df, score, n, key, steps=1_000_000, small=100_000):
     """The n rows with the largest score, ties to the smaller key, for any n.
 
-    A short list is taken with a bounded heap per task. A long one is cut at
-    the score's histogram: rows above the cut step are in, only the rows of
-    that one step are put in order. NULL scores come last.
+    Up to ``small`` rows are taken with a bounded heap per task. A longer list
+    is cut at the score's histogram of at most ``steps`` rows: rows above the cut
+    step are in, only the rows of that one step are put in order, in range
+    partitions. Both ways give the same rows. NULL scores come last.
     """
     order = [F.col(score).desc_nulls_last(), *[F.col(k) for k in _key(key)]]
     if n <= small:

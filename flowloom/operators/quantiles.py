@@ -2,17 +2,25 @@
 
 An approximate pass brackets each wanted position, a second pass counts the
 values inside the bracket (pre-aggregated, so a value shared by a third of the
-rows is one row), and only those counts are ordered.
+rows is one row), and only those counts are put in order, in range partitions,
+so no bracket and no column has to fit into a task. NaN is no value.
 """
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.ordering import running_totals
+
+
+def _value(column):
+    """The column as a double, NaN as NULL."""
+    number = F.col(column).cast("double")
+    return F.when(~F.isnan(number), number)
+
 
 def exact_quantiles(df, columns, probs, accuracy=10_000):
-    """{column: [value per prob]}, linear between neighbours, NULLs skipped.
+    """{column: [value per prob]}, linear between neighbours, NULL and NaN skipped.
 
     Returns None for a column without values.
     """
@@ -20,9 +28,9 @@ def exact_quantiles(df, columns, probs, accuracy=10_000):
     margin = 3.0 / accuracy
     marks = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     first = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
+        *[F.count(_value(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
         *[
-            F.percentile_approx(c, F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias(f"q_{i}")
+            F.percentile_approx(_value(c), F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias(f"q_{i}")
             for i, c in enumerate(columns)
         ],
     ).first()
@@ -57,7 +65,7 @@ def _values_at(df, columns, wanted):
         return {}
     below, entries = [], []
     for w, (i, _, _, _, _, low, high) in enumerate(wanted):
-        value = F.col(columns[i])
+        value = _value(columns[i])
         inside = value.isNotNull()
         if low is not None:
             inside = inside & (value >= F.lit(low))
@@ -67,15 +75,21 @@ def _values_at(df, columns, wanted):
         if high is not None:
             inside = inside & (value <= F.lit(high))
         entries.append(
-            F.when(inside, F.struct(F.lit(w).alias("w"), value.cast("double").alias("v")))
+            F.when(inside, F.struct(F.lit(w).alias("w"), value.alias("v")))
         )
     offsets = df.agg(F.count(F.lit(1)).alias("_rows"), *below).first()
     counts = (
         df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
         .groupBy(F.col("e.w").alias("w"), F.col("e.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(Window.partitionBy("w").orderBy("v")))
     )
+    counts = running_totals(counts, ["w", "v"], ["c"])
+    # One row per wanted mark: what the marks before it add to the running total.
+    totals = {r["w"]: r["n"] for r in counts.groupBy("w").agg(F.sum("c").alias("n")).collect()}
+    ahead = F.lit(0).cast("long")
+    for w in range(len(wanted)):
+        ahead = F.when(F.col("w") == w, F.lit(sum(totals.get(i, 0) for i in range(w)))).otherwise(ahead)
+    counts = counts.withColumn("upto", F.col("c_upto") - ahead)
     position = F.lit(None).cast("long")
     ceiling = F.lit(None).cast("long")
     for w, (_, _, floor_at, ceil_at, *_rest) in enumerate(wanted):

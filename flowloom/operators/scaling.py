@@ -71,11 +71,16 @@ def apply(df, params, by=()):
 
 
 def apply_to_vector(df, params, features="features"):
-    """Scale an array column; positions follow ``pos`` of the parameters."""
+    """Scale an array column; positions follow ``pos`` of the parameters.
+
+    A vector of another width than the parameters is an error.
+    """
     rows = params.orderBy("pos").select("mean", "scale").collect()
+    fits = F.assert_true(F.size(features) == len(rows), f"a vector has other than {len(rows)} values")
     means = F.array(*[F.lit(float(r["mean"])) for r in rows])
     scales = F.array(*[F.lit(float(r["scale"])) for r in rows])
-    pairs = F.arrays_zip(F.col(features).alias("x"), means.alias("m"), scales.alias("s"))
+    vector = F.when(fits.isNull(), F.col(features))
+    pairs = F.arrays_zip(vector.alias("x"), means.alias("m"), scales.alias("s"))
     return df.withColumn(features, F.transform(pairs, lambda p: (p["x"] - p["m"]) / p["s"]))
 
 

@@ -34,8 +34,11 @@ def sliding(df, key, order_by, features, n=10, chunk=20_000, name="buffer"):
     """Adds the last n vectors of the row's key, the row itself being last.
 
     Rows are numbered in (key, order) and cut into even chunks whatever the
-    key sizes are; each chunk borrows the n - 1 rows before it.
+    key sizes are; each chunk borrows the n - 1 rows before it, so a chunk has
+    at least that many.
     """
+    if chunk < n - 1:
+        raise ValueError(f"a chunk of {chunk} rows cannot lend {n - 1}")
     key = [key] if isinstance(key, str) else list(key)
     placed = sorted_ordinal(df, [*key, *order_by], (), "_o").withColumn(
         "_c", F.floor(F.col("_o") / chunk)
@@ -88,12 +91,16 @@ def as_steps(df, features="features", name="steps"):
 
 
 def equal_steps(df, width, steps=10, features="features", name="steps"):
-    """One vector cut into equal steps; the rest that does not fill one is dropped."""
-    size = width // steps
+    """One vector of ``width`` features cut into equal steps.
+
+    The last step is filled up with zeros when ``steps`` does not divide
+    ``width``. A vector of another width is an error.
+    """
+    size = -(-width // steps)
+    fits = F.assert_true(F.size(features) == width, f"features of other than {width} values")
+    zeros = F.array(*[F.lit(0.0)] * (size * steps - width)).cast("array<double>")
+    whole = F.concat(F.when(fits.isNull(), F.col(features)), zeros)
     return df.withColumn(
         name,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(steps - 1)),
-            lambda i: F.slice(F.col(features), i * size + 1, size),
-        ),
+        F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.slice(whole, i * size + 1, size)),
     )

@@ -100,11 +100,56 @@ def s08(spark, sf):
 def s01(spark, sf):
     folder = scratch.new_path(spark, "raw")
     fx.raw_flows(spark, sf).write.option("header", True).csv(folder)
-    paths = scan.list_files(spark, folder)
-    df = scan.scan_raw(spark, paths, scan.header(spark, paths[0])).drop("source_file")
+    df = scan.scan_raw(spark, scan.list_files(spark, folder)).drop("source_file")
     return clean.apply_null_tokens(clean.normalise_header(df))
 
 
+def _mixed_folder(spark, sf):
+    """All raw flows in three groups of files: full, in another order without addresses, blank-free names."""
+    rows = fx.raw_flows(spark, sf).withColumn("_g", F.pmod(F.xxhash64(" Flow ID"), F.lit(3)))
+    names = [c for c in rows.columns if c != "_g"]
+    layouts = [
+        names,
+        [c for c in reversed(names) if c not in ("Src IP", "Dst IP")],
+        ["Dst IP", *[c for c in names if c != "Dst IP"]],
+    ]
+    paths = []
+    for i, layout in enumerate(layouts):
+        folder = scratch.new_path(spark, f"group{i}")
+        part = rows.filter(F.col("_g") == i).select(*layout)
+        if i == 2:
+            part = part.toDF(*scan.normalised(layout))
+        part.write.option("header", True).csv(folder)
+        paths += scan.list_files(spark, folder)
+    return paths
+
+
+@query(
+    "s01_scan_mixed_headers",
+    fx.with_sql(
+        RAW, TOK,
+        """SELECT "Flow_ID", "Timestamp", "Tot_Qty", "Price", "Disc", "Tax", "Label" FROM tok""",
+    ),
+)
+def s01_mixed(spark, sf):
+    """Every row comes back under the right names, whatever its file's header."""
+    df = clean.apply_null_tokens(scan.scan_raw(spark, _mixed_folder(spark, sf)))
+    return df.select("Flow_ID", "Timestamp", "Tot_Qty", "Price", "Disc", "Tax", "Label")
+
+
+@query(
+    "s03_named_files",
+    fx.with_sql(RAW, "SELECT count(*) AS rows, 2 AS absent, 0 AS skipped FROM raw"),
+)
+def s03(spark, sf):
+    """A list of named files, two of which are missing."""
+    paths = _mixed_folder(spark, sf)
+    rows, absent = scan.scan_named(spark, [*paths, f"{paths[0]}.gone", f"{paths[-1]}.gone"])
+    skipped = scan.skipped_lines(spark, paths).agg(F.sum("skipped").alias("skipped"))
+    counted = rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(absent)).alias("absent"))
+    return counted.withColumn("skipped", F.lit(skipped.first()[0]))
+
+
 @query(
     "s02_bad_lines",
     fx.with_sql(
@@ -174,7 +219,7 @@ def s16(spark, sf):
     }
     for name, part in parts.items():
         part.write.parquet(f"{folder}/{name}.parquet")
-    return scan.load_cleaned(spark, [f"{folder}/{name}.parquet" for name in parts])
+    return scan.load_cleaned(spark, [f"{folder}/{name}.parquet" for name in parts])[0]
 
 
 @query(

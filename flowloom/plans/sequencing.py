@@ -108,15 +108,16 @@ def q05(spark, sf):
     "q06_equal_steps",
     fx.with_sql(
         fx.VECTORS_SQL,
-        "s AS (SELECT row_id, i::INT AS step, features[i * 6 + 1 : i * 6 + 6] AS x FROM vectors, range(10) t(i))",
-        "SELECT row_id, step, len(x)::INT AS width, round(x[1], 6) AS first, round(x[6], 6) AS last FROM s",
+        "w AS (SELECT row_id, features || [0.0, 0.0, 0.0, 0.0, 0.0, 0.0] AS f FROM vectors)",
+        "s AS (SELECT row_id, i::INT AS step, f[i * 7 + 1 : i * 7 + 7] AS x FROM w, range(10) t(i))",
+        "SELECT row_id, step, len(x)::INT AS width, round(x[1], 6) AS first, round(x[7], 6) AS last FROM s",
     ),
 )
 def q06(spark, sf):
     df = sequences.equal_steps(fx.vectors(spark, sf), fx.WIDTH, 10)
     return df.select("row_id", F.posexplode("steps").alias("step", "x")).select(
         "row_id", "step", F.size("x").alias("width"),
-        F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[5], 6).alias("last"),
+        F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[6], 6).alias("last"),
     )
 
 

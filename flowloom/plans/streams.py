@@ -30,12 +30,13 @@ def _lines(spark, sf):
     df = fx.events(spark, sf).withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
     lines = packets.encode(df, "flow_id", ["x0", "x1"], "label", ["stream_key", "seq"])
     seq = F.get_json_object("value", "$.seq").cast("double")
-    return lines.withColumn("at", seq)
+    number = F.get_json_object("value", "$.flow_id").cast("long")
+    return lines.withColumns({"at": seq, "number": number})
 
 
 def _feed(spark, lines):
     folder = scratch.new_path(spark, "feed")
-    detect.replay(lines, folder, "at")
+    detect.replay(lines, folder, "at", ties=["number"])
     return folder
 
 
@@ -80,13 +81,17 @@ def t01(spark, sf):
 
 @query(
     "t02_reject_width",
-    fx.with_sql(EV, "SELECT flow_id, label AS true_label FROM ev WHERE x1 <> 7"),
+    fx.with_sql(EV, "SELECT flow_id, label AS true_label, x1 <> 7 AS accepted FROM ev"),
 )
 def t02(spark, sf):
+    """Packets that lost a feature on the way are set aside by the detector."""
     short = F.when(F.col("features")[1] == 7, F.slice("features", 1, 1)).otherwise(F.col("features"))
-    good, _ = detect.read_flows(spark, _feed(spark, _lines(spark, sf)), EXTRA, 1)
-    good = good.withColumn("features", short).filter(F.size("features") == 2)
-    return _drain(spark, good.select("flow_id", "true_label"))
+    detector = _detect(spark, sf, lambda flows: flows.withColumn("features", short))
+    rejected = spark.read.parquet(f"{detector.out}/rejected")
+    return (
+        detector.results(spark).select("flow_id", "true_label", F.lit(True).alias("accepted"))
+        .unionByName(rejected.select("flow_id", "true_label", F.lit(False).alias("accepted")))
+    )
 
 
 @query(
@@ -112,14 +117,14 @@ def _score(df):
     return df.withColumn("prob", 1 / (1 + F.exp(-2 * total / F.size("buffer"))))
 
 
-def _detect(spark, sf):
+def _detect(spark, sf, change=lambda flows: flows):
     params = scaling.fit(fx.events(spark, sf), ["x0", "x1"])
     flows, _ = detect.read_flows(spark, _feed(spark, _lines(spark, sf)), EXTRA, 1)
     detector = detect.Detector(
         params, 2, detect.zero_padded(2), _score, scratch.new_path(spark, "detector"),
         key=["stream_key"], order=["seq"],
     )
-    detector.run(flows)
+    detector.run(change(flows))
     return detector
 
 
@@ -145,12 +150,12 @@ def t06(spark, sf):
 
 
 def _counts(spark, sf):
+    """Counters that follow the detector's own output folder."""
     detector = _detect(spark, sf)
-    decided = detector.results(spark).withColumn("sensor", F.col("stream_key") % 7)
-    folder = scratch.new_path(spark, "verdicts")
-    rows = decided.select("sensor", "true_label", "y_pred")
-    rows.write.parquet(folder)
-    return detect.count_stream(spark, folder, rows.schema, scratch.new_path(spark, "counts"), "sensor")
+    return detect.count_stream(
+        spark, f"{detector.out}/verdicts", "stream_key LONG, true_label INT, y_pred INT",
+        scratch.new_path(spark, "counts"), "sensor", lambda df: df.withColumn("sensor", F.col("stream_key") % 7),
+    )
 
 
 @query("t07_running_counts", fx.with_sql(EV, SCORE, COUNTS, "SELECT * FROM c"))

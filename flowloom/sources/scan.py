@@ -1,5 +1,8 @@
 """Scans of raw and cleaned flow files."""
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,17 +48,12 @@ def _commas(text):
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
 
 
-def scan_raw(spark, paths, columns, header=True):
-    """All columns as text plus ``source_file``.
-
-    A line with more fields than ``columns`` is skipped, a shorter one is
-    filled with NULL.
-    """
+def _lines(spark, paths, columns, header):
+    """Rows of files with one header, as text, with ``_long`` on lines of too many fields."""
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in columns]
         + [T.StructField(CORRUPT, T.StringType())]
     )
-    paths = [paths] if isinstance(paths, str) else list(paths)
     rows = (
         spark.read.schema(schema)
         .option("header", header)
@@ -69,13 +67,98 @@ def scan_raw(spark, paths, columns, header=True):
     # A scan of the corrupt column alone is refused, so a real column takes part.
     present = F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
     too_long = F.coalesce(_commas(F.col(CORRUPT)) >= len(columns), F.lit(False)) & present
-    return rows.filter(~too_long).drop(CORRUPT)
+    return rows.withColumn("_long", too_long).drop(CORRUPT)
+
+
+def normalised(names):
+    """Header names without outer blanks, ``_`` for inner ones; repeats get a number."""
+    seen, out = {}, []
+    for name in names:
+        name = name.strip().replace(" ", "_")
+        seen[name] = seen.get(name, 0) + 1
+        out.append(name if seen[name] == 1 else f"{name}_{seen[name] - 1}")
+    return out
+
+
+def headers(spark, paths, threads=32):
+    """{path: column names} from the first line of each file; [] for an empty file.
+
+    Only that line is read, by the file system client, so no job runs per file.
+    """
+
+    def first_line(path):
+        system, target = scratch.filesystem(spark, path)
+        stream = system.open(target)
+        try:
+            java = spark.sparkContext._jvm.java.io
+            return java.BufferedReader(java.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        lines = list(pool.map(first_line, paths))
+    return {p: next(csv.reader([x.lstrip("\ufeff")])) if x else [] for p, x in zip(paths, lines)}
+
+
+def _scans(spark, paths, columns, header):
+    """One scan for each distinct header among the files."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if columns is not None:
+        return [_lines(spark, paths, list(columns), header)]
+    groups = {}
+    for path, names in headers(spark, paths).items():
+        if names:
+            groups.setdefault(tuple(normalised(names)), []).append(path)
+    if not groups:
+        raise ValueError("no file has a header")
+    return [_lines(spark, own, list(names), True) for names, own in groups.items()]
+
+
+def scan_raw(spark, paths, columns=None, header=True):
+    """All columns as text plus ``source_file``.
+
+    Every file is read by its own header: files whose normalised headers are
+    equal are one scan, and the scans are stacked by column name, absent columns
+    as NULL. With ``columns`` all files have these. A line with more fields than
+    its header is skipped (``skipped_lines`` counts them), a shorter one is
+    filled with NULL; an empty file has no rows.
+    """
+    frames = [rows.filter(~F.col("_long")).drop("_long") for rows in _scans(spark, paths, columns, header)]
+    first, *rest = frames
+    for frame in rest:
+        first = first.unionByName(frame, allowMissingColumns=True)
+    return first
+
+
+def skipped_lines(spark, paths, columns=None, header=True):
+    """(source_file, read, skipped) per file that has lines."""
+    counts = [
+        rows.groupBy("source_file").agg(
+            F.count_if(~F.col("_long")).alias("read"), F.count_if(F.col("_long")).alias("skipped")
+        )
+        for rows in _scans(spark, paths, columns, header)
+    ]
+    first, *rest = counts
+    for frame in rest:
+        first = first.unionByName(frame)
+    return first
+
+
+def scan_named(spark, paths, key=None, per_file=None, seed=42):
+    """(rows, absent paths) of a list of named files.
+
+    Missing files are reported, not read; an error when none is present. With
+    ``per_file`` that many random rows of every larger file are kept, told apart
+    by ``key``.
+    """
+    present, absent = existing(spark, paths)
+    rows = scan_raw(spark, present)
+    return (sample_per_file(rows, key, per_file, seed=seed) if per_file else rows), absent
 
 
 def header(spark, path):
     """Column names of a CSV file."""
-    line = spark.read.option("header", False).csv(path).limit(1).first()
-    return [line[c] for c in line.asDict()]
+    return headers(spark, [path])[path]
 
 
 def cap_per_file(df, n, order_by, file="source_file"):
@@ -103,16 +186,32 @@ def row_counts(df, file="source_file"):
     )
 
 
+def _aligned(frames):
+    """The frames with one type per column: double for different numbers, else text."""
+    kinds = {}
+    for frame in frames:
+        for field in frame.schema.fields:
+            kinds.setdefault(field.name, set()).add(field.dataType)
+    common = {
+        c: T.DoubleType() if all(isinstance(k, T.NumericType) for k in found) else T.StringType()
+        for c, found in kinds.items()
+        if len(found) > 1
+    }
+    return [f.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in common.items() if c in f.columns}) for f in frames]
+
+
 def load_cleaned(spark, paths, label="Label"):
-    """Stack cleaned files by column name, ignoring those without a label.
+    """(rows, skipped): cleaned files stacked by column name.
 
-    An unreadable file is ignored too; no usable file at all is an error.
+    ``skipped`` lists (path, reason) of the files that cannot be opened or have
+    no label; no usable file at all is an error. A column that is a number here
+    and text there is text, different kinds of numbers are doubles.
     """
     from pyspark.errors import PySparkException
 
     from flowloom.operators.clean import concat
 
-    frames = []
+    frames, skipped = [], []
     for p in paths:
         try:
             reader = spark.read
@@ -121,10 +220,13 @@ def load_cleaned(spark, paths, label="Label"):
                 if p.endswith(".parquet")
                 else reader.option("header", True).option("inferSchema", True).csv(p)
             )
-        except PySparkException:
+        except PySparkException as error:
+            skipped.append((p, error.getCondition() or str(error).splitlines()[0]))
             continue
         if label in frame.columns:
             frames.append(frame)
+        else:
+            skipped.append((p, f"no {label} column"))
     if not frames:
-        raise ValueError(f"no file with a {label} column")
-    return concat(frames)
+        raise ValueError(f"no file with a {label} column: {skipped}")
+    return concat(_aligned(frames)), skipped

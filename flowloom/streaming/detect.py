@@ -2,7 +2,9 @@
 
 Each micro-batch is a bounded table: it is joined with the last rows carried
 over per key, cut into even chunks and buffered by the same operator that the
-batch job uses, so one busy key does not end up in one task. What is carried
+batch job uses, so one busy key does not end up in one task. A batch reads the
+carried rows of its own keys and writes back only these; the newest rows of a
+key win, and now and then the written parts are merged into one. What is carried
 and what was decided are written per batch id, which makes a repeated batch
 overwrite its own output.
 """
@@ -15,28 +17,37 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import numeric, text
 from flowloom.operators import clean, metrics, scaling, sequences
-from flowloom.operators.quantiles import exact_quantiles
+from flowloom.operators.ordering import sorted_ordinal
 from flowloom.sources import packets, scratch
 
 
-def replay(df, folder, order_by, slices=4, rows_per_file=1_000_000):
+GRAPH_SLICE = 256
+
+
+def replay(df, folder, order_by, slices=4, rows_per_file=1_000_000, ties=("value",)):
     """Write packet lines to ``folder``, one file after the other along ``order_by``.
 
-    ``df`` has the line as ``value`` and the order column, which must be a
-    number. There are at least ``slices`` files and none is much larger than
-    ``rows_per_file``; later rows are in later files, as in a live feed.
+    ``df`` has the line as ``value``, the order column and the ``ties`` columns,
+    which decide among equal order keys. There are at least ``slices`` files of
+    equal length, none longer than ``rows_per_file``; later rows are in later
+    files, as in a live feed, and rows without an order key come last. The feed is
+    ordered and cut once; each file then reads its own slice. An empty feed is an
+    empty folder.
     """
-    df = scratch.materialise(df.select("value", order_by), "feed")
-    slices = max(slices, math.ceil(df.count() / rows_per_file))
-    marks = exact_quantiles(df, [order_by], [i / slices for i in range(1, slices)])[order_by]
-    edges = [None, *marks, None]
-    for low, high in zip(edges[:-1], edges[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(F.col(order_by) > low)
-        if high is not None:
-            part = part.filter(F.col(order_by) <= high)
-        part.select("value").coalesce(1).write.mode("append").text(folder)
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(["value", order_by, *ties]))
+    order = [F.col(order_by).asc_nulls_last(), *ties]
+    placed = sorted_ordinal(df.select(*columns), order, (), "_at").select("value", "_at")
+    path = scratch.new_path(spark, "feed")
+    n = df.count()
+    files = max(slices, math.ceil(n / rows_per_file))
+    cut = placed.withColumn("_slice", F.floor(F.col("_at") * files / max(n, 1)).cast("int"))
+    cut.write.partitionBy("_slice").parquet(path)
+    df.select("value").limit(0).write.text(folder)
+    for i in range(min(files, n)):
+        own = spark.read.schema("value string, _at long").parquet(f"{path}/_slice={i}")
+        own.coalesce(1).sortWithinPartitions("_at").select("value").write.mode("append").text(folder)
+    scratch.remove(spark, path)
 
 
 def read_flows(spark, folder, extra="", files_per_trigger=None):
@@ -84,23 +95,66 @@ class Detector:
     ``rule`` is (buffer length, padding); ``score`` maps a table with a
     ``buffer`` of vectors to the same table with ``prob``. Packets of the
     wrong width are written aside and touch neither buffers nor counts. An
-    empty ``key`` is one buffer for the whole stream.
+    empty ``key`` is one buffer for the whole stream. Every ``merge_every``
+    batches the state is merged; with ``keep`` keys that were not seen in so many
+    batches are forgotten then.
     """
 
-    def __init__(self, params, width, rule, score, out, key=(), order=("seq",), threshold=0.5):
+    def __init__(
+        self, params, width, rule, score, out, key=(), order=("seq",), threshold=0.5, merge_every=8, keep=None
+    ):
         self.params, self.width, self.rule, self.score = params, width, rule, score
         self.out, self.key, self.order, self.threshold = out, list(key), list(order), threshold
-
-    def _state(self, batch_id):
-        return f"{self.out}/state/batch_id={batch_id}"
+        self.merge_every, self.keep = merge_every, keep
+
+    def _state(self, part):
+        return f"{self.out}/state/part={part}"
+
+    def _parts(self, spark, batch_id):
+        """Complete state parts written before this batch, oldest first."""
+        system, target = scratch.filesystem(spark, f"{self.out}/state")
+        if not system.exists(target):
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(target)]
+        parts = [float(name.split("=")[1]) for name in names if name.startswith("part=")]
+        done = [p for p in parts if p < batch_id and self._complete(spark, p)]
+        return sorted(done)
+
+    def _complete(self, spark, part):
+        system, target = scratch.filesystem(spark, f"{self._state(part)}/_SUCCESS")
+        return system.exists(target)
+
+    def _carried(self, spark, schema, parts, keys=None):
+        """The newest carried rows, of the given keys only."""
+        rows = None
+        for part in parts:
+            own = spark.read.schema(schema).parquet(self._state(part)).withColumn("_part", F.lit(part))
+            rows = own if rows is None else rows.unionByName(own)
+        if keys is not None and self.key:
+            same = F.lit(True)
+            for c in self.key:
+                same = same & rows[c].eqNullSafe(keys[f"_k_{c}"])
+            rows = rows.join(keys, same, "left_semi")
+        newest = F.max("_part").over(Window.partitionBy(*self.key))
+        return rows.withColumn("_newest", newest).filter("_part = _newest").drop("_part", "_newest")
 
     def process(self, batch, batch_id):
         """Decide one micro-batch; its scratch and outdated state are removed."""
         spark = batch.sparkSession
         with scratch.temporary(spark):
-            self._decide(spark, batch, batch_id)
-        if batch_id > 1:
-            scratch.remove(spark, self._state(batch_id - 2))
+            schema = self._decide(spark, batch, batch_id)
+            parts = self._parts(spark, batch_id)
+            if len(parts) >= self.merge_every:
+                self._merge(spark, schema, parts, batch_id)
+
+    def _merge(self, spark, schema, parts, batch_id):
+        """One part in place of all before this batch, which may still be repeated."""
+        rows = self._carried(spark, schema, parts)
+        if self.keep is not None:
+            rows = rows.filter(F.col("_batch") > batch_id - self.keep)
+        rows.write.mode("overwrite").parquet(self._state(batch_id - 0.5))
+        for part in parts:
+            scratch.remove(spark, self._state(part))
 
     def _decide(self, spark, batch, batch_id):
         good, bad = clean.check_width(batch, self.width)
@@ -109,11 +163,14 @@ class Detector:
         rows = scaling.apply_to_vector(good, self.params).withColumns(
             {"_batch": F.lit(batch_id).cast("long"), "_seq": F.struct(*self.order, "flow_id")}
         )
+        rows = scratch.materialise(rows, "fresh")
         both = rows.withColumn("_old", F.lit(False))
-        if batch_id > 0:
-            carried = spark.read.schema(rows.schema).parquet(self._state(batch_id - 1))
+        parts = self._parts(spark, batch_id)
+        if parts:
+            keys = rows.select(*[F.col(c).alias(f"_k_{c}") for c in self.key]).distinct()
+            carried = self._carried(spark, rows.schema, parts, keys)
             both = carried.withColumn("_old", F.lit(True)).unionByName(both)
-        both = scratch.materialise(both, "batch")
+            both = scratch.materialise(both, "batch")
         buffered = sequences.sliding(both, self.key, ["_batch", "_seq"], "features", n)
         fresh = pad(buffered.filter(~F.col("_old")))
         decided = verdicts(self.score(fresh), "prob", self.threshold)
@@ -121,8 +178,9 @@ class Detector:
             f"{self.out}/verdicts/batch_id={batch_id}"
         )
         _tail(both.drop("_old"), self.key, n - 1).write.mode("overwrite").parquet(
-            self._state(batch_id)
+            self._state(float(batch_id))
         )
+        return rows.schema
 
     def run(self, flows, available_now=True, interval="10 seconds"):
         """Start the query; with ``available_now`` wait until the input is read."""
@@ -156,12 +214,19 @@ def running_counts(decided, by=()):
     )
 
 
-def count_stream(spark, folder, schema, sink, by=()):
-    """Running counters of a folder of verdicts, kept up to date in ``sink``."""
+def count_stream(spark, folder, schema, sink, by=(), prepare=None):
+    """Running counters of a folder of verdicts, kept up to date in ``sink``.
+
+    ``prepare`` may add columns to the verdicts. Only the last two sets of
+    counters are kept.
+    """
     stream = spark.readStream.schema(schema).parquet(folder)
+    stream = prepare(stream) if prepare else stream
 
     def store(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{sink}/counts/batch_id={batch_id}")
+        if batch_id > 1:
+            scratch.remove(spark, f"{sink}/counts/batch_id={batch_id - 2}")
 
     (
         running_counts(stream, by)
@@ -210,6 +275,7 @@ def buffer_graph(df, k=10, hops=3, buffer="buffer", size="real", name="smoothed"
 
     Every buffer becomes a nearest-neighbour graph of at most a few dozen
     rows; ``size`` is the number of real rows, the last of which is current.
+    Buffers are worked on ``GRAPH_SLICE`` at a time.
     """
     from pyspark.sql import types as T
 
@@ -223,10 +289,12 @@ def buffer_graph(df, k=10, hops=3, buffer="buffer", size="real", name="smoothed"
             real = part[size].to_numpy()
             result = [None] * len(part)
             for n, last in {(a, b) for a, b in zip(lengths, real)}:
-                at = np.flatnonzero((lengths == n) & (real == last))
-                x = np.stack([np.stack(part[buffer].iloc[i]) for i in at]).astype(np.float64)
-                for i, row in zip(at, _smooth_last(x, last - 1, k, hops)):
-                    result[i] = row
+                same = np.flatnonzero((lengths == n) & (real == last))
+                for start in range(0, len(same), GRAPH_SLICE):
+                    at = same[start : start + GRAPH_SLICE]
+                    x = np.stack([np.stack(part[buffer].iloc[i]) for i in at]).astype(np.float64)
+                    for i, row in zip(at, _smooth_last(x, last - 1, k, hops)):
+                        result[i] = row
             yield part.assign(**{name: result})
 
     return df.mapInPandas(run, schema)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from flowloom.operators import metrics
 
@@ -87,3 +88,13 @@ def test_balance(spark):
     df = spark.createDataFrame([(0,)] * 66 + [(1,)] * 34, "label int")
     assert metrics.balance_check(df).first()["balanced"]
     assert not metrics.balance_check(df.unionAll(df.filter("label = 1"))).first()["balanced"]
+
+
+def test_close_scores_are_told_apart(spark):
+    df = spark.range(1000).select((0.5 + F.col("id") * 1e-9).alias("prob"), (F.col("id") >= 500).cast("int").alias("y_true"))
+    assert metrics.auc(df).first()["auc"] == 1.0
+    points = metrics.roc(df)
+    assert points.count() == 1000
+    assert metrics.roc_area(points).first()["area"] == pytest.approx(1.0)
+    logits = df.withColumn("prob", F.col("prob") * 100 - 50)
+    assert metrics.auc(logits.unionByName(logits.withColumn("prob", F.lit(None).cast("double")))).first()["auc"] == 1.0

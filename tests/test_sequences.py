@@ -41,5 +41,13 @@ def test_mean_pad_up_to_ten_rows(spark):
 def test_reshapes(spark):
     df = spark.createDataFrame([([float(i) for i in range(23)],)], "features array<double>")
     steps = sequences.equal_steps(df, 23, 10).first()["steps"]
-    assert len(steps) == 10 and steps[9] == [18.0, 19.0]
+    assert len(steps) == 10 and steps[7] == [21.0, 22.0, 0.0] and steps[9] == [0.0] * 3
+    with pytest.raises(Exception, match="22"):
+        sequences.equal_steps(df, 22, 10).collect()
     assert sequences.as_steps(df).first()["steps"][:2] == [[0.0], [1.0]]
+
+
+def test_a_chunk_must_hold_what_it_lends(spark):
+    df = spark.range(10).select("id", F.array(F.col("id") * 1.0).alias("f"))
+    with pytest.raises(ValueError):
+        sequences.sliding(df, [], ["id"], "f", 10, chunk=4)

@@ -54,7 +54,8 @@ def test_cleaned_folder_ignores_unlabelled_files(spark, tmp_path):
     spark.createDataFrame([(2.0, 1)], "y double, Label int").write.parquet(str(tmp_path / "b.parquet"))
     spark.createDataFrame([(3.0,)], "x double").write.parquet(str(tmp_path / "c.parquet"))
     paths = [str(tmp_path / n) for n in ("a.parquet", "b.parquet", "c.parquet", "gone.parquet")]
-    got = scan.load_cleaned(spark, paths)
+    got, skipped = scan.load_cleaned(spark, paths)
+    assert [(os.path.basename(p), "PATH" in r) for p, r in skipped] == [("c.parquet", False), ("gone.parquet", True)]
     assert got.columns == ["x", "Label", "y"] and got.count() == 2
     with pytest.raises(ValueError):
         scan.load_cleaned(spark, paths[2:])
@@ -117,3 +118,30 @@ def test_partition_number_follows_the_scanned_files(spark, monkeypatch):
     monkeypatch.setattr(scratch, "PARTITION_BYTES", 100)
     assert 8 < scratch.partitions_for(df) < 1000
     assert scratch.partitions_for(spark.createDataFrame([(1,)], "id int")) == 8
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(" Flow ID,Src IP,Dst Port,Dur,Label\nf1,s1,80,5,Bot\nf2,s2,81,6,Bot,extra\n")
+    (tmp_path / "b.csv").write_text("Dst Port,Dur,Label\n90,7,Benign\n")
+    (tmp_path / "c.csv").write_text("Dur,Dst Port,Label\n8,91,Benign\n9\n")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.csv").write_text("Dur,Dst_Port,Label,Label\n1,2,x,y\n")
+    paths = scan.list_files(spark, str(tmp_path))
+    rows = scan.scan_raw(spark, paths)
+    got = {tuple(r) for r in rows.select("Flow_ID", "Src_IP", "Dst_Port", "Dur", "Label", "source_file").collect()}
+    assert got == {
+        ("f1", "s1", "80", "5", "Bot", "a.csv"), (None, None, "90", "7", "Benign", "b.csv"),
+        (None, None, "91", "8", "Benign", "c.csv"), (None, None, None, "9", None, "c.csv"), (None, None, "2", "1", "x", "e.csv"),
+    }
+    assert rows.filter("Label_1 = 'y'").count() == 1
+    counts = {r["source_file"]: (r["read"], r["skipped"]) for r in scan.skipped_lines(spark, paths).collect()}
+    assert counts["a.csv"] == (1, 1) and counts["c.csv"] == (2, 0)
+    named, absent = scan.scan_named(spark, [*paths, str(tmp_path / "z.csv")], "Dur", 1)
+    assert [os.path.basename(p) for p in absent] == ["z.csv"] and named.filter("source_file = 'c.csv'").count() == 1
+
+
+def test_cleaned_columns_get_one_type(spark, tmp_path):
+    spark.createDataFrame([(1, 0)], "x long, Label int").write.parquet(str(tmp_path / "a.parquet"))
+    spark.createDataFrame([("t", 1)], "x string, Label long").write.parquet(str(tmp_path / "b.parquet"))
+    got, skipped = scan.load_cleaned(spark, [str(tmp_path / n) for n in ("a.parquet", "b.parquet")])
+    assert sorted(map(tuple, got.collect())) == [("1", 0.0), ("t", 1.0)] and not skipped

@@ -118,3 +118,33 @@ def test_buffer_graph_equals_the_table_operators(spark, n, last):
     out = graphs.propagate(nodes, edges, "id", ["f0", "f1", "f2"], 3)
     row = out.filter(F.col("id") == last - 1).first()
     assert np.allclose(got, [row["f0"], row["f1"], row["f2"]])
+
+
+def test_replay_keeps_rows_without_an_order_key(spark, tmp_path):
+    lines = spark.range(50).select(
+        F.col("id").cast("string").alias("value"), F.when(F.col("id") % 5 != 0, F.col("id") * 1.0).alias("at")
+    )
+    detect.replay(lines, str(tmp_path / "a"), "at", 4)
+    assert {int(r[0]) for r in spark.read.text(str(tmp_path / "a")).collect()} == set(range(50))
+    same = lines.withColumn("at", F.lit(1.0))
+    detect.replay(same, str(tmp_path / "b"), "at", 4, rows_per_file=10)
+    assert len(list((tmp_path / "b").glob("part-*.txt"))) >= 5 and spark.read.text(str(tmp_path / "b")).count() == 50
+    detect.replay(lines.limit(0), str(tmp_path / "c"), "at")
+    assert spark.read.text(str(tmp_path / "c")).count() == 0
+
+
+def test_state_is_bounded_by_the_keys_of_a_batch_and_merged(spark, flows):
+    d = detector(spark, flows, ["key"])
+    d.merge_every, d.keep = 3, None
+    rows = flows.select(
+        "flow_id", "key", "seq", F.col("label").alias("true_label"), F.array("a", "b").alias("features")
+    )
+    for i in range(9):
+        d.process(rows.filter((F.col("seq") >= i * 10) & (F.col("seq") < i * 10 + 10)), i)
+        keys = rows.filter((F.col("seq") >= i * 10) & (F.col("seq") < i * 10 + 10)).select("key").distinct().count()
+        state = spark.read.parquet(d._state(float(i)))
+        assert state.select("key").distinct().count() == keys and state.count() <= 3 * keys
+        assert len(d._parts(spark, i + 1)) <= 4
+    want = batch_scores(flows, ["key"])
+    got = {r["flow_id"]: r["prob"] for r in d.results(spark).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
