@@ -113,7 +113,8 @@ def score(model, df, threshold=0.5, inclusive=False):
 
 
 def evaluate(scored, label="label"):
-    """(tn, fp, fn, tp, rates, auc) in one row."""
+    """(tn, fp, fn, tp, rates, auc) in one row; the scored rows are made once."""
+    scored = scratch.materialise(scored.select(label, "prob", "y_pred"), "scored")
     rows = metrics.scores(metrics.confusion(scored, (), label)).first().asDict()
     rows["auc"] = metrics.auc(scored, label).first()["auc"]
     return rows

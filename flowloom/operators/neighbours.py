@@ -86,7 +86,8 @@ def _reach(cells, pivots, k):
     for cell, wide in radius.items():
         bounds = wide + between[cell][homes] + fars
         theta = np.partition(bounds, k)[k] if len(bounds) > k else np.inf
-        reach[cell] = (wide + theta) * (1 + 1e-9) + 1e-9
+        # Two vectors 1e-12 apart as a cosine may be 1.5e-6 apart in space.
+        reach[cell] = (wide + theta) * (1 + 1e-9) + 2e-6
     return reach
 
 
@@ -110,7 +111,8 @@ def _nearest(a, b, own, reps, k, metric):
 
     ``own`` is the row of b that holds the same vector, or -1.
     """
-    gap = 1.0 - a @ b.T if metric == "cosine" else _distances(a, b)
+    # Rounded, so that parallel vectors tie and ids decide among them.
+    gap = np.round(1.0 - a @ b.T, 12) if metric == "cosine" else _distances(a, b)
     same = np.flatnonzero(own >= 0)
     gap[same, own[same]] = np.inf
     # Keep whatever ties with the k-th, so that ids decide, not positions.
@@ -202,10 +204,13 @@ def _blocks(sent, block):
 def knn_edges(df, key, features="features", k=10, metric="cosine", block=8192, cells=None):
     """(src, dst, rank, distance): every row's k nearest other rows.
 
-    Ties go to the smaller id and k is at most the number of other rows. The
-    zero vector is at cosine distance 1 from every row.
+    Ties go to the smaller id, cosine distances being rounded to twelve places,
+    and k is at most the number of other rows. The zero vector is at cosine
+    distance 1 from every row. A vector that is NULL or holds one is an error.
     """
     spark = df.sparkSession
+    whole = F.coalesce(F.forall(features, lambda e: e.isNotNull()), F.lit(False))
+    df = df.filter(F.assert_true(whole, "a vector is NULL or holds NULL").isNull())
     words = F.array_join(F.col(features).cast("array<string>"), ",")
     rows = scratch.materialise(
         df.select(

@@ -278,20 +278,86 @@ def p07(spark, sf):
     return clean.label_column(df)
 
 
+FAMILIES = """CASE o % 9 WHEN 0 THEN ' Benign ' WHEN 1 THEN 'Bot' WHEN 2 THEN 'DDoS-HOIC' WHEN 3 THEN 'DoS-Hulk'
+    WHEN 4 THEN 'FTP-BruteForce' WHEN 5 THEN 'Infilteration' WHEN 6 THEN 'SQL Injection' WHEN 7 THEN 'Web XSS' ELSE 'other' END"""
+
+
 @query(
     "p08_multiclass_label",
     fx.with_sql(
-        RAW,
-        """SELECT "Flow_ID", CASE lower(trim("Label")) WHEN 'benign' THEN 0 WHEN 'bot' THEN 1 WHEN 'dos-hulk' THEN 3 END AS family
-           FROM raw""",
+        FLOWS,
+        "k AS (SELECT flow_key, CAST(split_part(flow_key, '-', 1) AS BIGINT) AS o FROM flows)",
+        "SELECT flow_key, CASE o % 9 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 4 WHEN 7 THEN 4 END AS family FROM k",
     ),
-)
+)
 def p08(spark, sf):
-    return _header(spark, sf).select(
-        "Flow_ID", text.multiclass_label(F.col("Label")).alias("family")
+    """All six families, and a label of none."""
+    rows = fx.flows(spark, sf).select("flow_key", F.split("flow_key", "-")[0].cast("long").alias("o"))
+    named = rows.withColumn("label", F.expr(FAMILIES))
+    return named.select("flow_key", text.multiclass_label(F.col("label")).alias("family"))
+
+
+@query("p03_require_label", fx.with_sql(RAW, "SELECT count(*) AS rows, true AS refused FROM raw"))
+def p03(spark, sf):
+    """A table with a label passes, one without is refused."""
+    df = clean.require_label(_header(spark, sf))
+    try:
+        clean.require_label(df.drop("Label"))
+        refused = False
+    except ValueError:
+        refused = True
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(refused).alias("refused"))
+
+
+@query(
+    "p18_ip_columns",
+    fx.with_sql(RAW, 'SELECT "Src_IP" AS source, "Dst_IP" AS destination, count(*) AS n FROM raw GROUP BY ALL'),
+)
+def p18(spark, sf):
+    """Flows between pairs of hosts, the address columns found by their aliases."""
+    df = clean.normalise_header(fx.raw_flows(spark, sf), {"Src_IP": "Source_IP", "Dst_IP": "dstip"})
+    source, target = clean.ip_columns(df)
+    return df.groupBy(F.col(source).alias("source"), F.col(target).alias("destination")).agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
+@query(
+    "s11_feature_list",
+    fx.with_sql(
+        FLOWS,
+        "f AS (SELECT * FROM (VALUES (0, 'qty'), (1, 'price'), (2, 'disc'), (3, 'tax')) t(pos, name))",
+        "SELECT pos::INT AS pos, name, (SELECT count(*) FROM flows) AS rows FROM f",
+    ),
+)
+def s11(spark, sf):
+    """The names a table's features have, written next to it and read back."""
+    df = fx.flows(spark, sf).select(*fx.FEATURES)
+    folder = scratch.new_path(spark, "features")
+    sinks.write_table(sinks.feature_table(spark, clean.feature_columns(df)), folder)
+    return spark.read.parquet(folder).withColumn("rows", F.lit(df.count()))
+
+
+@query(
+    "s13_reports",
+    fx.with_sql(
+        FLOWS,
+        "c AS (SELECT label, count(*) AS n FROM flows GROUP BY label)",
+        "SELECT k AS format, label, n FROM c, (VALUES ('csv'), ('json')) t(k)",
+    ),
+)
+def s13(spark, sf):
+    """A class report written as CSV and as JSON and read back."""
+    report = fx.flows(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    frames = []
+    for kind in ("csv", "json"):
+        folder = scratch.new_path(spark, "report")
+        sinks.write_table(report, folder, kind)
+        reader = spark.read.schema("label INT, n LONG").option("header", True).format(kind)
+        frames.append(reader.load(folder).select(F.lit(kind).alias("format"), "label", "n"))
+    return frames[0].unionByName(frames[1])
+
+
 @query(
     "p09_coerce_numeric",
     fx.with_sql(
@@ -477,10 +543,21 @@ def p26(spark, sf):
     return logged.select("flow_key", F.round("qty", 6).alias("qty"), F.round("volume", 6).alias("volume"))
 
 
-@query("p27_low_variance", fx.with_sql(FLOWS, "SELECT flow_key, qty, price FROM flows"))
+@query(
+    "p27_low_variance",
+    fx.with_sql(
+        FLOWS,
+        "l AS (UNPIVOT (SELECT flow_key, qty::DOUBLE AS qty, price::DOUBLE AS price, disc::DOUBLE AS disc, tax::DOUBLE AS tax FROM flows) ON qty, price, disc, tax INTO NAME feature VALUE value)",
+        "v AS (SELECT feature FROM l GROUP BY feature HAVING var_pop(value) > 0.01)",
+        "SELECT flow_key, feature, value FROM l JOIN v USING (feature)",
+    ),
+)
 def p27(spark, sf):
+    """The surviving columns in long form, so that SQL decides which survive."""
     df = fx.flows(spark, sf).select("flow_key", *fx.FEATURES)
-    return clean.drop_low_variance(df, fx.FEATURES, 0.01)
+    kept = clean.drop_low_variance(df, fx.FEATURES, 0.01)
+    names = [c for c in kept.columns if c != "flow_key"]
+    return kept.unpivot("flow_key", names, "feature", "value")
 
 
 @query(

@@ -62,18 +62,28 @@ def r02(spark, sf):
     return sampling.trim_total(fx.flows(spark, sf), "flow_key", 5000).select("flow_key", "label")
 
 
-@query(
-    "r03_balanced_sample",
-    fx.with_sql(
-        FLOWS, PER_CLASS,
-        "a AS (SELECT count(*) FILTER (label = 1) AS a FROM flows)",
-        """t AS (SELECT least(a, 1800000) AS attack,
-               CASE WHEN a < 1800000 THEN CAST(floor(a * (1 - 0.3) / 0.3) AS BIGINT) ELSE 4200000 END AS benign FROM a)""",
-        "SELECT flow_key, label FROM r, t WHERE o < CASE label WHEN 0 THEN benign ELSE attack END",
-    ),
-)
-def r03(spark, sf):
-    return sampling.balanced(fx.flows(spark, sf), "flow_key", 6_000_000).select("flow_key", "label")
+def _balanced(name, share):
+    """A balanced sample of that share of all rows."""
+
+    @query(
+        name,
+        fx.with_sql(
+            FLOWS, PER_CLASS,
+            f"a AS (SELECT count(*) FILTER (label = 1) AS a, CAST(floor(count(*) * {share}::DOUBLE) AS BIGINT) AS total FROM flows)",
+            "w AS (SELECT a, total, CAST(floor(total * 0.3::DOUBLE) AS BIGINT) AS attack FROM a)",
+            """t AS (SELECT least(a, attack) AS attack,
+                   CASE WHEN a < attack THEN CAST(floor(a * (1 - 0.3::DOUBLE) / 0.3::DOUBLE) AS BIGINT) ELSE total - attack END AS benign FROM w)""",
+            "SELECT flow_key, label FROM r, t WHERE o < CASE label WHEN 0 THEN benign ELSE attack END",
+        ),
+    )
+    def run(spark, sf):
+        df = fx.flows(spark, sf)
+        return sampling.balanced(df, "flow_key", int(df.count() * share)).select("flow_key", "label")
+
+
+# Attacks are about a quarter of the rows: enough for half of the table, too few for nearly all of it.
+_balanced("r03_balanced_sample", 0.5)
+_balanced("r03_balanced_too_few", 0.95)
 
 
 @query(

@@ -1,7 +1,10 @@
 """Queries: budgets, labelling, classifiers, active learning."""
 
+import json
+
 from pyspark.sql import functions as F
 
+from flowloom.functions import numeric
 from flowloom.operators import learning, sequences
 from flowloom.operators.splitting import kfold, stratified
 from flowloom.plans import fixtures as fx
@@ -11,6 +14,22 @@ from flowloom.sources import scratch, sinks
 VECTORS, SCORED = fx.VECTORS_SQL, fx.SCORED_SQL
 
 
+def _part(table, key, first="85"):
+    """SQL: the rows of ``table`` from that percentage of each class on, in hash order."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {fx.hash_sql(key)}) - 1 AS o,
+        count(*) OVER (PARTITION BY label) AS n FROM {table}), test AS (SELECT * FROM r WHERE o >= n * {first} // 100)"""
+
+
+def _decided(scored, key, threshold=0.5):
+    """Key, label, the rounded score, and whether score and decision agree."""
+    p = F.col("prob")
+    agree = p.between(0, 1) & (F.col("y_pred") == F.when(p > threshold, 1).otherwise(0))
+    return scored.select(key, "label", agree.alias("agrees"))
+
+
+SAME = "true AS agrees FROM test"
+
+
 @query(
     "l01_budgets",
     "SELECT count(*) AS n, CAST(floor(count(*) * 0.05) AS BIGINT) AS initial, CAST(floor(count(*) * 0.02) AS BIGINT) AS per_round FROM embeddings",
@@ -63,10 +82,41 @@ _selection(
 )
 
 
-@query("l07_active_learning")
-def l07(spark, sf):
+def _history(spark, sf, rounds):
     df = fx.wide_vectors(spark, sf)
-    return learning.active_learning(df, "row_id", fx.WIDE, k=10, rounds=10)
+    return learning.active_learning(df, "row_id", fx.WIDE, k=10, rounds=rounds)
+
+
+ROUNDS = """SELECT r::INT AS round, floor(n * 0.05)::BIGINT + (r - 1) * floor(n * 0.02)::BIGINT AS labeled_count,
+    round((floor(n * 0.05) + (r - 1) * floor(n * 0.02)) * 100 / n, 6) AS labeled_percent"""
+
+
+@query(
+    "l07_active_learning",
+    f"WITH c AS (SELECT count(*) AS n FROM embeddings) {ROUNDS}, true AS in_range FROM c, range(1, 11) t(r)",
+)
+def l07(spark, sf):
+    """Budgets of all rounds, and whether the rates are rates."""
+    rates = [F.col(c).between(0, 1) for c in ("test_acc", "test_f1", "test_auc")]
+    return _history(spark, sf, 10).select(
+        "round", "labeled_count", F.round("labeled_percent", 6).alias("labeled_percent"),
+        (rates[0] & rates[1] & rates[2]).alias("in_range"),
+    )
+
+
+@query(
+    "a26_round_history",
+    """WITH c AS (SELECT count(*) AS n FROM embeddings)
+       SELECT count(*) AS rounds, max(floor(n * 0.05)::BIGINT + (r - 1) * floor(n * 0.02)::BIGINT) AS labeled,
+         true AS better_than_chance FROM c, range(1, 3) t(r)""",
+)
+def a26(spark, sf):
+    """The history of two rounds in one row; the labelled set must have taught something."""
+    return _history(spark, sf, 2).agg(
+        F.count(F.lit(1)).alias("rounds"),
+        F.max("labeled_count").alias("labeled"),
+        (F.max_by("test_auc", "round") > 0.5).alias("better_than_chance"),
+    )
 
 
 def _graph_scores(spark, sf):
@@ -87,14 +137,29 @@ def _row(spark, result):
     )
 
 
-@query("l08_graph_classifier")
+@query(
+    "l08_graph_classifier", fx.with_sql(VECTORS, _part("vectors", "row_id", "70"), f"SELECT row_id, label, {SAME}")
+)
 def l08(spark, sf):
-    return _graph_scores(spark, sf).select("row_id", "label", F.round("prob", 6).alias("prob"), "y_pred")
+    return _decided(_graph_scores(spark, sf), "row_id")
+
+
+CONSISTENT = """SELECT count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS attacks, true AS rates_agree"""
 
 
-@query("l09_evaluate_graph")
+def _consistent(rows, by=()):
+    """Class sizes from the confusion counts, and whether the rates follow from them."""
+    hits = (F.col("tn") + F.col("tp")) / (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    f1 = numeric.ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    agree = (F.abs(hits - F.col("accuracy")) < 1e-9) & (F.abs(f1 - F.col("f1")) < 1e-9) & F.col("auc").between(0, 1)
+    return rows.select(
+        *by, (F.col("tn") + F.col("fp")).alias("benign"), (F.col("fn") + F.col("tp")).alias("attacks"), agree.alias("rates_agree")
+    )
+
+
+@query("l09_evaluate_graph", fx.with_sql(VECTORS, _part("vectors", "row_id", "70"), f"{CONSISTENT} FROM test"))
 def l09(spark, sf):
-    return _row(spark, learning.evaluate(scratch.materialise(_graph_scores(spark, sf), "scored")))
+    return _consistent(_row(spark, learning.evaluate(scratch.materialise(_graph_scores(spark, sf), "scored"))))
 
 
 @query(
@@ -126,16 +191,24 @@ def _split_flows(spark, sf):
     return scratch.materialise(scaling.apply(df, params), "scaled")
 
 
-@query("l11_dense_classifier")
+@query("l11_dense_classifier", fx.with_sql(VECTORS, _part("vectors", "row_id"), f"SELECT row_id, label, {SAME}"))
 def l11(spark, sf):
     df = stratified(fx.wide_vectors(spark, sf), "row_id")
     df = scratch.materialise(df, "split")
     model = learning.fit_dense(df.filter(F.col("split") == "train"), fx.WIDE)
     scored = learning.score(model, df.filter(F.col("split") == "test"))
-    return scored.select("row_id", "label", F.round("prob", 6).alias("prob"), "y_pred")
+    return _decided(scored, "row_id")
 
 
-@query("l12_sequence_classifier")
+@query(
+    "l12_sequence_classifier",
+    fx.with_sql(
+        fx.EVENTS_SQL,
+        "p AS (SELECT *, row_number() OVER (ORDER BY ts, flow_id) - 1 AS i, count(*) OVER () AS c FROM ev)",
+        "s AS (SELECT i // 10 AS seq_id, label FROM p WHERE i % 10 = 9)",
+        _part("s", "seq_id"), f"SELECT seq_id, label, {SAME}",
+    ),
+)
 def l12(spark, sf):
     df = fx.events(spark, sf)
     cut = sequences.tumbling(df, ["ts", "flow_id"], ["x0", "x1"])
@@ -143,18 +216,46 @@ def l12(spark, sf):
     rows = scratch.materialise(stratified(rows.drop("steps"), "seq_id"), "sequences")
     model = learning.fit_sequence(rows.filter(F.col("split") == "train"), columns)
     scored = learning.score(model, rows.filter(F.col("split") == "test"))
-    return scored.select("seq_id", "label", F.round("prob", 6).alias("prob"), "y_pred")
+    return _decided(scored, "seq_id")
 
 
-@query("l13_score_threshold")
+@query(
+    "l13_score_threshold",
+    fx.with_sql(fx.FLOWS_SQL, _part("flows", "flow_key"), f"SELECT flow_key, label, {SAME}"),
+)
 def l13(spark, sf):
     df = _split_flows(spark, sf)
     model = learning.fit_graph_classifier(df.filter(F.col("split") == "train"), fx.FEATURES)
     scored = learning.score(model, df.filter(F.col("split") == "test"), 0.42)
-    return scored.select("flow_key", "label", F.round("prob", 6).alias("prob"), "y_pred")
+    return _decided(scored, "flow_key", 0.42)
 
 
-@query("l14_cross_validate")
+@query(
+    "l14_cross_validate",
+    fx.with_sql(
+        VECTORS, _part("vectors", "row_id"),
+        "f AS (SELECT label, list_sum([(o >= n * i // 5)::INT FOR i IN [1, 2, 3, 4]])::INT AS fold FROM r)",
+        f"SELECT * FROM (SELECT fold, {CONSISTENT.removeprefix('SELECT ')} FROM f GROUP BY fold)",
+    ),
+)
 def l14(spark, sf):
     df = scratch.materialise(kfold(fx.wide_vectors(spark, sf), "row_id"), "folds")
-    return learning.cross_validate(df, lambda train: learning.fit_graph_classifier(train, fx.WIDE))
+    rows = learning.cross_validate(df, lambda train: learning.fit_graph_classifier(train, fx.WIDE))
+    return _consistent(rows, ["fold"])
+
+
+@query("s17_model_checkpoint", fx.with_sql(fx.FLOWS_SQL, "SELECT count(*) AS rows, 0 AS differing, 'made-up' AS name FROM flows"))
+def s17(spark, sf):
+    """A saved model scores every flow as before; its settings come back with it."""
+    df = fx.flows(spark, sf)
+    model = learning.fit_graph_classifier(df, fx.FEATURES, max_iter=5)
+    folder = scratch.new_path(spark, "model")
+    counts = df.agg(F.count(F.lit(1)).alias("rows"))
+    sinks.save_model(model, folder, counts, {"model": {"name": "made-up"}})
+    loaded, meta = sinks.load_model(spark, folder)
+    one = learning.score(model, df).select("flow_key", F.col("prob").alias("p"))
+    both = learning.score(loaded, df).join(one, "flow_key")
+    name = json.loads(meta)["model"]["name"]
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prob") != F.col("p")).alias("differing"), F.lit(name).alias("name")
+    )

@@ -52,7 +52,7 @@ def main(argv):
     from flowloom.session import session
 
     sf_dir = f"{ROOT}/sf{argv[0] if argv else '0.01'}"
-    spark = session(master="local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
+    spark = session(master=f"local[{os.environ.get('CPUS', '8')}]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     oracles, failed = entry.oracle_sql(), []
     for name, run in sorted(entry.queries().items()):
