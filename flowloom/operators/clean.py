@@ -203,11 +203,13 @@ def clean_flows(df, label_rule="iequals", fill="median", max_missing=0.3, keep_i
     """The whole cleaning chain from raw text columns to typed flows.
 
     ``fill="zero"`` keeps sparse rows and puts 0 for what is missing;
-    ``fill="median"`` drops them first and puts the column's median.
+    ``fill="median"`` drops them first and puts the column's median, for which
+    the rows are read three times; ``fill=None`` drops them and leaves NULL, as a
+    plan without passes of its own.
     """
     df = apply_null_tokens(require_label(normalise_header(df)))
     df = dedupe(df)
-    if fill == "median":
+    if fill != "zero":
         df = drop_sparse_rows(df, max_missing)
     features = feature_columns(df)
     df = label_column(inf_to_null(coerce_numeric(df), features), label_rule)
@@ -216,4 +218,6 @@ def clean_flows(df, label_rule="iequals", fill="median", max_missing=0.3, keep_i
         # Three passes read this, so the shuffle of dedupe is paid for once.
         df = scratch.materialise(df, "clean")
         return drop_ids(impute_median(df, features), kept)
+    if fill is None:
+        return drop_ids(df, kept)
     return drop_id_like(fill_zero(df, features), kept)

@@ -11,12 +11,17 @@ from flowloom.operators.skew import hot_keys, lookup_join, skew_join
 from flowloom.sources import scratch
 
 
-def knn_graph(df, key, labeled, features="features", k=10, edges="labeled"):
+def knn_graph(df, key, labeled, features="features", k=10, edges="labeled", least=3):
     """(nodes, edges): every row is a node, edges join labelled rows only.
 
     ``labeled`` is a table of keys. ``edges="all"`` searches among all rows.
+    Fewer than ``least`` rows have no neighbours worth the name; each then has
+    only a loop to itself.
     """
     pool = df if edges == "all" else df.join(labeled.select(key), key, "left_semi")
+    if pool.limit(least).count() < least:
+        loops = self_loops(pool, key)
+        return df, loops.withColumns({"rank": F.lit(1), "distance": F.lit(0.0)})
     return df, knn_edges(pool, key, features, k)
 
 
@@ -60,19 +65,44 @@ def host_ids(flows, src, dst):
     return sorted_ordinal(hosts(flows, src, dst), ["node"], (), "node_id")
 
 
+def host_nodes(flows, src, dst, columns, label, order):
+    """(node, label, mean features): one row per host, from one pass over the flows.
+
+    Sums and votes are taken per host and label first, which also splits a busy
+    host between the map sides of both shuffles.
+    """
+    per_label = (
+        endpoints(flows, src, dst)
+        .groupBy("node", label)
+        .agg(
+            F.count(F.lit(1)).alias("_votes"),
+            F.min(F.struct(*[F.col(c) for c in order], F.col("side"))).alias("_seen"),
+            *[F.sum(c).alias(f"_s_{c}") for c in columns],
+            *[F.count(c).alias(f"_n_{c}") for c in columns],
+        )
+    )
+    return per_label.groupBy("node").agg(
+        F.min_by(label, F.struct(-F.col("_votes"), F.col("_seen"))).alias(label),
+        *[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(c) for c in columns],
+    )
+
+
+def host_edges(flows, src, dst, columns, ids=None):
+    """(src, dst, columns): one directed edge per flow, hosts by number."""
+    ids = host_ids(flows, src, dst) if ids is None else ids
+    return edge_ids(flows, ids, src, dst).select("src", "dst", *columns)
+
+
 def host_graph(flows, src, dst, columns, label, order):
     """(nodes, edges): one node per host, one directed edge per flow.
 
     Nodes carry the mean features and majority label of their flows, edges the
-    flow's own features; parallel edges are kept.
+    flow's own features; parallel edges are kept. Who needs one of the two calls
+    ``host_nodes`` or ``host_edges``.
     """
     ids = host_ids(flows, src, dst)
-    nodes = (
-        host_features(flows, src, dst, columns)
-        .join(host_labels(flows, src, dst, label, order), "node")
-        .join(ids, "node")
-    )
-    return nodes, edge_ids(flows, ids, src, dst).select("src", "dst", *columns)
+    nodes = host_nodes(flows, src, dst, columns, label, order).join(ids, "node")
+    return nodes, host_edges(flows, src, dst, columns, ids)
 
 
 def edge_ids(flows, ids, src, dst):

@@ -99,7 +99,9 @@ def a23(spark, sf):
     ),
 )
 def g02_nodes(spark, sf):
-    nodes, _ = graphs.host_graph(fx.flows(spark, sf), "src_ip", "dst_ip", fx.FEATURES, "label", ORDER)
+    df = fx.flows(spark, sf)
+    nodes = graphs.host_nodes(df, "src_ip", "dst_ip", fx.FEATURES, "label", ORDER)
+    nodes = nodes.join(graphs.host_ids(df, "src_ip", "dst_ip"), "node")
     return nodes.select("node_id", "node", "label", *[F.round(F.col(c) + NUDGE, 4).alias(c) for c in fx.FEATURES])
 
 
@@ -111,8 +113,7 @@ def g02_nodes(spark, sf):
     ),
 )
 def g02_edges(spark, sf):
-    _, edges = graphs.host_graph(fx.flows(spark, sf), "src_ip", "dst_ip", fx.FEATURES, "label", ORDER)
-    return edges
+    return graphs.host_edges(fx.flows(spark, sf), "src_ip", "dst_ip", fx.FEATURES)
 
 
 LABELED_GRAPH = f"lab AS (SELECT flow_key FROM flows WHERE {fx.uniform_sql('flow_key')} < 0.23)"
@@ -133,7 +134,7 @@ def g08(spark, sf):
 
     df = fx.flows(spark, sf)
     labeled = scratch.materialise(df.join(fraction(df, "flow_key", 0.23).select("flow_key"), "flow_key", "left_semi"), "labeled")
-    nodes, _ = graphs.host_graph(labeled, "src_ip", "dst_ip", fx.FEATURES, "label", ORDER)
+    nodes = graphs.host_nodes(labeled, "src_ip", "dst_ip", fx.FEATURES, "label", ORDER)
     degree = graphs.endpoints(labeled, "src_ip", "dst_ip").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     return nodes.join(degree, "node").select(
         "node", "label", "degree", F.round(F.col("qty") + NUDGE, 4).alias("qty"), F.round(F.col("price") + NUDGE, 4).alias("price")

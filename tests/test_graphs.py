@@ -111,3 +111,23 @@ def test_host_graph_counts_both_ends_and_keeps_parallel_edges(spark):
 
 def test_self_loops(spark):
     assert sorted(map(tuple, graphs.self_loops(frame(spark, {3: (1,), 4: (1,)}), "id").collect())) == [(3, 3), (4, 4)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_fewer_than_three_rows_have_loops_only(spark, n):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "id long, features array<double>")
+    _, edges = graphs.knn_graph(df, "id", df.select("id"), k=10)
+    got = sorted((r["src"], r["dst"]) for r in edges.collect())
+    want = [(i, j) for i in range(n) for j in range(n) if (i == j) == (n < 3)]
+    assert got == want
+
+
+def test_host_nodes_equal_means_and_votes(spark):
+    flows = spark.range(60).select(
+        F.concat(F.lit("a"), F.col("id") % 3).alias("s"), F.concat(F.lit("b"), F.col("id") % 4).alias("d"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 1.0).alias("x"), (F.col("id") % 5 % 2).cast("int").alias("label"), "id",
+    )
+    got = {r["node"]: (r["label"], r["x"]) for r in graphs.host_nodes(flows, "s", "d", ["x"], "label", ["id"]).collect()}
+    means = {r["node"]: r["x"] for r in graphs.host_features(flows, "s", "d", ["x"]).collect()}
+    labels = {r["node"]: r["label"] for r in graphs.host_labels(flows, "s", "d", "label", ["id"]).collect()}
+    assert got.keys() == means.keys() and all(got[n] == (labels[n], pytest.approx(means[n])) for n in got)
