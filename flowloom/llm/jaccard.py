@@ -8,8 +8,9 @@ itself, the products of a pair are summed over the blocks, and a pair whose sum
 plus the shingles not looked at stays below the overlap its sizes demand is
 discarded. Survivors are checked on whole sets.
 
-A group of thousands of near copies must not become all its pairs. So the rows
-of a column are first linked to the column's smallest and largest row only; the
+A group of thousands of near copies must not become all its pairs. So a row is
+first compared with two rows only: the smallest and the largest of its columns
+that it meets in the most columns, if these are enough for the sizes. The
 product then skips pairs that are already connected, by joining the rows outside
 a column's largest component with the others. No pair of different components
 that shares a column is left out, so the components are exact.
@@ -156,15 +157,18 @@ def prefixes(stops, width):
 
 
 def whole_sets(width):
+    """The sets of the documents that hold a wanted key, one per key and batch."""
+
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sets = [shingle_set(d, hashes, width) for d in batch.column(0).slice(at, 500).to_pylist()]
-                yield pa.record_batch(
-                    [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["key", "members"],
-                )
+            keys, members = [], []
+            for wanted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = shingle_set(data, hashes, width)
+                if set_key(own) == wanted and wanted not in keys[-1:]:
+                    keys.append(wanted)
+                    members.append(own.tobytes())
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], names=["key", "members"])
 
     return run
 
@@ -189,17 +193,51 @@ def verify(pairs, docs, holders, width=WIDTH):
     """
     pairs = scratch.materialise(pairs, "pairs")
     named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = scratch.materialise(named.join(holders, "key").select("_id").distinct(), "involved")
+    ids = scratch.materialise(named.join(holders, "key").select("_id", "key"), "involved")
     if ids.count() <= SEND_IDS:
         ids = F.broadcast(ids)
-    sets = docs.join(ids, "_id", "left_semi").select("data").mapInArrow(whole_sets(width), "key long, members binary")
-    sets = scratch.materialise(sets.join(named, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = docs.join(ids, "_id").select("key", "data").mapInArrow(whole_sets(width), "key long, members binary")
+    sets = scratch.materialise(sets, "sets")
     one = sets.select(F.col("key").alias("a"), F.col("members").alias("_x"))
     two = sets.select(F.col("key").alias("b"), F.col("members").alias("_y"))
     ready = pairs.join(one, "a").join(two, "b").select("a", "b", "_x", "_y")
     return scratch.materialise(ready.mapInArrow(_linked, "a long, b long"), "links")
 
 
+def beyond(n):
+    """Shingles of a set that its prefix leaves out."""
+    return F.floor((n * 4 + 4) / 5) - 1
+
+
+def possible(common, na, nb):
+    """Whether sets of these sizes that share ``common`` prefix shingles may be similar enough."""
+    sizes = (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
+    return sizes & ((common + F.greatest(beyond(na), beyond(nb))) * 9 >= (na + nb) * 4)
+
+
+def stars(postings):
+    """Up to two pairs (a, b) for each key: with a hub and with an end of its columns.
+
+    The hub of a column is its row with the most company in all columns, in a
+    group of near copies most likely the text they were made from. Pairs that the
+    prefixes in common make unlikely are left to the product.
+    """
+    company = postings.groupBy("key").agg(F.sum("_rows").alias("_met"))
+    column = Window.partitionBy("shingle")
+    ends = postings.join(company, "key").select(
+        "key", "n",
+        F.max(F.struct("_met", "key", "n")).over(column).alias("_hub"),
+        F.min(F.struct("key", "n")).over(column).alias("_end"),
+    )
+    side = lambda i, name: F.struct(F.lit(i).alias("side"), F.col(f"{name}.key"), F.col(f"{name}.n"))
+    met = ends.select("key", "n", F.explode(F.array(side(0, "_hub"), side(1, "_end"))).alias("_e"))
+    counts = met.filter(F.col("key") != F.col("_e.key")).groupBy("key", "n", "_e").agg(F.count("*").alias("_c"))
+    likely = counts.filter(possible(F.col("_c"), F.col("n"), F.col("_e.n")))
+    best = likely.groupBy("key", "_e.side").agg(F.max(F.struct("_c", "_e.key")).alias("_b"))
+    end = F.col("_b.key")
+    return best.select(F.least("key", end).alias("a"), F.greatest("key", end).alias("b")).distinct()
+
+
 def product(postings, labels):
     """Pairs (a, b) of different components that the size bounds do not rule out.
 
@@ -224,7 +262,6 @@ def product(postings, labels):
     fits = (F.col("_n") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("_n") * 4)
     once = (F.col("component") == F.col("_main")) | (F.col("_k") < F.col("key"))
     pairs = left.join(mixed, "shingle").filter((F.col("_c") != F.col("component")) & fits & once)
-    beyond = F.greatest(F.floor((F.col("na") * 4 + 4) / 5) - 1, F.floor((F.col("nb") * 4 + 4) / 5) - 1)
     return (
         pairs.select(
             F.least("_k", "key").alias("a"),
@@ -234,7 +271,7 @@ def product(postings, labels):
         )
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("_common"))
-        .filter((F.col("_common") + beyond) * 9 >= (F.col("na") + F.col("nb")) * 4)
+        .filter(possible(F.col("_common"), F.col("na"), F.col("nb")))
         .select("a", "b")
     )
 
@@ -264,16 +301,11 @@ def join(docs, width=WIDTH):
         .select(
             "shingle", "key", "n",
             F.count("*").over(column).alias("_rows"),
-            F.min("key").over(column).alias("_lo"),
-            F.max("key").over(column).alias("_hi"),
         )
         .filter("_rows > 1")
     )
     postings = scratch.materialise(postings, "postings")
-    best = postings.groupBy("key").agg(F.max(F.struct("_rows", "_lo", "_hi")).alias("_b"))
-    ends = best.select("key", F.explode(F.array("_b._lo", "_b._hi")).alias("_end")).filter("key <> _end")
-    stars = ends.select(F.least("key", "_end").alias("a"), F.greatest("key", "_end").alias("b")).distinct()
-    links = verify(stars, docs, holders, width)
+    links = verify(stars(postings), docs, holders, width)
     labels = components(links).select(F.col("node").alias("key"), "component")
     rest = verify(product(postings.select("shingle", "key", "n"), labels), docs, holders, width)
     return described, links.union(rest)
