@@ -3,21 +3,23 @@
 Documents with the same shingle set are one row of the incidence matrix. Its
 columns are ordered, frequent ones last, and a row of ``n`` shingles only keeps
 its first ``n - ceil(0.8 n) + 1``: two rows that overlap enough share one of
-them. The columns are dealt to blocks by hash; a block multiplies its part with
-itself, the products of a pair are summed over the blocks, and a pair whose sum
-plus the shingles not looked at stays below the overlap its sizes demand is
-discarded. Survivors are checked on whole sets.
+them. Columns that have the same hub, the row with the most company, are a block;
+a block multiplies its part of the matrix with itself, the products of a pair are
+summed over the blocks, and a pair whose sum plus the shingles not looked at
+stays below the overlap its sizes demand is discarded. Survivors are checked on
+whole sets.
 
 A group of thousands of near copies must not become all its pairs. So a row is
-first compared with two rows only: the smallest and the largest of its columns
-that it meets in the most columns, if these are enough for the sizes. The
-product then skips pairs that are already connected, by joining the rows outside
-a column's largest component with the others. No pair of different components
-that shares a column is left out, so the components are exact.
+first compared with at most two others: the hub it shares the most columns with,
+and the smallest row of its columns. The product then skips pairs that are
+already connected, by multiplying the rows outside a column's largest component
+with the others; large blocks are cut into pairs of chunks. No pair of different
+components that shares a column is left out, so the components are exact.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -34,6 +36,9 @@ CHUNK = 4_000_000
 CACHE = 1_000_000
 #: Involved documents up to which their ids are sent to the scan of the texts.
 SEND_IDS = 500_000
+#: Rows of a chunk of a block, and products that are added up at a time.
+UNIT = 1000
+STRIP = 2_000_000
 # Odd multipliers of the rolling combination and its final mix.
 FACTORS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
@@ -215,22 +220,29 @@ def possible(common, na, nb):
     return sizes & ((common + F.greatest(beyond(na), beyond(nb))) * 9 >= (na + nb) * 4)
 
 
-def stars(postings):
-    """Up to two pairs (a, b) for each key: with a hub and with an end of its columns.
+def columns(postings):
+    """``postings`` with the hub and the end of each column, both as (key, n).
 
     The hub of a column is its row with the most company in all columns, in a
-    group of near copies most likely the text they were made from. Pairs that the
-    prefixes in common make unlikely are left to the product.
+    group of near copies most likely the text they were made from, so that the
+    columns of a group have one hub.
     """
     company = postings.groupBy("key").agg(F.sum("_rows").alias("_met"))
     column = Window.partitionBy("shingle")
-    ends = postings.join(company, "key").select(
-        "key", "n",
+    return postings.join(company, "key").select(
+        "shingle", "key", "n",
         F.max(F.struct("_met", "key", "n")).over(column).alias("_hub"),
         F.min(F.struct("key", "n")).over(column).alias("_end"),
     )
+
+
+def stars(placed):
+    """Up to two pairs (a, b) for each key: with a hub and with an end of its columns.
+
+    Pairs that the prefixes in common make unlikely are left to the product.
+    """
     side = lambda i, name: F.struct(F.lit(i).alias("side"), F.col(f"{name}.key"), F.col(f"{name}.n"))
-    met = ends.select("key", "n", F.explode(F.array(side(0, "_hub"), side(1, "_end"))).alias("_e"))
+    met = placed.select("key", "n", F.explode(F.array(side(0, "_hub"), side(1, "_end"))).alias("_e"))
     counts = met.filter(F.col("key") != F.col("_e.key")).groupBy("key", "n", "_e").agg(F.count("*").alias("_c"))
     likely = counts.filter(possible(F.col("_c"), F.col("n"), F.col("_e.n")))
     best = likely.groupBy("key", "_e.side").agg(F.max(F.struct("_c", "_e.key")).alias("_b"))
@@ -238,42 +250,92 @@ def stars(postings):
     return best.select(F.least("key", end).alias("a"), F.greatest("key", end).alias("b")).distinct()
 
 
-def product(postings, labels):
+def _multiplied(unit):
+    """Shared columns of the pairs between two chunks of rows of one block."""
+    shingles = np.unique(unit["shingle"].to_numpy())
+    sides = []
+    for left in (True, False):
+        rows = unit.filter(unit["left"] if left else pc.invert(unit["left"]))
+        column = np.searchsorted(shingles, rows["shingle"].to_numpy())
+        order = np.argsort(column, kind="stable")
+        keys, first, place = np.unique(rows["key"].to_numpy(), return_index=True, return_inverse=True)
+        main = rows["main"].to_numpy(zero_copy_only=False)
+        sides.append(
+            (keys, rows["n"].to_numpy()[first], rows["component"].to_numpy()[first], place[order], column[order], main[order])
+        )
+    (ka, na, ca, row_a, col_a, _), (kb, nb, cb, row_b, col_b, main) = sides
+    total = np.zeros(len(ka) * len(kb), np.int64)
+    width = np.bincount(col_b, minlength=len(shingles))
+    start = np.cumsum(width) - width
+    ends = np.cumsum(width[col_a])
+    cuts = np.searchsorted(ends, np.arange(STRIP, (ends[-1] if len(ends) else 0) + STRIP, STRIP))
+    for lo, hi in zip([0, *cuts], [*cuts, len(col_a)]):
+        times = width[col_a[lo:hi]]
+        i = np.repeat(row_a[lo:hi], times)
+        at = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[col_a[lo:hi]], times)
+        j = row_b[at]
+        # Two rows outside the main component meet in both orders; one counts.
+        once = main[at] | (ka[i] < kb[j])
+        total += np.bincount((i * len(kb) + j)[once], minlength=len(total))
+    i, j = np.divmod(np.flatnonzero(total), max(len(kb), 1))
+    fits = (na[i] * 5 >= nb[j] * 4) & (nb[j] * 5 >= na[i] * 4) & (ca[i] != cb[j])
+    i, j = i[fits], j[fits]
+    swap = ka[i] > kb[j]
+    return pa.table(
+        {
+            "a": np.where(swap, kb[j], ka[i]),
+            "b": np.where(swap, ka[i], kb[j]),
+            "na": np.where(swap, nb[j], na[i]),
+            "nb": np.where(swap, na[i], nb[j]),
+            "common": total[i * len(kb) + j],
+        }
+    )
+
+
+def product(placed, labels):
     """Pairs (a, b) of different components that the size bounds do not rule out.
 
-    ``postings`` has (shingle, key, n), ``labels`` (key, component) of the keys
-    that have one. Pair sums count common prefix shingles; what lies beyond the
-    prefix can add at most its length.
+    ``placed`` is the result of ``columns``, ``labels`` (key, component) of the
+    keys that have one. Columns are dealt to blocks by the hash of their hub; the
+    rows of a block outside the largest component of their column are multiplied
+    with all its rows, a pair of chunks of about ``UNIT`` rows at a time. Sums
+    count common prefix shingles; what lies beyond the prefix can add at most its
+    length.
     """
-    tagged = postings.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    tagged = placed.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     column = Window.partitionBy("shingle")
     part = Window.partitionBy("shingle", "component")
     mixed = (
         tagged.withColumn("_size", F.count("*").over(part))
-        .withColumn("_main", F.max(F.struct("_size", "component")).over(column)["component"])
-        .withColumn("_other", F.max(F.col("component") != F.col("_main")).over(column))
+        .withColumn("_most", F.max(F.struct("_size", "component")).over(column)["component"])
+        .withColumn("main", F.col("component") == F.col("_most"))
+        .withColumn("_other", F.max(~F.col("main")).over(column))
         .filter("_other")
-        .select("shingle", "key", "n", "component", "_main")
+        .select("shingle", "key", "n", "component", "main", F.col("_hub.key").alias("_hub"))
     )
     mixed = scratch.materialise(mixed, "mixed-columns")
-    left = mixed.filter("component <> _main").select(
-        "shingle", F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("component").alias("_c")
+    blocks = mixed.select("_hub", "key").distinct().count() // UNIT + 1
+    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("_hub"), F.lit(blocks)))
+    sizes = (
+        mixed.groupBy("block", "key").agg(F.max((~F.col("main")).cast("long")).alias("_out"))
+        .groupBy("block").agg(
+            F.ceil(F.sum("_out") / UNIT).alias("_l"), F.ceil(F.count("*") / UNIT).alias("_r")
+        )
+    )
+    dealt = mixed.join(sizes, "block").withColumns(
+        {"_i": F.pmod(F.xxhash64("key"), F.col("_l")), "_j": F.pmod(F.xxhash64(F.lit(1), "key"), F.col("_r"))}
     )
-    fits = (F.col("_n") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("_n") * 4)
-    once = (F.col("component") == F.col("_main")) | (F.col("_k") < F.col("key"))
-    pairs = left.join(mixed, "shingle").filter((F.col("_c") != F.col("component")) & fits & once)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["shingle", "key", "n", "component", "main"]
+    left = dealt.filter("not main").select("block", "_i", every("_r").alias("_j"), *kept, F.lit(True).alias("left"))
+    right = dealt.select("block", every("_l").alias("_i"), "_j", *kept, F.lit(False).alias("left"))
+    units = left.unionByName(right).groupBy("block", "_i", "_j")
+    pairs = units.applyInArrow(_multiplied, "a long, b long, na long, nb long, common long")
     return (
-        pairs.select(
-            F.least("_k", "key").alias("a"),
-            F.greatest("_k", "key").alias("b"),
-            F.when(F.col("_k") < F.col("key"), F.col("_n")).otherwise(F.col("n")).alias("na"),
-            F.when(F.col("_k") < F.col("key"), F.col("n")).otherwise(F.col("_n")).alias("nb"),
-        )
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("_common"))
+        pairs.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("_common"))
         .filter(possible(F.col("_common"), F.col("na"), F.col("nb")))
         .select("a", "b")
-    )
+    )
 
 
 def join(docs, width=WIDTH):
@@ -305,9 +367,10 @@ def join(docs, width=WIDTH):
         .filter("_rows > 1")
     )
     postings = scratch.materialise(postings, "postings")
-    links = verify(stars(postings), docs, holders, width)
+    placed = scratch.materialise(columns(postings), "columns")
+    links = verify(stars(placed), docs, holders, width)
     labels = components(links).select(F.col("node").alias("key"), "component")
-    rest = verify(product(postings.select("shingle", "key", "n"), labels), docs, holders, width)
+    rest = verify(product(placed, labels), docs, holders, width)
     return described, links.union(rest)
 
 

@@ -107,7 +107,9 @@ def test_jaccard_equals_brute_force(docs, rows):
     assert Counter(tuple(r) for r in jaccard.digest(docs).collect()) == want
 
 
-def test_jaccard_links_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("unit", [1000, 16])
+def test_jaccard_links_a_large_group_of_near_copies(spark, unit, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT", unit)
     rng = random.Random(5)
     base = sentence(rng, 200).split()
     table = []
