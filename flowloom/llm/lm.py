@@ -28,8 +28,8 @@ BACKOFF = 0.4
 CUTOFF = 2
 #: Word numbers have 16 bits, 0 is the unknown word.
 VOCABULARY = 2**16 - 1
-BLOCK_WORDS = 2_000_000
-TABLE_KEYS = 4_000_000
+BLOCK_WORDS = 1_000_000
+TABLE_KEYS = 1_500_000
 COUNTED = 500_000
 
 
@@ -57,7 +57,9 @@ def vocabulary(docs, size=VOCABULARY):
     """Word -> number from 1 for the most frequent words; ties by the word's bytes."""
     counts = docs.select("data").mapInArrow(_count_words, "word binary, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return {bytes(r["word"]): i for i, r in enumerate(top.collect(), 1)}
+    # Written first, so that the driver gets the list and not a list per task.
+    chosen = scratch.materialise(top, "vocabulary").orderBy(F.desc("n"), "word")
+    return {bytes(r["word"]): i for i, r in enumerate(chosen.collect(), 1)}
 
 
 def _number(known, block_words):
