@@ -46,8 +46,10 @@ def layout(dims, threshold, width=BLOCK):
     return [(slice(a, b), total * (b - a) / dims * (1 + 1e-9) + 1e-12) for a, b in zip(cuts, cuts[1:])]
 
 
-def _unit(lists):
-    x = np.array(lists, dtype=np.float64)
+def _unit(lists, dims):
+    """Unit vectors in double precision from an Arrow column of lists of one length."""
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -72,12 +74,12 @@ def _cells(x, budget, axes):
 def _assign(threshold, axes):
     def run(batches):
         for batch in batches:
-            nodes = np.array(batch.column(0).to_pylist(), np.int64)
-            lists = batch.column(1).to_pylist()
-            dims = np.array([len(v) for v in lists])
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            dims = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
-                x = _unit([lists[i] for i in own]) @ rotation(d)
+                x = _unit(lists.take(pa.array(own)), d) @ rotation(d)
                 for b, (part, budget) in enumerate(layout(d, threshold)):
                     code, rows, cells = _cells(x[:, part], budget, min(axes, part.stop - part.start))
                     n = len(own) + len(rows)
@@ -111,7 +113,7 @@ def _met(threshold):
         if not left.num_rows or not right.num_rows:
             return empty
         turn = rotation(d)
-        x, y = _unit(left["embedding"].to_pylist()), _unit(right["embedding"].to_pylist())
+        x, y = _unit(left["embedding"], d), _unit(right["embedding"], d)
         xr, yr = x @ turn, y @ turn
         xn, yn = left["node"].to_numpy(), right["node"].to_numpy()
         home = right["home"].to_numpy(zero_copy_only=False)
