@@ -1,21 +1,22 @@
 """Stupid-backoff language-model scores from n-gram count tables.
 
-The text becomes blocks of word numbers. Each block counts its own n-grams and
-sends them, packed and dealt by hash, to the count tables; a table adds the
-counts of all blocks and answers every block with the totals of the n-grams it
-sent. Joined back to the exploded n-grams of the block's documents, the totals
+The text becomes blocks of words, numbered within the block. Each block counts
+its own n-grams, known by 64-bit hashes of their words, and sends them, packed and
+dealt by hash, to the count tables; a table adds the counts of all blocks and
+answers every block with the totals of the n-grams it sent. Joined back to the exploded n-grams of the block's documents, the totals
 give a score per word, summed per document. An n-gram goes over the wire once
 for each block that has it, so a phrase in every document costs no more than any
 other.
 
 S(w | context) = count(context w) / count(context) if that n-gram was counted at
 least ``CUTOFF`` times, else ``BACKOFF`` * S(w | shorter context); single words
-have their share of all words. The vocabulary is the ``VOCABULARY`` most frequent
-words of the whole corpus; all other words are one unknown word.
+have their share of all words. Every word counts as itself, however rare; only a
+caller that names a vocabulary size gets one unknown word for the rest.
 """
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -26,11 +27,14 @@ from flowloom.sources import scratch
 ORDER = 3
 BACKOFF = 0.4
 CUTOFF = 2
-#: Word numbers have 16 bits, 0 is the unknown word.
-VOCABULARY = 2**16 - 1
+#: Stands for all words outside a named vocabulary; no word is empty.
+UNKNOWN = b""
 BLOCK_WORDS = 1_000_000
 TABLE_KEYS = 1_500_000
 COUNTED = 500_000
+# An odd multiplier and the final mix of the n-gram hashes.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
 def _count_words(batches):
@@ -53,43 +57,46 @@ def _count_words(batches):
         yield flush()
 
 
-def vocabulary(docs, size=VOCABULARY):
-    """Word -> number from 1 for the most frequent words; ties by the word's bytes."""
+def vocabulary(docs, size):
+    """The ``size`` most frequent words; ties by the word's bytes."""
     counts = docs.select("data").mapInArrow(_count_words, "word binary, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     # Written first, so that the driver gets the list and not a list per task.
-    chosen = scratch.materialise(top, "vocabulary").orderBy(F.desc("n"), "word")
-    return {bytes(r["word"]): i for i, r in enumerate(chosen.collect(), 1)}
+    return {bytes(r["word"]) for r in scratch.materialise(top, "vocabulary").collect()}
 
 
 def _number(known, block_words):
-    """Rows of documents as blocks of word numbers."""
+    """Rows of documents as blocks of words: hashes of the distinct ones, and their numbers."""
 
     def run(batches):
-        get, part, serial = known.value.get, TaskContext.get().partitionId(), 0
-        ids, lists, size = [], [], 0
+        part, serial = TaskContext.get().partitionId(), 0
+        ids, lists, size, local = [], [], 0, {}
 
         def block():
-            flat = np.concatenate(lists) if lists else np.empty(0, np.uint16)
+            flat = np.concatenate(lists) if lists else np.empty(0, np.uint32)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in local], np.uint64)
             return pa.record_batch(
                 [
                     pa.array([(part << 32) + serial], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([[len(x) for x in lists]], pa.list_(pa.int64())),
+                    pa.array([hashes.tobytes()], pa.binary()),
                     pa.array([_pack(flat)], pa.binary()),
                 ],
-                names=["block", "ids", "sizes", "numbers"],
+                names=["block", "ids", "sizes", "hashes", "numbers"],
             )
 
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.array([get(w, 0) for w in words(data)], np.uint16)
+                found = words(data)
+                if known is not None:
+                    found = [w if w in known.value else UNKNOWN for w in found]
                 ids.append(doc)
-                lists.append(own)
-                size += len(own)
+                lists.append(np.array([local.setdefault(w, len(local)) for w in found], np.uint32))
+                size += len(found)
                 if size >= block_words:
                     yield block()
-                    serial, ids, lists, size = serial + 1, [], [], 0
+                    serial, ids, lists, size, local = serial + 1, [], [], 0, {}
         if ids:
             yield block()
 
@@ -97,39 +104,46 @@ def _number(known, block_words):
 
 
 def _pack(array):
-    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
+    """Compressed byte planes of an array."""
+    return zstandard.compress(array.view(np.uint8).reshape(-1, array.itemsize).T.tobytes(), 1)
 
 
 def _unpack(data, kind):
-    return np.frombuffer(zstandard.decompress(data), kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def grams(numbers, sizes, order):
+def _hashes(row):
+    """The hash of each word of a block."""
+    return np.frombuffer(row["hashes"], np.uint64)[_unpack(row["numbers"], np.uint32)]
+
+
+def _mixed(h):
+    for factor in MIX:
+        h = h ^ (h >> np.uint64(33))
+        h = h * factor
+    return h ^ (h >> np.uint64(33))
+
+
+def grams(hashes, sizes, order):
     """Keys of the ``order``-grams of each document, and the place each one ends at."""
-    key = np.zeros(max(0, len(numbers) - order + 1), np.uint64)
-    for i in range(order):
-        key = key << np.uint64(16) | numbers[i : len(numbers) - order + 1 + i].astype(np.uint64)
-    within = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    n = max(0, len(hashes) - order + 1)
+    key = hashes[:n]
+    for i in range(1, order):
+        key = _mixed(key * FACTOR + hashes[i : n + i])
+    within = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends = np.flatnonzero(within >= order - 1)
     return key[ends - order + 1], ends
 
 
 def _deal(keys, tables):
-    """The table of each key."""
-    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(40)) % np.uint64(tables)).astype(np.int32)
-
-
-def _planes(keys, order):
-    return np.concatenate([(keys >> np.uint64(16 * i)).astype(np.uint16) for i in range(order)])
+    """The table of each key; a table has a range of keys."""
+    return ((keys >> np.uint64(40)) * np.uint64(tables) >> np.uint64(24)).astype(np.int32)
 
 
-def _keys(planes, order):
-    parts = planes.reshape(order, -1).astype(np.uint64)
-    total = np.zeros(parts.shape[1], np.uint64)
-    for i in range(order):
-        total |= parts[i] << np.uint64(16 * i)
-    return total
+def _steps(keys):
+    """Sorted keys as differences, which pack better."""
+    return np.diff(keys, prepend=np.uint64(0))
 
 
 def _send(order, tables):
@@ -138,10 +152,9 @@ def _send(order, tables):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                numbers = _unpack(row["numbers"], np.uint16)
-                sizes = np.array(row["sizes"], np.int64)
+                hashes, sizes = _hashes(row), np.array(row["sizes"], np.int64)
                 for n in range(1, order + 1):
-                    keys, counts = np.unique(grams(numbers, sizes, n)[0], return_counts=True)
+                    keys, counts = np.unique(grams(hashes, sizes, n)[0], return_counts=True)
                     owner = _deal(keys, tables)
                     for table in np.unique(owner):
                         own = owner == table
@@ -150,7 +163,7 @@ def _send(order, tables):
                                 pa.array([n], pa.int32()),
                                 pa.array([table], pa.int32()),
                                 pa.array([row["block"]], pa.int64()),
-                                pa.array([_pack(_planes(keys[own], n))], pa.binary()),
+                                pa.array([_pack(_steps(keys[own]))], pa.binary()),
                                 pa.array([_pack(counts[own].astype(np.uint32))], pa.binary()),
                             ],
                             names=["n", "part", "block", "keys", "counts"],
@@ -161,8 +174,7 @@ def _send(order, tables):
 
 def _total(rows):
     """The totals of one count table, as answers to the blocks that share it."""
-    n = rows["n"][0].as_py()
-    keys = [_keys(_unpack(k, np.uint16), n) for k in rows["keys"].to_pylist()]
+    keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]
     counts = [_unpack(c, np.uint32) for c in rows["counts"].to_pylist()]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)[place]
@@ -183,26 +195,25 @@ def _scores(order, tables, total, backoff, cutoff):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                numbers = _unpack(row["numbers"], np.uint16)
-                sizes = np.array(row["sizes"], np.int64)
+                hashes, sizes = _hashes(row), np.array(row["sizes"], np.int64)
                 answers = {(a["n"], a["part"]): a["totals"] for a in row["answers"] or []}
-                before = np.full(len(numbers), float(total))
-                score = np.zeros(len(numbers))
+                before = np.full(len(hashes), float(total))
+                score = np.zeros(len(hashes))
                 for n in range(1, order + 1):
-                    keys, ends = grams(numbers, sizes, n)
+                    keys, ends = grams(hashes, sizes, n)
                     distinct, place = np.unique(keys, return_inverse=True)
                     owner, found = _deal(distinct, tables), np.zeros(len(distinct))
                     for table in np.unique(owner):
                         found[owner == table] = _unpack(answers[n, int(table)], np.uint64)
-                    here = np.zeros(len(numbers))
+                    here = np.zeros(len(hashes))
                     here[ends] = found[place]
                     if n == 1:
-                        score = np.log(here / total) if len(numbers) else score
+                        score = np.log(here / total) if len(hashes) else score
                     else:
-                        known = np.zeros(len(numbers), bool)
+                        known = np.zeros(len(hashes), bool)
                         known[ends] = here[ends] >= cutoff
                         context = np.r_[1.0, before[:-1]]
-                        backed = np.zeros(len(numbers), bool)
+                        backed = np.zeros(len(hashes), bool)
                         backed[ends] = True
                         score = np.where(
                             known,
@@ -220,19 +231,19 @@ def _scores(order, tables, total, backoff, cutoff):
     return run
 
 
-def score(docs, order=ORDER, size=VOCABULARY, backoff=BACKOFF, cutoff=CUTOFF, block_words=BLOCK_WORDS, table_keys=TABLE_KEYS):
+def score(docs, order=ORDER, size=None, backoff=BACKOFF, cutoff=CUTOFF, block_words=BLOCK_WORDS, table_keys=TABLE_KEYS):
     """doc_id, n_words, log_score and mean_log_score of every row of ``docs``.
 
     The counts cover all rows. ``log_score`` is the sum of the natural logs of
     the scores of a document's words; n-grams do not cross documents. Null and
     empty texts have no words and score 0; repeated rows count and score each;
     null ids stay null; an empty table gives an empty result. Other columns are
-    ignored.
+    ignored. With ``size`` all but the ``size`` most frequent words are one word.
     """
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary(rows, size))
-    schema = "block long, ids array<long>, sizes array<long>, numbers binary"
+    known = None if size is None else docs.sparkSession.sparkContext.broadcast(vocabulary(rows, size))
+    schema = "block long, ids array<long>, sizes array<long>, hashes binary, numbers binary"
     blocks = scratch.materialise(rows.mapInArrow(_number(known, block_words), schema), "blocks")
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, v: s + v))).head()[0] or 0
     tables = max(1, -(-total // table_keys))

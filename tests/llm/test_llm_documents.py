@@ -312,6 +312,13 @@ def test_backoff_counts_unknown_words_as_one(spark):
     assert got[1] == pytest.approx(math.log(2 / 5))
 
 
+def test_backoff_counts_every_word_of_a_large_vocabulary(spark):
+    frame = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(1000))) for i in range(70)], "doc_id long, text string")
+    got = [r.log_score for r in lm.score(frame.union(frame.filter("doc_id = 0"))).collect()]
+    once = 1000 * math.log(1 / 71000) + (1 + 2 * 998) * math.log(lm.BACKOFF)
+    assert sorted(got) == pytest.approx([once] * 69 + [math.log(2 / 71000)] * 2)
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     rng = random.Random(2)
