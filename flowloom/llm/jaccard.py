@@ -97,8 +97,8 @@ def describe(width):
             n = int(often.sum())
             nulls = pa.nulls(n, pa.int64())
             return pa.record_batch(
-                [nulls, nulls, nulls, _signed(values[often]), pa.array(counts[often].astype(np.int64))],
-                names=["_id", "n", "key", "shingle", "seen"],
+                [nulls, nulls, nulls, nulls, _signed(values[often]), pa.array(counts[often].astype(np.int64))],
+                names=["_id", "content", "n", "key", "shingle", "seen"],
             )
 
         for batch in batches:
@@ -114,8 +114,8 @@ def describe(width):
                     pending, size = [], 0
             nulls = pa.nulls(len(sizes), pa.int64())
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), nulls, nulls],
-                names=["_id", "n", "key", "shingle", "seen"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), nulls, nulls],
+                names=["_id", "content", "n", "key", "shingle", "seen"],
             )
         if pending:
             yield frequent()
@@ -192,16 +192,18 @@ def _linked(batches):
 def verify(pairs, docs, holders, width=WIDTH):
     """The pairs (a, b) of set keys whose whole sets are similar enough.
 
-    ``holders`` maps a key to one document that has the set. Only sets that some
+    ``holders`` maps a key to the (_id, content) of one document that has the set;
+    ids alone do not tell documents apart. Only sets that some
     pair names are built; their ids go to the scan when there are at most
     ``SEND_IDS``, otherwise texts and ids meet in a shuffle.
     """
     pairs = scratch.materialise(pairs, "pairs")
     named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = scratch.materialise(named.join(holders, "key").select("_id", "key"), "involved")
+    ids = scratch.materialise(named.join(holders, "key").select("_id", "content", "key"), "involved")
     if ids.count() <= SEND_IDS:
         ids = F.broadcast(ids)
-    sets = docs.join(ids, "_id").select("key", "data").mapInArrow(whole_sets(width), "key long, members binary")
+    held = docs.join(ids, ["_id", "content"]).select("key", "data")
+    sets = held.mapInArrow(whole_sets(width), "key long, members binary").dropDuplicates(["key"])
     sets = scratch.materialise(sets, "sets")
     one = sets.select(F.col("key").alias("a"), F.col("members").alias("_x"))
     two = sets.select(F.col("key").alias("b"), F.col("members").alias("_y"))
@@ -341,14 +343,19 @@ def product(placed, labels):
 def join(docs, width=WIDTH):
     """(described, links): every document's set, and the links found between sets.
 
-    ``docs`` has _id and data. ``described`` has (_id, n, key); ``links`` has the
-    verified pairs (a, b) of keys, enough of them to connect what is connected.
+    ``docs`` has _id and data. ``described`` has (_id, content, n, key), content
+    being a hash of data; ``links`` has the verified pairs (a, b) of keys, enough of
+    them to connect what is connected.
     """
     spark = docs.sparkSession
-    schema = "_id long, n long, key long, shingle long, seen long"
-    first = scratch.materialise(docs.mapInArrow(describe(width), schema), "sets-described")
-    described = first.filter("shingle is null").select("_id", "n", "key")
-    holders = described.filter("n > 0").groupBy("key").agg(F.min("_id").alias("_id"))
+    schema = "_id long, content long, n long, key long, shingle long, seen long"
+    read = docs.select("_id", "data", F.xxhash64("data").alias("content"))
+    first = scratch.materialise(read.mapInArrow(describe(width), schema), "sets-described")
+    described = first.filter("shingle is null").select("_id", "content", "n", "key")
+    holders = (
+        described.filter("n > 0").groupBy("key").agg(F.min(F.struct("_id", "content")).alias("_h"))
+        .select("key", "_h._id", "_h.content")
+    )
     often = (
         first.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("_c"))
         .filter(F.col("_c") >= STOP_TOTAL).orderBy(F.desc("_c"), "shingle").limit(STOP_LIST).select("shingle")
@@ -368,23 +375,28 @@ def join(docs, width=WIDTH):
     )
     postings = scratch.materialise(postings, "postings")
     placed = scratch.materialise(columns(postings), "columns")
-    links = verify(stars(placed), docs, holders, width)
+    links = verify(stars(placed), read, holders, width)
     labels = components(links).select(F.col("node").alias("key"), "component")
-    rest = verify(product(placed, labels), docs, holders, width)
+    rest = verify(product(placed, labels), read, holders, width)
     return described, links.union(rest)
 
 
+def grouped(docs, width=WIDTH):
+    """(_id, content, n, key, label) of every document; documents of a group share the label."""
+    described, links = join(docs, width)
+    labels = components(links).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    return described.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
 def near_duplicates(docs, width=WIDTH):
     """(_id, n, key, component) of every document; component is the smallest id reachable.
 
     ``docs`` has _id and data (UTF-8 bytes). A document without words is linked
     with nothing.
     """
-    described, links = join(docs, width)
-    labels = components(links).select(F.col("node").alias("key"), "component")
-    tagged = described.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = tagged.filter("n > 0").groupBy("component").agg(F.min("_id").alias("_least"))
-    return tagged.join(least, "component", "left").select(
+    found = grouped(docs, width)
+    least = found.filter("n > 0").groupBy("label").agg(F.min("_id").alias("_least"))
+    return found.join(least, "label", "left").select(
         "_id", "n", "key", F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component")
     )
 
@@ -410,14 +422,23 @@ def digest(docs, width=WIDTH):
 
 
 def keep_first(docs, width=WIDTH):
-    """One row of each group of near duplicates, the one with the smallest id; all rows without words."""
-    found = near_duplicates(tagged(docs), width)
-    stay = found.filter("n = 0 or _id = component").select("_id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_or_last(F.col("doc_id")).alias("_id"))
-    kept = rows.join(stay, "_id", "left_semi")
+    """One row of each group of near duplicates, the one with the smallest id; all rows without words.
+
+    Rows that share an id, or have none, are told apart by their texts: only rows
+    with the same id and text are copies of one place.
+    """
+    place = F.struct("_id", "key", "content")
+    chosen = grouped(tagged(docs), width).filter("n > 0").groupBy("label").agg(F.min(place).alias("_p"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
     wordless = ~F.coalesce("_row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    turn = F.row_number().over(Window.partitionBy("_id", wordless).orderBy(F.xxhash64("_row.text")))
-    return kept.withColumn("_turn", turn).filter(wordless | (F.col("_turn") == 1)).select("_row.*")
+    content = F.xxhash64(F.col("_row.text").cast("binary"))
+    # Copies are merged in each task before they meet.
+    merged = (
+        rows.filter(~wordless).groupBy(id_or_last(F.col("_row.doc_id")).alias("_id"), content.alias("content"))
+        .agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    )
+    kept = merged.join(chosen.select("_p._id", "_p.content"), ["_id", "content"], "left_semi")
+    return kept.select("_row.*").unionByName(rows.filter(wordless).select("_row.*"))
 
 
 SQL = r"""

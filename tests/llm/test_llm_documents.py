@@ -146,6 +146,19 @@ def test_keep_first_keeps_one_of_each_group(docs, rows):
     assert sum(1 for r in kept.collect() if not shingles(r.text)) == sum(1 for r in rows if not shingles(r[1]))
 
 
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(8)
+    texts = [sentence(rng, 40) for _ in range(30)]
+    rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:24]] + [(i, texts[24 + i]) for i in range(6)]
+    copies = [(None, texts[0]), (None, texts[3] + " more"), (7, texts[14]), (9, texts[15]), (None, texts[25]), (None, " "), (7, None)]
+    frame = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(4)
+    kept = [tuple(r) for r in jaccard.keep_first(frame).collect()]
+    near = {(None, texts[3]), (None, texts[3] + " more")}
+    assert sum(r in near for r in kept) == 1
+    sort = lambda found: sorted(((-1 if i is None else i), t or "") for i, t in found)
+    assert sort(r for r in kept if r not in near) == sort([r for r in rows if r not in near] + copies[-2:])
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
