@@ -31,6 +31,7 @@ from flowloom.sources import scratch
 LENGTH = 100
 GRAM = 32
 WIDTHS = (8, 1)
+DOC = ["_id", "content"]
 PIECE = 1_000_000
 #: Documents of a round up to which their ids are sent to the scan of the texts.
 SEND_IDS = 500_000
@@ -38,7 +39,10 @@ SEND_IDS = 500_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-RUN = "_id long, anchor long, low int, high int, rank long, pair long, others array<struct<_id:long,anchor:long>>"
+RUN = (
+    "_id long, content long, anchor long, low int, high int, rank long, pair long, "
+    "others array<struct<_id:long,content:long,anchor:long>>"
+)
 
 
 def _mixed(h):
@@ -104,19 +108,22 @@ def _paired(rank, low, high):
     return _mixed(rank + (low * 128 + high).astype(np.uint64) * np.uint64(BASE))
 
 
-def _merged(ids, anchor, low, high, rank, pair):
+def _merged(ids, content, anchor, low, high, rank, pair):
     """One row per (rank, pair) of a batch, at its earliest place, with the other places."""
-    order = np.lexsort((anchor, ids, pair, rank))
-    ids, anchor, low, high, rank, pair = (x[order] for x in (ids, anchor, low, high, rank, pair))
+    order = np.lexsort((anchor, content, ids, pair, rank))
+    ids, content, anchor, low, high, rank, pair = (x[order] for x in (ids, content, anchor, low, high, rank, pair))
     n = len(ids)
     first = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (pair[1:] != pair[:-1])]) if n else np.empty(0, int)
     owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
-    other = (ids != ids[first][owner]) | (anchor != anchor[first][owner])
+    other = (ids != ids[first][owner]) | (content != content[first][owner]) | (anchor != anchor[first][owner])
     offsets = np.r_[0, np.cumsum(np.bincount(owner[other], minlength=len(first)))].astype(np.int32)
-    places = pa.StructArray.from_arrays([pa.array(ids[other]), pa.array(anchor[other])], names=["_id", "anchor"])
+    places = pa.StructArray.from_arrays(
+        [pa.array(ids[other]), pa.array(content[other]), pa.array(anchor[other])], names=["_id", "content", "anchor"]
+    )
     return pa.record_batch(
         [
             pa.array(ids[first]),
+            pa.array(content[first]),
             pa.array(anchor[first]),
             pa.array(low[first].astype(np.int32)),
             pa.array(high[first].astype(np.int32)),
@@ -124,7 +131,7 @@ def _merged(ids, anchor, low, high, rank, pair):
             pa.array(pair[first].view(np.int64)),
             pa.ListArray.from_arrays(pa.array(offsets), places),
         ],
-        names=["_id", "anchor", "low", "high", "rank", "pair", "others"],
+        names=["_id", "content", "anchor", "low", "high", "rank", "pair", "others"],
     )
 
 
@@ -143,12 +150,12 @@ def _pieces(texts):
 def _ranked(batches):
     """Runs of every document, merged per batch."""
     for batch in batches:
-        ids = np.array(batch.column(0).to_pylist(), np.int64)
-        texts = batch.column(1).to_pylist()
+        ids, content = (np.array(batch.column(i).to_pylist(), np.int64) for i in range(2))
+        texts = batch.column(2).to_pylist()
         parts = []
         for piece in _pieces(texts):
             found = runs(texts[piece])
-            parts.append([ids[piece][found[0]], *found[1:]])
+            parts.append([ids[piece][found[0]], content[piece][found[0]], *found[1:]])
         if parts:
             yield _merged(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -159,7 +166,7 @@ def _refined(width):
     def run(batches):
         for batch in batches:
             parts = []
-            for doc, data, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, content, data, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 hashes = Hashes(np.frombuffer(data, np.uint8))
                 a, low, high, rank = (np.array([f[k] for f in found], np.int64) for k in ("anchor", "low", "high", "rank"))
                 # A later start is nearer to the anchor; blocks are cut at multiples of the width.
@@ -174,7 +181,7 @@ def _refined(width):
                 common = hashes.of(own - block * width, own - block * width - width + 1 + LENGTH)
                 whole = hashes.of(own - far, own - near + LENGTH)
                 shared = _paired(common + _mixed(rank[each].view(np.uint64)), block, block)
-                parts.append([np.full(len(own), doc, np.int64), own, far, near, shared, _paired(whole, far, near)])
+                parts.append([np.full(len(own), doc, np.int64), np.full(len(own), content, np.int64), own, far, near, shared, _paired(whole, far, near)])
                 if sum(len(x[0]) for x in parts) > 200_000:
                     yield _merged(*(np.concatenate(x) for x in zip(*parts)))
                     parts = []
@@ -192,7 +199,7 @@ def settle(rows):
     """
     rank = Window.partitionBy("rank")
     pair = Window.partitionBy("rank", "pair")
-    place = F.struct("_id", "anchor")
+    place = F.struct("_id", "content", "anchor")
     judged = (
         rows.select(
             "*",
@@ -203,7 +210,7 @@ def settle(rows):
         )
         .filter((F.col("_n") > 1) | (F.size("others") > 0))
         .select(
-            "_id", "anchor", "low", "high", "rank",
+            "_id", "content", "anchor", "low", "high", "rank",
             (F.col("_first") != place).alias("late"),
             (F.col("_least") != F.col("_most")).alias("mixed"),
             F.filter("others", lambda o: o != F.col("_first")).alias("others"),
@@ -213,26 +220,28 @@ def settle(rows):
     spans = F.concat("others", F.when(F.col("late"), F.array(place)).otherwise(F.expr("filter(others, o -> false)")))
     covered = judged.select("low", "high", F.explode(spans).alias("_o")).select(
         "_o._id",
+        "_o.content",
         (F.col("_o.anchor") - F.col("low")).alias("start"),
         (F.col("_o.anchor") - F.col("high") + LENGTH).alias("end"),
     )
-    ambiguous = judged.filter("mixed and not late").select("_id", "anchor", "low", "high", "rank")
+    ambiguous = judged.filter("mixed and not late").select("_id", "content", "anchor", "low", "high", "rank")
     return covered, ambiguous
 
 
 def covered(docs):
-    """(_id, start, end) of byte ranges that repeat an earlier string; ranges may overlap.
+    """(_id, content, start, end) of byte ranges that repeat an earlier string; ranges may overlap.
 
-    ``docs`` has _id and data. A place is earlier if its id is smaller, or its
-    start in the same document.
+    ``docs`` has _id, content and data. A document is known by its id and the hash
+    of its bytes. A place is earlier if its id is smaller, or in documents that
+    share an id its content, or its start in the same document.
     """
     found, left = settle(docs.mapInArrow(_ranked, RUN))
     for width in WIDTHS:
-        work = left.groupBy("_id").agg(F.collect_list(F.struct("anchor", "low", "high", "rank")).alias("found"))
+        work = left.groupBy(*DOC).agg(F.collect_set(F.struct("anchor", "low", "high", "rank")).alias("found"))
         work = scratch.materialise(work, "ambiguous")
-        ids = work.select("_id")
-        source = docs.join(F.broadcast(ids), "_id", "left_semi") if ids.count() <= SEND_IDS else docs
-        cut = source.join(work, "_id").select("_id", "data", "found").mapInArrow(_refined(width), RUN)
+        ids = work.select(*DOC)
+        source = docs.join(F.broadcast(ids), DOC, "left_semi") if ids.count() <= SEND_IDS else docs
+        cut = source.join(work, DOC).select(*DOC, "data", "found").mapInArrow(_refined(width), RUN)
         more, left = settle(cut)
         found = found.unionByName(more)
     return found
@@ -270,8 +279,9 @@ def _removed(batches):
 
 def remove(docs):
     """(_id, kept, n_removed, n_spans) of every row of ``docs`` (_id, data)."""
-    spans = covered(docs).distinct().groupBy("_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, "_id", "left").select("_id", "data", "spans")
+    docs = docs.select("_id", F.xxhash64("data").alias("content"), "data")
+    spans = covered(docs).distinct().groupBy(*DOC).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = docs.join(spans, DOC, "left").select("_id", "data", "spans")
     return joined.mapInArrow(_removed, "_id long, kept binary, n_removed long, n_spans long")
 
 
@@ -279,8 +289,9 @@ def digest(docs):
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
     Null and empty texts have no bytes; a missing id counts as the largest and
-    comes back null; rows that share an id are one document whose removed ranges
-    are united, so repeated rows give equal results. Other columns are ignored.
+    comes back null; rows that share an id are told apart by their texts, in the
+    order of a hash of them. Repeated rows, of one id and text, are one document
+    and give equal results. Other columns are ignored.
     """
     data = F.coalesce("text", F.lit("")).cast("binary")
     done = remove(docs.select(id_or_last(F.col("doc_id")).alias("_id"), data.alias("data")))

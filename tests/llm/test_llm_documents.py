@@ -78,6 +78,28 @@ def test_substrings_of_missing_ids_come_last(docs, rows):
     assert all(r.n_removed == r.n_bytes for r in got if r.n_bytes >= 100)
 
 
+def test_substrings_tell_rows_of_one_id_apart(spark):
+    rng = random.Random(12)
+    shared, head = sentence(rng, 60), sentence(rng, 30)
+    texts = [f"{sentence(rng, k)} {shared} {sentence(rng, 9 * k)}" for k in range(1, 9)]
+    texts += [head + " " + sentence(rng, n) for n in (5, 40)] + ["short", "", "ab" * 300]
+    found = [(i, t) for t in texts for i in (None, 7)][::-1] + [(3, texts[2]), (9, texts[5] + " x"), (None, texts[4])]
+    frame = spark.createDataFrame(found, "doc_id long, text string").repartition(4)
+    order = {r.text: r.h for r in frame.selectExpr("text", "xxhash64(cast(text as binary)) h").collect()}
+    seen, want = set(), {}
+    for i, t in sorted(set(found), key=lambda r: (text.LAST_ID if r[0] is None else r[0], order[r[1]])):
+        data = t.encode()
+        cover = bytearray(len(data))
+        for p in range(len(data) - 99):
+            piece = data[p : p + 100]
+            if piece in seen:
+                cover[p : p + 100] = b"\x01" * 100
+            seen.add(piece)
+        want[i, t] = (len(data), sum(cover), hashlib.sha256(bytes(x for x, c in zip(data, cover) if not c)).hexdigest())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.digest(frame).collect())
+    assert got == Counter((r[0], *want[r]) for r in found)
+
+
 def shingles(value):
     found = (value or "").encode().translate(text.LOWER_BYTES).split()
     if not found:
