@@ -5,10 +5,12 @@ of a turn); it emits a speaker marker class, a length class, and whether it asks
 Viterbi finds the most likely states, from which turns are cut, markers removed
 and the canonical form rendered.
 
-A conversation may hold any share of the rows, so it is decoded in chunks of
-turns: each chunk gives its best score from every state before it to every state
-at its end (a max-plus matrix), the matrices of a conversation are chained, and
-each chunk is decoded between the two states that the chain fixed. That is
+A conversation may hold any share of the rows, so its rows are numbered and it is
+decoded in chunks of ``CHUNK_TURNS`` rows: each chunk gives its best score from
+every state before it to every state at its end (a max-plus matrix). ``FAN``
+matrices are multiplied to one, level by level up to one for a conversation; then
+back down, each block fixes the states between its parts, and each chunk is
+decoded between the two states fixed for it. That is
 the same path as one pass over the whole conversation.
 """
 
@@ -37,6 +39,10 @@ N_MARKS, N_LENGTHS = len(ROLES) + 1, len(LENGTHS) + 1
 SYMBOLS = N_MARKS * N_LENGTHS * 2
 STATES = 2 * len(ROLES)
 CHUNK_TURNS = 256
+FAN = 256
+NO_CONV = -(2**63)
+#: Bits of a row's place in its partition, as ``monotonically_increasing_id`` has them.
+PLACE_BITS = 33
 MAX_TRAIN = 5_000
 
 
@@ -69,17 +75,42 @@ def transcripts(turns, keep=75):
     return turns.select("conv_id", "turn", "role", text.alias("text"))
 
 
+def numbered(rows):
+    """``rows`` with ``row``, from 0 in the order of their conversation.
+
+    The order is turn (null first), the start of the text, its hash; equal rows
+    take any. Rows are range partitions that are written once; each counts its
+    own conversations, so no task holds a conversation.
+    """
+    order = ["conv_id", F.asc_nulls_first("turn"), F.substring("text", 1, 64), F.xxhash64("text"), "_tie"]
+    placed = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(scratch.partitions_for(rows), *order).sortWithinPartitions(*order)
+    placed = scratch.materialise(placed.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("conv_id", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    row = F.col("_at") - F.col("_first") + F.col("_offset")
+    return placed.join(offsets, ["conv_id", "_part"]).withColumn("row", row)
+
+
 def observed(parts):
-    """(conv_id, chunk, turn, text, symbols) of transcript parts, with symbols per line."""
+    """(conv_id, chunk, row, turn, text, symbols) of transcript parts, with symbols per line.
+
+    A chunk is ``CHUNK_TURNS`` rows of a conversation. Rows of a null conversation
+    are one conversation, ``NO_CONV``.
+    """
 
     def run(batches):
         for batch in batches:
             found = [[symbol(x) for x in (t or "").split("\n")] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*names, "symbols"])
 
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-1)).cast("long")
     kept = [c for c in ("role",) if c in parts.columns]
-    rows = parts.select(F.col("conv_id").cast("long"), chunk.alias("chunk"), F.col("turn").cast("long"), *kept, "text")
+    conv = F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_CONV))
+    rows = numbered(parts.select(conv.alias("conv_id"), F.col("turn").cast("long"), *kept, "text"))
+    chunk = F.floor(F.col("row") / CHUNK_TURNS).cast("long")
+    rows = rows.select("conv_id", chunk.alias("chunk"), "row", "turn", *kept, "text")
     names = rows.columns
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", symbols array<int>"
     return rows.mapInArrow(run, schema)
@@ -98,7 +129,7 @@ def train(labelled, max_train=MAX_TRAIN, seed=9):
     for i, role in enumerate(ROLES):
         number = F.when(F.col("role") == role, F.lit(i)).otherwise(number)
     own = labelled.filter(place < int(min(1.0, max_train / max(n, 1)) * 1_000_000)).withColumn("_role", number)
-    before = Window.partitionBy("conv_id", "chunk").orderBy("turn", "text")
+    before = Window.partitionBy("conv_id", "chunk").orderBy("row")
     own = own.withColumn("_before", F.lag("_role").over(before)).filter("_role is not null")
     lines = own.select("_role", "_before", "chunk", F.posexplode("symbols").alias("_i", "_s"))
     state = F.col("_role") * 2 + (F.col("_i") > 0).cast("int")
@@ -193,18 +224,43 @@ def _matrices(model):
     return run
 
 
+def _blocks(scored):
+    """The matrices of each ``FAN`` chunks of a conversation, in order."""
+    block = F.floor(F.col("chunk") / FAN).cast("long").alias("block")
+    return scored.groupBy("conv_id", block).agg(F.sort_array(F.collect_list(F.struct("chunk", "score"))).alias("parts"))
+
+
+def _matrix(part):
+    return np.frombuffer(part["score"]).reshape(STATES, STATES)
+
+
+def _product(batches):
+    """One matrix for each block."""
+    schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("score", pa.binary())])
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            score = _matrix(row["parts"][0])
+            for part in row["parts"][1:]:
+                score = (score[:, :, None] + _matrix(part)[None]).max(1)
+            out.append({"conv_id": row["conv_id"], "chunk": row["block"], "score": score.tobytes()})
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 def _chain(batches):
-    """The state before and at the end of each chunk on the best path."""
+    """The state before and at the end of each part of a block, between those of the block if they are fixed."""
     schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int32()), ("last", pa.int32())])
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             score, back = np.zeros(STATES), []
+            if row["entry"] is not None:
+                score = np.where(np.arange(STATES) == row["entry"], 0.0, -np.inf)
             for part in row["parts"]:
-                step = score[:, None] + np.frombuffer(part["score"]).reshape(STATES, STATES)
+                step = score[:, None] + _matrix(part)
                 back.append(step.argmax(0))
                 score = step.max(0)
-            state = int(score.argmax())
+            state = int(score.argmax()) if row["last"] is None else row["last"]
             for part, choice in zip(reversed(row["parts"]), reversed(back)):
                 before = int(choice[state])
                 out.append({"conv_id": row["conv_id"], "chunk": part["chunk"], "entry": before, "last": state})
@@ -212,6 +268,21 @@ def _chain(batches):
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
+def _fixed(scored):
+    """(conv_id, chunk, entry, last) of every chunk: its states on the best path of its conversation."""
+    levels = [_blocks(scratch.materialise(scored, "matrices"))]
+    while (levels[-1].agg(F.max("block")).head()[0] or 0) > 0:
+        product = levels[-1].mapInArrow(_product, "conv_id long, chunk long, score binary")
+        levels.append(_blocks(scratch.materialise(product, "matrices")))
+    none = F.lit(None).cast("int")
+    ready = levels[-1].withColumns({"entry": none, "last": none})
+    for below in [*reversed(levels[:-1]), None]:
+        fixed = scratch.materialise(ready.mapInArrow(_chain, "conv_id long, chunk long, entry int, last int"), "chained")
+        if below is not None:
+            ready = below.join(fixed.withColumnRenamed("chunk", "block"), ["conv_id", "block"])
+    return fixed
+
+
 def _render(model):
     start, move, emit = model
     fields = [
@@ -244,25 +315,21 @@ def parse(parts, model):
 
     ``parts`` is a written table from ``observed``; ``turn`` is the transcript
     part a recovered turn starts in. ``continues`` marks a turn that began in the
-    chunk before. Rows are ordered by turn, then text; a null turn comes first;
-    rows of a null conversation are one conversation. Null text is an empty line.
+    chunk before. Rows are ordered as in ``numbered``; rows of a null conversation
+    are one conversation. Null text is an empty line.
     """
-    rows = parts.withColumn("conv_id", F.coalesce("conv_id", F.lit(-(2**63))))
-    chunks = rows.groupBy("conv_id").agg(F.min("chunk").alias("_least"))
-    rows = rows.join(chunks, "conv_id").withColumn("first", F.col("chunk") == F.col("_least")).drop("_least")
-    lined = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", F.asc_nulls_first("turn"), "text")
+    rows = parts.withColumn("first", F.col("chunk") == 0)
+    lined = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "row")
     scored = lined.select("conv_id", "chunk", "symbols", "first").mapInArrow(
         _matrices(model), "conv_id long, chunk long, score binary"
     )
-    ordered = scored.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "score"))).alias("parts"))
-    fixed = ordered.mapInArrow(_chain, "conv_id long, chunk long, entry int, last int")
-    ready = rows.join(scratch.materialise(fixed, "chained"), ["conv_id", "chunk"]).repartition("conv_id", "chunk")
-    ready = ready.sortWithinPartitions("conv_id", "chunk", F.asc_nulls_first("turn"), "text")
+    ready = rows.join(_fixed(scored), ["conv_id", "chunk"]).repartition("conv_id", "chunk")
+    ready = ready.sortWithinPartitions("conv_id", "chunk", "row")
     schema = "conv_id long, chunk long, part long, turn long, role string, continues boolean, n_lines long, text string"
     found = ready.select("conv_id", "chunk", "turn", "text", "symbols", "first", "entry", "last").mapInArrow(
         _render(model), schema
     )
-    return found.withColumn("conv_id", F.when(F.col("conv_id") != -(2**63), F.col("conv_id")))
+    return found.withColumn("conv_id", F.when(F.col("conv_id") != NO_CONV, F.col("conv_id")))
 
 
 def rendered(turns):

@@ -62,6 +62,30 @@ def test_chunked_path_is_the_best_path():
     assert value(path) == pytest.approx(value(best)) and tuple(path) == best
 
 
+def test_rows_without_conversation_or_turn_are_cut_into_chunks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [rng.choice(("ask?", "a much longer reply " * 4, "User: hm", "AI: yes\nand more")) for _ in range(900)]
+    rows = [(None, rng.choice((None, 0, k)), t) for k, t in enumerate(texts[:600])] + [(5, 1, t) for t in texts[600:]]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
+    start, move, emit = [np.log(np.random.default_rng(1).dirichlet(np.ones(n), k)) for n, k in ((chat.STATES, None), (chat.STATES, chat.STATES), (chat.SYMBOLS, chat.STATES))]
+    start[1::2] = -50
+    for a, b in itertools.product(range(chat.STATES), range(1, chat.STATES, 2)):
+        if a // 2 != b // 2:
+            move[a, b] = -50
+    for size, fan in ((4, 3), (10_000, 256)):
+        monkeypatch.setattr(chat, "CHUNK_TURNS", size)
+        monkeypatch.setattr(chat, "FAN", fan)
+        parts = chat.scratch.materialise(chat.observed(frame))
+        assert parts.groupBy("conv_id", "chunk").count().filter(f"count > {size}").count() == 0
+        turns = chat.parse(parts, (start, move, emit)).orderBy("conv_id", "chunk", "part").collect()
+        for conv, own in ((None, chat.NO_CONV), (5, 5)):
+            symbols = [s for r in parts.filter(f"conv_id = {own}").orderBy("row").collect() for s in r.symbols]
+            path = [2 * chat.ROLES.index(r.role) + (k > 0 or r.continues) for r in turns if r.conv_id == conv for k in range(r.n_lines)]
+            assert len(path) == len(symbols)
+            value = start[path[0]] + emit[path[0], symbols[0]] + sum(move[x, y] + emit[y, z] for x, y, z in zip(path, path[1:], symbols[1:]))
+            assert value == pytest.approx(chat.transfer(symbols, move, emit, start)[0].max())
+
+
 def test_markers():
     assert chat.mark_of("### Human: hi") == (1, 11)
     assert chat.mark_of("A: yes") == (2, 3)
