@@ -1,6 +1,6 @@
 """Registered queries of this package and the SQL that some of them must equal."""
 
-from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, mixing, secrets, substrings, toxicity
+from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, mixing, packing, secrets, substrings, toxicity
 from flowloom.llm.text import table
 
 
@@ -46,11 +46,16 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_best_fit_packing(spark, sf_dir):
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_ngram_jaccard, op3_secret_scan, op4_line_dedup, op5_source_mix, op6_embedding_near_dup,
         op7_lm_score, op8_decontaminate, op9_chat_format, op10_toxicity,
+        op13_best_fit_packing,
     )
 }
 ORACLES = {
