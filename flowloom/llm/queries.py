@@ -1,6 +1,6 @@
 """Registered queries of this package and the SQL that some of them must equal."""
 
-from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, mixing, packing, secrets, substrings, toxicity
+from flowloom.llm import chat, decontaminate, embeddings, jaccard, lines, lm, manifest, mixing, packing, repair, secrets, substrings, toxicity
 from flowloom.llm.text import table
 
 
@@ -46,6 +46,14 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit_packing(spark, sf_dir):
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ QUERIES = {
     for f in (
         op1_suffix_array_dedup, op2_ngram_jaccard, op3_secret_scan, op4_line_dedup, op5_source_mix, op6_embedding_near_dup,
         op7_lm_score, op8_decontaminate, op9_chat_format, op10_toxicity,
-        op13_best_fit_packing,
+        op11_conversation_repair, op12_merkle_manifest, op13_best_fit_packing,
     )
 }
 ORACLES = {
@@ -63,4 +71,6 @@ ORACLES = {
     "op4_line_dedup": lines.SQL,
     "op6_embedding_near_dup": embeddings.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_conversation_repair": repair.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }
