@@ -33,7 +33,7 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = (0).to_bytes(4, "little")
 #: Bytes of text that are cut into words at a time, words kept with their ids, and bytes of ids sent at a time.
-SEGMENT, KNOWN, LONGEST_KNOWN, SEND = 1 << 20, 500_000, 64, 1 << 22
+SEGMENT, KNOWN, LONGEST_KNOWN, SEND = 1 << 22, 800_000, 64, 1 << 22
 #: Stands between words that are encoded in one call.
 MARK, STOPS = b"\x00", b".,;:!?"
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -51,14 +51,15 @@ def tokenizer_path(path=None):
 
 
 class Encoder:
-    """Token ids, as little-endian unsigned 32-bit numbers, of UTF-8 text.
+    """Token ids, as little-endian unsigned 32-bit numbers, of UTF-8 texts.
 
     The tokenizer drops white space and neither its normal form nor its tokens reach
     across ASCII white space, so a text's ids are those of its words, one after the
-    other, and words met before are not encoded again. New words go to the tokenizer in
-    one text: those of letters only end where an id that closes a word stands, others
-    have a mark between them. Works for tokenizers with these properties only; whether
-    stops may be parted from the letter before them is tried out.
+    other, and words met before are not encoded again. A word of ASCII letters is one
+    unit of the tokenizer's model once lower-cased; of the others, those of letters go to
+    the tokenizer in one text, where an id that closes a word ends each, and the rest with
+    a mark between them. Works for tokenizers with these properties only; whether the model
+    may be asked alone, and stops parted from the letter before them, is tried out.
     """
 
     def __init__(self, path=None):
@@ -69,12 +70,20 @@ class Encoder:
         self.known = {}
         mark = self._ids([MARK.decode()])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
-        close = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.model = self.tokenizer.model
+        close = getattr(self.model, "end_of_word_suffix", None)
         words = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(words.values()) + 1, bool)
+        self.numbers = [i.to_bytes(4, "little") for i in range(max(words.values()) + 1)]
+        self.closes = np.zeros(len(self.numbers), bool)
         self.closes[[i for w, i in words.items() if close and w.endswith(close)]] = True
         joined, parted = self._ids([f"a{stops} b1{stops}" for stops in (STOPS.decode(), " " + STOPS.decode())])
         self.part = joined.tobytes() == parted.tobytes()
+        tried = [w for w in sorted(words) if w.isascii() and w.isalpha()][::97] + ["The", "QUICK", "aZbYcX"]
+        self.plain = all(self._model(w.encode()) == i.tobytes() for w, i in zip(tried, self._ids(tried)))
+
+    def _model(self, word):
+        numbers = self.numbers
+        return b"".join([numbers[t.id] for t in self.model.tokenize(word.lower().decode())])
 
     def _ids(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -86,55 +95,76 @@ class Encoder:
 
     def _encode(self, words):
         """Ids of new words."""
-        texts = b" ".join(words).decode().split(" ")
-        letters = [w for w, t in zip(words, texts) if t.isalpha()]
+        known = self.known
+        if self.plain:
+            for w in words:
+                if w.isalpha():
+                    known[w] = self._model(w)
+            words = [w for w in words if w not in known]
+        letters = [w for w in words if w.decode().isalpha()]
         if letters:
             ids = self._ids([b" ".join(letters).decode()])[0]
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(letters):
                 self._keep(letters, ids, [0, *ends[:-1].tolist()], ends.tolist())
-        left = [w for w in words if w not in self.known]
+        left = [w for w in words if w not in known]
         marked = [w for w in left if MARK not in w] if self.mark is not None else []
         if marked:
             ids = self._ids([(b" %b " % MARK).join(marked).decode()])[0]
             cuts = np.flatnonzero(ids == self.mark)
             self._keep(marked, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
-        rest = [w for w in left if w not in self.known]
-        self.known.update((w, i.tobytes()) for w, i in zip(rest, self._ids([w.decode() for w in rest])))
-
-    def _learn(self, words):
-        words = set(words)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = words
-        stopped = {}
-        if self.part:
-            for w in new:
-                core = w.rstrip(STOPS)
-                if core and core is not w and len(core) < len(w) and core[-1:].isalnum():
-                    stopped[w] = core, w[len(core) :]
-        needed = new.difference(stopped)
-        needed.update(p for pair in stopped.values() for p in pair if p not in self.known)
+        rest = [w for w in left if w not in known]
+        known.update((w, i.tobytes()) for w, i in zip(rest, self._ids([w.decode() for w in rest])))
+
+    def _learn(self, new):
+        known, stopped, needed = self.known, {}, set()
+        for w in new:
+            core = w.rstrip(STOPS) if self.part else w
+            if 0 < len(core) < len(w) and core[-1:].isalnum():
+                stopped[w] = core, w[len(core) :]
+                needed.update(p for p in stopped[w] if p not in known)
+            else:
+                needed.add(w)
         if needed:
             self._encode(list(needed))
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in stopped.items())
+        known.update((w, known[a] + known[b]) for w, (a, b) in stopped.items())
 
-    def segments(self, data):
-        """The ids of ``data``, part by part; a part ends at white space."""
+    def encode(self, texts):
+        """The ids of each text; texts are bytes of some megabytes at most together."""
+        if len(self.known) > KNOWN:
+            self.known = {}
+        split = [text.split() for text in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        found = [b"".join(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > LONGEST_KNOWN:
+                del self.known[w]
+        return found
+
+
+def _segments(rows):
+    """Lists of (row, bytes, whether they end its text), about ``SEGMENT`` bytes of text each.
+
+    Long texts are cut before white space.
+    """
+    part, held = [], 0
+    for row, data in rows:
         start = 0
-        while start < len(data):
-            cut = BLANK.search(data, min(start + SEGMENT, len(data)))
+        while True:
+            cut = BLANK.search(data, start + SEGMENT) if len(data) - start > SEGMENT else None
             end = cut.start() if cut else len(data)
-            words = data[start:end].split()
-            start = end + 1
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self._learn(words)
-                yield b"".join(map(self.known.__getitem__, words))
-                if max(map(len, words)) > LONGEST_KNOWN:
-                    self.known = {w: i for w, i in self.known.items() if len(w) <= LONGEST_KNOWN}
+            part.append((row, data[start:end], end == len(data)))
+            held, start = held + end - start, end
+            if held >= SEGMENT:
+                yield part
+                part, held = [], 0
+            if start == len(data):
+                break
+    if part:
+        yield part
 
 
 def pieces(docs, capacity=CAPACITY, path=None):
@@ -146,40 +176,36 @@ def pieces(docs, capacity=CAPACITY, path=None):
     size = 4 * capacity
 
     def run(batches):
-        encode, part, seen = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, task, seen = Encoder(path), TaskContext.get().partitionId(), {}
         rows, held = [], 0
 
         def add(doc, number, start, ids):
             length = len(ids) // 4
             rank = seen.get(length, 0)
             seen[length] = rank + 1
-            rows.append((doc, number, start, length, ids, zlib.crc32(ids), part, rank))
+            rows.append((doc, number, start, length, ids, zlib.crc32(ids), task, rank))
 
         def batch():
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             return pa.record_batch(columns, names=names)
 
-        for one in batches:
-            for doc, text in zip(one.column(0), one.column(1)):
-                doc, number, buffer = doc.as_py(), 0, b""
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for ids in encode.segments(data):
-                    buffer += ids
-                    at = 0
-                    while len(buffer) - at > size:
-                        add(doc, number, number * capacity, buffer[at : at + size])
-                        at, number, held = at + size, number + 1, held + size
-                        if held >= SEND:
-                            yield batch()
-                            rows, held = [], 0
-                    buffer = buffer[at:]
-                buffer += END
-                for at in range(0, len(buffer), size):
+        def documents():
+            for one in batches:
+                for doc, text in zip(one.column(0), one.column(1)):
+                    yield doc.as_py(), text.as_buffer().to_pybytes() if text.is_valid else b""
+
+        number, buffer = 0, b""
+        for part in _segments(documents()):
+            for (doc, _, last), ids in zip(part, encoder.encode([data for _, data, _ in part])):
+                buffer += ids + END if last else ids
+                at, keep = 0, 0 if last else 1
+                while len(buffer) - at >= size + keep or (last and at < len(buffer)):
                     add(doc, number, number * capacity, buffer[at : at + size])
-                    number, held = number + 1, held + min(size, len(buffer) - at)
-                if held >= SEND:
-                    yield batch()
-                    rows, held = [], 0
+                    at, number, held = at + size, number + 1, held + size
+                number, buffer = (0, b"") if last else (number, buffer[at:])
+            if held >= SEND:
+                yield batch()
+                rows, held = [], 0
         if rows:
             yield batch()
 

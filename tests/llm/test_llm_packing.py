@@ -38,12 +38,18 @@ def test_words_give_the_ids_of_the_text(tokenizer):
     encode = packing.Encoder()
     texts = [
         "á ́b don't I'LL <|endoftext|> x<|startoftext|>y \x00 a\x00b  z q Å İ ΑΣ  Σ 12345 ½",
-        "", "   ", "\x00", " \x00 ", "日本語 👩‍👩‍👧 __a_b-c ... a...b?! é. 9. <|endoftext|>.", "‍̀ x", "\x1c a\x1fb \x85 c", "İstanbul ǅ ﬁ",
-        "word " * 400_000, "y" * 3_000_000,
+        "", "   ", "\x00", " \x00 ", "日本語 👩‍👩‍👧 __a_b-c ... a...b?! é. 9. <|endoftext|>.", "‍̀ x", "\x1c a\x1fb \x85 c", "İstanbul ǅ ﬁ H̱ T̈ <|STARTOFTEXT|>", "DON'T Stop. STOP! stop",
+        "word " * 1_000_000, "y" * 3_000_000,
     ]
-    for text in texts:
-        got = np.frombuffer(b"".join(encode.segments(text.encode())), "<u4").tolist()
-        assert got == ids(tokenizer, text)[:-1], text[:80]
+    assert encode.plain and encode.part and encode.mark is not None
+    for _ in range(2):
+        for part in packing._segments((t, t.encode()) for t in texts):
+            for (text, data, last), got in zip(part, encode.encode([data for _, data, _ in part])):
+                if last and data == text.encode():
+                    assert np.frombuffer(got, "<u4").tolist() == ids(tokenizer, text)[:-1], text[:80]
+    long = [d for part in packing._segments([(0, texts[-2].encode())]) for _, d, _ in part]
+    assert len(long) > 1 and b"".join(long) == texts[-2].encode()
+    assert np.frombuffer(b"".join(encode.encode(long)), "<u4").tolist() == ids(tokenizer, texts[-2])[:-1]
 
 
 @pytest.mark.parametrize("capacity", [64, 2048])
