@@ -1,19 +1,25 @@
 """Online detection over a stream of JSON flow packets.
 
-Each micro-batch is a bounded table: it is joined with the last rows carried
-over per key, cut into even chunks and buffered by the same operator that the
-batch job uses, so one busy key does not end up in one task. A batch reads the
-carried rows of its own keys and writes back only these; the newest rows of a
-key win, and now and then the written parts are merged into one. What is carried
-and what was decided are written per batch id, which makes a repeated batch
-overwrite its own output.
+A detector with a key keeps the last rows of every key in Spark's state store: Spark
+sends a micro-batch's rows of a key to one task, which borrows the key's rows, gives every
+row its buffer and stores the newest again. State, offsets and output belong to one
+checkpoint, so a batch that is repeated after a crash starts from the same state and
+overwrites its own output. With an event time, rows behind the watermark are dropped, a gap longer than ``ttl`` empties a buffer, and a timer frees the state of a key
+that stays silent; what was freed is told.
+
+A detector without a key has one buffer for the whole stream. Its micro-batches are cut
+into even chunks that borrow the rows before them, as the batch job does, so the busy
+buffer is not one task; it carries ``n - 1`` rows from batch to batch.
 """
 
+import contextlib
 import math
 
 import numpy as np
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from flowloom.functions import numeric, text
 from flowloom.operators import clean, metrics, scaling, sequences
@@ -22,6 +28,8 @@ from flowloom.sources import packets, scratch
 
 
 GRAPH_SLICE = 256
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def replay(df, folder, order_by, slices=4, rows_per_file=1_000_000, ties=("value",)):
@@ -29,24 +37,37 @@ def replay(df, folder, order_by, slices=4, rows_per_file=1_000_000, ties=("value
 
     ``df`` has the line as ``value``, the order column and the ``ties`` columns,
     which decide among equal order keys. There are at least ``slices`` files of
-    equal length, none longer than ``rows_per_file``; later rows are in later
-    files, as in a live feed, and rows without an order key come last. The feed is
-    ordered and cut once; each file then reads its own slice. An empty feed is an
-    empty folder.
+    equal length (fewer when there are fewer rows), none longer than ``rows_per_file``;
+    later rows are in later files, as in a live feed, and rows without an order key come
+    last. All files are written by one job; the driver then only renames them in
+    order and dates them one millisecond apart, as a file stream reads by date. A
+    store that cannot date files needs files that are renamed by copying, which dates them.
+    An empty feed is an empty folder.
     """
     spark = df.sparkSession
     columns = list(dict.fromkeys(["value", order_by, *ties]))
     order = [F.col(order_by).asc_nulls_last(), *ties]
     placed = sorted_ordinal(df.select(*columns), order, (), "_at").select("value", "_at")
-    path = scratch.new_path(spark, "feed")
-    n = df.count()
-    files = max(slices, math.ceil(n / rows_per_file))
-    cut = placed.withColumn("_slice", F.floor(F.col("_at") * files / max(n, 1)).cast("int"))
-    cut.write.partitionBy("_slice").parquet(path)
+    placed = scratch.materialise(placed, "placed")
+    n = placed.count()
+    files = min(max(slices, math.ceil(n / rows_per_file)), n)
     df.select("value").limit(0).write.text(folder)
-    for i in range(min(files, n)):
-        own = spark.read.schema("value string, _at long").parquet(f"{path}/_slice={i}")
-        own.coalesce(1).sortWithinPartitions("_at").select("value").write.mode("append").text(folder)
+    if not n:
+        return
+    path = scratch.new_path(spark, "feed")
+    cut = placed.withColumn("_slice", F.floor(F.col("_at") * files / n).cast("int"))
+    cut = cut.repartition(min(files, scratch.partitions_for(placed)), "_slice").sortWithinPartitions("_slice", "_at")
+    cut.drop("_at").write.partitionBy("_slice").text(path)
+    system, target = scratch.filesystem(spark, folder)
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    start = system.getFileStatus(target).getModificationTime()
+    for i in range(files):
+        found = [f.getPath() for f in system.listStatus(kind(f"{path}/_slice={i}"))]
+        for k, part in enumerate(sorted((f for f in found if f.getName().startswith("part-")), key=lambda f: f.getName())):
+            placed_at = kind(f"{folder}/part-{i:06d}-{k:03d}.txt")
+            system.rename(part, placed_at)
+            with contextlib.suppress(Exception):
+                system.setTimes(placed_at, start + i, -1)
     scratch.remove(spark, path)
 
 
@@ -81,12 +102,81 @@ def mean_padded(width, n=50, least=10):
     return n, lambda df: sequences.pad_mean(df, width, least)
 
 
-def _tail(rows, key, n):
-    """The last n rows of every key; cut in each task before the shuffle."""
-    latest = Window.partitionBy(*key).orderBy(F.col("_batch").desc(), F.col("_seq").desc())
-    return (
-        rows.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= n).drop("_r")
-    )
+class Buffers(StatefulProcessor):
+    """The last ``n`` rows of a key, kept as a list in Spark's state store.
+
+    Every row of the right width comes out with its buffer, the row itself last; rows of
+    another width come out without one and touch nothing. With ``ttl`` a buffer starts
+    anew where the event time is more than ``ttl`` after the row before; such a buffer, or
+    one whose key is silent for so long, comes out once as its last time and length. A row
+    without a time takes that of the row before.
+    """
+
+    def __init__(self, names, key, order, width, n, ttl_ms=None):
+        self.names, self.key, self.order, self.width, self.n, self.ttl_ms = names, key, order, width, n, ttl_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.rows = handle.getListState("rows", "at long, features array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows), ignore_index=True)
+        new.columns = self.names if self.ttl_ms is None else [*self.names, "_ms"]
+        if self.ttl_ms is not None:
+            # Spark itself drops by the watermark of the batch before, which is behind this one.
+            new = new[~(new["_ms"] <= timerValues.getCurrentWatermarkInMs())]
+        vectors = [v if v is None else np.asarray(v, float).tolist() for v in new["features"]]
+        right = np.array([v is not None and len(v) == self.width for v in vectors])
+        if not right.all():
+            bad = new[~right]
+            yield self._out(bad, [None] * len(bad))
+            new, vectors = new[right], [v for v, ok in zip(vectors, right) if ok]
+        if not len(new):
+            return
+        place = new.reset_index(drop=True).sort_values(self.order, kind="stable").index
+        new, vectors = new.iloc[place], [vectors[i] for i in place]
+        at = [0] * len(new) if self.ttl_ms is None else new["_ms"].tolist()
+        old = [(int(r[0]), list(r[1])) for r in self.rows.get()]
+        past, start, buffers, ended = [v for _, v in old], 0, [], []
+        times = [t for t, _ in old]
+        for t, v in zip(at, vectors):
+            t = int(t) if t == t else times[-1] if times else 0
+            if self.ttl_ms is not None and len(times) > start and t - times[-1] > self.ttl_ms:
+                ended.append((times[-1], min(len(times) - start, self.n)))
+                start = len(times)
+            past.append(v)
+            times.append(t)
+            buffers.append(past[max(start, len(past) - self.n) :])
+        first = max(start, len(past) - self.n) if self.ttl_ms is not None else max(0, len(past) - self.n + 1)
+        self.rows.put(list(zip(times[first:], past[first:])))
+        if self.ttl_ms is not None:
+            self.handle.registerTimer(times[-1] + self.ttl_ms)
+        yield self._out(new, buffers)
+        if ended:
+            yield self._ended(key, ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = [int(r[0]) for r in self.rows.get()]
+        if held and held[-1] + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.rows.clear()
+            yield self._ended(key, [(held[-1], len(held))])
+
+    def _out(self, rows, buffers):
+        out = rows[self.names].copy()
+        out["buffer"] = buffers
+        if self.ttl_ms is not None:
+            out["expired_at"], out["expired_rows"] = None, None
+        return out
+
+    def _ended(self, key, ended):
+        out = pd.DataFrame({c: [None] * len(ended) for c in [*self.names, "buffer"]})
+        for c, value in zip(self.key, key):
+            out[c] = value
+        out["expired_at"], out["expired_rows"] = [t for t, _ in ended], [k for _, k in ended]
+        return out
+
+    def close(self):
+        pass
 
 
 class Detector:
@@ -95,106 +185,136 @@ class Detector:
     ``rule`` is (buffer length, padding); ``score`` maps a table with a
     ``buffer`` of vectors to the same table with ``prob``. Packets of the
     wrong width are written aside and touch neither buffers nor counts. An
-    empty ``key`` is one buffer for the whole stream. Every ``merge_every``
-    batches the state is merged; with ``keep`` keys that were not seen in so many
-    batches are forgotten then.
+    empty ``key`` is one buffer for the whole stream.
+
+    With ``event`` (a timestamp column), ``delay`` and ``ttl_ms`` a keyed detector forgets:
+    a row is late, and dropped, when its time is not after the largest time of the batches
+    before less ``delay``; a gap of more than ``ttl_ms`` starts a buffer anew, and a buffer
+    whose key was silent for ``ttl_ms`` at the watermark is freed. ``expired`` lists both.
+    The state then is at most ``n`` rows for each key seen within ``ttl_ms``. ``n - 1`` rows
+    a key are held otherwise. ``count_by`` maps names to columns over the verdicts by which
+    running counters are kept in the same query.
     """
 
     def __init__(
-        self, params, width, rule, score, out, key=(), order=("seq",), threshold=0.5, merge_every=8, keep=None
-    ):
+        self, params, width, rule, score, out, key=(), order=("seq",), threshold=0.5, event=None, delay="0 seconds",
+        ttl_ms=None, count_by=None,
+    ):
+        if ttl_ms is not None and not (key and event):
+            raise ValueError("rows expire by event time and key")
         self.params, self.width, self.rule, self.score = params, width, rule, score
         self.out, self.key, self.order, self.threshold = out, list(key), list(order), threshold
-        self.merge_every, self.keep = merge_every, keep
-
-    def _state(self, part):
-        return f"{self.out}/state/part={part}"
-
-    def _parts(self, spark, batch_id):
-        """Complete state parts written before this batch, oldest first."""
-        system, target = scratch.filesystem(spark, f"{self.out}/state")
-        if not system.exists(target):
-            return []
-        names = [s.getPath().getName() for s in system.listStatus(target)]
-        parts = [float(name.split("=")[1]) for name in names if name.startswith("part=")]
-        done = [p for p in parts if p < batch_id and self._complete(spark, p)]
-        return sorted(done)
-
-    def _complete(self, spark, part):
-        system, target = scratch.filesystem(spark, f"{self._state(part)}/_SUCCESS")
-        return system.exists(target)
-
-    def _carried(self, spark, schema, parts, keys=None):
-        """The newest carried rows, of the given keys only."""
-        rows = None
-        for part in parts:
-            own = spark.read.schema(schema).parquet(self._state(part)).withColumn("_part", F.lit(part))
-            rows = own if rows is None else rows.unionByName(own)
-        if keys is not None and self.key:
-            same = F.lit(True)
-            for c in self.key:
-                same = same & rows[c].eqNullSafe(keys[f"_k_{c}"])
-            rows = rows.join(keys, same, "left_semi")
-        newest = F.max("_part").over(Window.partitionBy(*self.key))
-        return rows.withColumn("_newest", newest).filter("_part = _newest").drop("_part", "_newest")
+        self.event, self.delay, self.ttl_ms, self.count_by = event, delay, ttl_ms, count_by
+
+    def _scaled(self, flows):
+        """``flows`` with features scaled where they have the right width."""
+        right = F.coalesce(F.size("features") == self.width, F.lit(False))
+        filled = flows.withColumn("_x", F.when(right, F.col("features")).otherwise(F.array_repeat(F.lit(0.0), self.width)))
+        scaled = scaling.apply_to_vector(filled, self.params, "_x")
+        return scaled.withColumn("features", F.when(right, F.col("_x")).otherwise(F.col("features"))).drop("_x")
+
+    def buffered(self, flows):
+        """The stream of ``flows`` with each row's buffer, by the state store."""
+        n = self.rule[0]
+        rows = self._scaled(flows)
+        names = rows.columns
+        fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
+        fields.append(T.StructField("buffer", T.ArrayType(T.ArrayType(T.DoubleType()))))
+        mode = "none"
+        if self.ttl_ms is not None:
+            rows, mode = rows.withWatermark(self.event, self.delay).withColumn("_ms", F.unix_millis(self.event)), "eventTime"
+            fields += [T.StructField("expired_at", T.LongType()), T.StructField("expired_rows", T.LongType())]
+        order = list(dict.fromkeys([*self.order, "flow_id"]))
+        state = Buffers(names, self.key, order, self.width, n, self.ttl_ms)
+        return rows.groupBy(*self.key).transformWithStateInPandas(state, T.StructType(fields), "append", mode)
+
+    def _store(self, batch, batch_id):
+        """Write one micro-batch of buffered rows, by its id."""
+        batch.persist()
+        try:
+            rows = batch
+            if self.ttl_ms is not None:
+                gone = batch.filter("expired_at is not null")
+                gone.select(*self.key, F.timestamp_millis("expired_at").alias("expired_at"), "expired_rows").write.mode(
+                    "overwrite"
+                ).parquet(f"{self.out}/expired/batch_id={batch_id}")
+                rows = batch.filter("expired_at is null").drop("expired_at", "expired_rows")
+            bad = rows.filter("buffer is null").drop("buffer")
+            bad.write.mode("overwrite").parquet(f"{self.out}/rejected/batch_id={batch_id}")
+            self._verdicts(rows.filter("buffer is not null"), batch_id)
+        finally:
+            batch.unpersist()
+
+    def _verdicts(self, buffered, batch_id):
+        decided = verdicts(self.score(self.rule[1](buffered)), "prob", self.threshold)
+        path = f"{self.out}/verdicts/batch_id={batch_id}"
+        decided.write.mode("overwrite").parquet(path)
+        if self.count_by:
+            self._count(buffered.sparkSession.read.schema(decided.schema).parquet(path), batch_id)
+
+    def _count(self, decided, batch_id):
+        """Counters up to this batch: those of the batch before and its own."""
+        spark = decided.sparkSession
+        counts = running_counts(decided.select("true_label", "y_pred", *[c.alias(n) for n, c in self.count_by.items()]), list(self.count_by))
+        if batch_id > 0:
+            before = spark.read.schema(counts.schema).parquet(f"{self.out}/counts/batch_id={batch_id - 1}")
+            sums = [F.sum(c).alias(c) for c in counts.columns if c not in self.count_by]
+            counts = before.unionByName(counts).groupBy(*self.count_by).agg(*sums)
+        counts.write.mode("overwrite").parquet(f"{self.out}/counts/batch_id={batch_id}")
+        if batch_id > 1:
+            scratch.remove(spark, f"{self.out}/counts/batch_id={batch_id - 2}")
 
     def process(self, batch, batch_id):
-        """Decide one micro-batch; its scratch and outdated state are removed."""
+        """One micro-batch of the buffer of the whole stream; its scratch is removed.
+
+        The batch reads the rows that the batch before left and leaves its own, so it may be
+        repeated after a crash at any point.
+        """
         spark = batch.sparkSession
+        n = self.rule[0]
         with scratch.temporary(spark):
-            schema = self._decide(spark, batch, batch_id)
-            parts = self._parts(spark, batch_id)
-            if len(parts) >= self.merge_every:
-                self._merge(spark, schema, parts, batch_id)
-
-    def _merge(self, spark, schema, parts, batch_id):
-        """One part in place of all before this batch, which may still be repeated."""
-        rows = self._carried(spark, schema, parts)
-        if self.keep is not None:
-            rows = rows.filter(F.col("_batch") > batch_id - self.keep)
-        rows.write.mode("overwrite").parquet(self._state(batch_id - 0.5))
-        for part in parts:
-            scratch.remove(spark, self._state(part))
-
-    def _decide(self, spark, batch, batch_id):
-        good, bad = clean.check_width(batch, self.width)
-        bad.write.mode("overwrite").parquet(f"{self.out}/rejected/batch_id={batch_id}")
-        n, pad = self.rule
-        rows = scaling.apply_to_vector(good, self.params).withColumns(
-            {"_batch": F.lit(batch_id).cast("long"), "_seq": F.struct(*self.order, "flow_id")}
-        )
-        rows = scratch.materialise(rows, "fresh")
-        both = rows.withColumn("_old", F.lit(False))
-        parts = self._parts(spark, batch_id)
-        if parts:
-            keys = rows.select(*[F.col(c).alias(f"_k_{c}") for c in self.key]).distinct()
-            carried = self._carried(spark, rows.schema, parts, keys)
-            both = carried.withColumn("_old", F.lit(True)).unionByName(both)
-            both = scratch.materialise(both, "batch")
-        buffered = sequences.sliding(both, self.key, ["_batch", "_seq"], "features", n)
-        fresh = pad(buffered.filter(~F.col("_old")))
-        decided = verdicts(self.score(fresh), "prob", self.threshold)
-        decided.drop("_batch", "_seq", "_old").write.mode("overwrite").parquet(
-            f"{self.out}/verdicts/batch_id={batch_id}"
-        )
-        _tail(both.drop("_old"), self.key, n - 1).write.mode("overwrite").parquet(
-            self._state(float(batch_id))
-        )
-        return rows.schema
+            good, bad = clean.check_width(batch, self.width)
+            bad.write.mode("overwrite").parquet(f"{self.out}/rejected/batch_id={batch_id}")
+            rows = scaling.apply_to_vector(good, self.params)
+            rows = rows.withColumns({"_batch": F.lit(batch_id).cast("long"), "_seq": F.struct(*self.order, "flow_id")})
+            rows = both = scratch.materialise(rows, "fresh")
+            if batch_id > 0:
+                both = spark.read.schema(rows.schema).parquet(f"{self.out}/state/batch_id={batch_id - 1}").unionByName(rows)
+            slid = sequences.sliding(both, [], ["_batch", "_seq"], "features", n)
+            self._verdicts(slid.filter(F.col("_batch") == batch_id).drop("_batch", "_seq"), batch_id)
+            last = both.orderBy(F.col("_batch").desc(), F.col("_seq").desc()).limit(n - 1)
+            last.write.mode("overwrite").parquet(f"{self.out}/state/batch_id={batch_id}")
+            if batch_id > 1:
+                scratch.remove(spark, f"{self.out}/state/batch_id={batch_id - 2}")
 
     def run(self, flows, available_now=True, interval="10 seconds"):
         """Start the query; with ``available_now`` wait until the input is read."""
-        writer = flows.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", f"{self.out}/checkpoint"
-        )
-        if available_now:
-            writer.trigger(availableNow=True).start().awaitTermination()
-            return None
-        return writer.trigger(processingTime=interval).start()
+        spark = flows.sparkSession
+        stream, store = (self.buffered(flows), self._store) if self.key else (flows, self.process)
+        writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{self.out}/checkpoint")
+        before = spark.conf.get(STATE_STORE)
+        spark.conf.set(STATE_STORE, ROCKS_DB)
+        try:
+            if available_now:
+                writer.trigger(availableNow=True).start().awaitTermination()
+                return None
+            return writer.trigger(processingTime=interval).start()
+        finally:
+            spark.conf.set(STATE_STORE, before)
 
     def results(self, spark):
         return spark.read.parquet(f"{self.out}/verdicts").drop("batch_id")
 
+    def expired(self, spark):
+        """The buffers that were given up: key, time of the last row, rows held."""
+        return spark.read.parquet(f"{self.out}/expired").drop("batch_id")
+
+    def counts(self, spark):
+        """The running counters after the newest batch."""
+        found = spark.read.parquet(f"{self.out}/counts")
+        last = found.agg(F.max("batch_id")).first()[0]
+        return found.filter(F.col("batch_id") == last).drop("batch_id")
+
 
 def running_counts(decided, by=()):
     """Confusion counters and verdict totals; also valid on a stream."""
@@ -277,8 +397,6 @@ def buffer_graph(df, k=10, hops=3, buffer="buffer", size="real", name="smoothed"
     rows; ``size`` is the number of real rows, the last of which is current.
     Buffers are worked on ``GRAPH_SLICE`` at a time.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType(
         [*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]
     )

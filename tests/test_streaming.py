@@ -61,29 +61,119 @@ def test_stream_equals_batch(spark, flows, key):
 
 
 def test_wrong_width_touches_neither_buffer_nor_counts(spark, flows):
-    d = detector(spark, flows, ["key"])
-    rows = flows.select(
-        "flow_id", "key", "seq", F.col("label").alias("true_label"), F.array("a", "b").alias("features")
-    )
-    short = rows.withColumn("flow_id", F.col("flow_id") + 1000).withColumn("features", F.array(F.lit(1.0)))
-    d.process(rows.unionByName(short), 0)
-    assert d.results(spark).count() == 90
-    assert spark.read.parquet(f"{d.out}/rejected").count() == 90
-    want = batch_scores(flows, ["key"])
-    assert all(r["prob"] == pytest.approx(want[r["flow_id"]]) for r in d.results(spark).collect())
+    short = flows.withColumn("flow_id", F.col("flow_id") + 1000)
+    for key in (["key"], []):
+        d = detector(spark, flows, key)
+        d.count_by = {"key": F.col("key")}
+        good, _ = detect.read_flows(spark, feed(spark, flows.unionByName(short)), EXTRA, 1)
+        one = F.when(F.col("flow_id") < 1000, F.col("features")).when(F.col("flow_id") % 2 == 0, F.slice("features", 1, 1))
+        d.run(good.withColumn("features", one))
+        assert spark.read.parquet(f"{d.out}/rejected").count() == 90
+        want = batch_scores(flows, key)
+        got = {r["flow_id"]: r["prob"] for r in d.results(spark).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+        assert d.counts(spark).agg(F.sum("total")).first()[0] == 90
+
 
+class Broken(Exception):
+    pass
 
-def test_a_repeated_batch_overwrites_itself(spark, flows):
+
+@pytest.mark.parametrize("key", [["key"], []])
+@pytest.mark.parametrize("at", ["score", "_verdicts", "_count"])
+def test_a_crash_loses_nothing(spark, flows, key, at, monkeypatch):
+    """The query dies in its second batch, before or after writing, and is started again."""
+    d, runs = detector(spark, flows, key), []
+    d.count_by = {"key": F.col("key")}
+    folder = feed(spark, flows)
+    whole = getattr(d, at)
+
+    def dies(*args):
+        runs.append(1)
+        if len(runs) == 2:
+            if at != "score":
+                whole(*args)
+            raise Broken
+        return whole(*args)
+
+    monkeypatch.setattr(d, at, dies)
+    with pytest.raises(Exception, match="Broken"):
+        d.run(detect.read_flows(spark, folder, EXTRA, 1)[0])
+    again = detector(spark, flows, key)
+    again.out, again.count_by = d.out, d.count_by
+    again.run(detect.read_flows(spark, folder, EXTRA, 1)[0])
+    got = {r["flow_id"]: r["prob"] for r in again.results(spark).collect()}
+    want = batch_scores(flows, key)
+    assert again.results(spark).count() == 90 and all(got[i] == pytest.approx(want[i]) for i in want)
+    counted = detect.running_counts(again.results(spark), "key")
+    assert sorted(map(tuple, again.counts(spark).collect())) == sorted(map(tuple, counted.collect()))
+
+
+def test_a_restart_goes_on_with_the_state(spark, flows):
+    """Keys that were silent for several batches still have their rows; the state has n - 1 rows a key."""
+    folder = scratch.new_path(spark, "feed")
     d = detector(spark, flows, ["key"])
-    rows = flows.select(
-        "flow_id", "key", "seq", F.col("label").alias("true_label"), F.array("a", "b").alias("features")
-    )
-    d.process(rows.filter("seq < 40"), 0)
-    for _ in range(2):
-        d.process(rows.filter("seq >= 40"), 1)
+    for part in (F.col("seq") < 40, F.col("seq").between(40, 69) & (F.col("key") == "busy"), (F.col("seq") >= 40) & ~(F.col("seq").between(40, 69) & (F.col("key") == "busy"))):
+        some = feed(spark, flows.filter(part))
+        spark.read.text(some).coalesce(1).write.mode("append").text(folder)
+        again = detector(spark, flows, ["key"])
+        again.out = d.out
+        again.run(detect.read_flows(spark, folder, EXTRA, 1)[0])
+    busy = flows.withColumn("seq", F.col("seq") + F.when((F.col("key") != "busy") | (F.col("seq") >= 70), 1000).otherwise(F.when(F.col("seq") >= 40, 500).otherwise(0)))
+    order = busy.withColumn("seq", F.when(F.col("flow_id") < 40, F.col("flow_id")).otherwise(F.col("seq")))
+    want = batch_scores(order, ["key"])
     got = {r["flow_id"]: r["prob"] for r in d.results(spark).collect()}
-    want = batch_scores(flows, ["key"])
-    assert d.results(spark).count() == 90 and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    state = spark.read.format("statestore").option("stateVarName", "rows").load(f"{d.out}/checkpoint")
+    held = state.groupBy("key").agg(F.count("*").alias("n")).collect()
+    assert len(held) == flows.select("key").distinct().count() and all(r["n"] <= 3 for r in held)
+
+
+def test_late_rows_are_dropped_and_silent_buffers_expire(spark):
+    """Seconds as event time, a buffer of three, ten seconds to live; one file per list."""
+    batches = [
+        [("a", 1), ("a", 2), ("b", 3)],
+        [("a", 3), ("a", 4), ("b", 20)],  # a at 3 is not after the largest time before
+        [("a", 15), ("a", 21), ("b", 40), (None, 41)],
+        [("c", 60), ("d", None)],
+    ]
+    folder, number, keys = scratch.new_path(spark, "feed"), 0, {}
+    for rows in batches:
+        made = []
+        for key, at in rows:
+            made.append((number, [1.0, float(number)], 0, key, at))
+            keys[number] = key, at
+            number += 1
+        df = spark.createDataFrame(made, "flow_id long, features array<double>, true_label int, key string, seq long")
+        df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("append").text(folder)
+    params = spark.createDataFrame([(i, f"x{i}", 0.0, 1.0, 1.0) for i in range(2)], "pos int, feature string, mean double, std_pop double, scale double")
+    d = detect.Detector(
+        params, 2, detect.zero_padded(2, 3), lambda df: df.withColumn("prob", F.lit(1.0)), scratch.new_path(spark, "out"),
+        key=["key"], order=["seq"], event="event", ttl_ms=10_000,
+    )
+    flows, _ = detect.read_flows(spark, folder, EXTRA, 1)
+    d.run(flows.withColumn("event", F.timestamp_seconds("seq")))
+    got = {keys[r.flow_id]: [keys[int(x[1])] for x in r.buffer if x[0]] for r in d.results(spark).collect()}
+    a, b = [("a", t) for t in (1, 2, 4, 21)], [("b", t) for t in (3, 20, 40)]
+    assert got == {
+        a[0]: a[:1], a[1]: a[:2], a[2]: a[:3], a[3]: a[3:], b[0]: b[:1], b[1]: b[1:2], b[2]: b[2:],
+        (None, 41): [(None, 41)], ("c", 60): [("c", 60)], ("d", None): [("d", None)],
+    }
+    gone = sorted(((r.key or "", int(r.expired_at.timestamp()), r.expired_rows) for r in d.expired(spark).collect()))
+    assert gone == [("", 41, 1), ("a", 4, 3), ("a", 21, 1), ("b", 3, 1), ("b", 20, 1), ("b", 40, 1), ("d", 0, 1)]
+    state = spark.read.format("statestore").option("stateVarName", "rows").load(f"{d.out}/checkpoint")
+    assert {r.key.key for r in state.select("key").collect()} == {"c"}
+
+
+def test_replay_of_few_rows(spark, tmp_path):
+    for n in (1, 2, 3, 5):
+        lines = spark.range(n).select(F.col("id").cast("string").alias("value"), F.col("id").alias("at"))
+        detect.replay(lines, str(tmp_path / str(n)), "at", 4)
+        files = sorted((tmp_path / str(n)).glob("part-*-*.txt"))
+        files = [f for f in files if f.stat().st_size]
+        assert [int(x) for f in files for x in f.read_text().split()] == list(range(n)) and len(files) == min(n, 4)
+        dates = [f.stat().st_mtime for f in files]
+        assert dates == sorted(set(dates))
 
 
 def test_running_counts_of_a_stream_equal_the_batch(spark, flows):
@@ -128,23 +218,6 @@ def test_replay_keeps_rows_without_an_order_key(spark, tmp_path):
     assert {int(r[0]) for r in spark.read.text(str(tmp_path / "a")).collect()} == set(range(50))
     same = lines.withColumn("at", F.lit(1.0))
     detect.replay(same, str(tmp_path / "b"), "at", 4, rows_per_file=10)
-    assert len(list((tmp_path / "b").glob("part-*.txt"))) >= 5 and spark.read.text(str(tmp_path / "b")).count() == 50
+    assert len([f for f in (tmp_path / "b").glob("part-*.txt") if f.stat().st_size]) >= 5 and spark.read.text(str(tmp_path / "b")).count() == 50
     detect.replay(lines.limit(0), str(tmp_path / "c"), "at")
     assert spark.read.text(str(tmp_path / "c")).count() == 0
-
-
-def test_state_is_bounded_by_the_keys_of_a_batch_and_merged(spark, flows):
-    d = detector(spark, flows, ["key"])
-    d.merge_every, d.keep = 3, None
-    rows = flows.select(
-        "flow_id", "key", "seq", F.col("label").alias("true_label"), F.array("a", "b").alias("features")
-    )
-    for i in range(9):
-        d.process(rows.filter((F.col("seq") >= i * 10) & (F.col("seq") < i * 10 + 10)), i)
-        keys = rows.filter((F.col("seq") >= i * 10) & (F.col("seq") < i * 10 + 10)).select("key").distinct().count()
-        state = spark.read.parquet(d._state(float(i)))
-        assert state.select("key").distinct().count() == keys and state.count() <= 3 * keys
-        assert len(d._parts(spark, i + 1)) <= 4
-    want = batch_scores(flows, ["key"])
-    got = {r["flow_id"]: r["prob"] for r in d.results(spark).collect()}
-    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
