@@ -81,6 +81,22 @@ def feature_columns(df, label=LABEL):
     return names
 
 
+def numeric_features(df, label=LABEL, drop_empty=True):
+    """Names of the feature columns of a numeric type, in order; an error if there are none.
+
+    Text, times and nested columns are no features, whatever they are called. With
+    ``drop_empty`` a column without any value is none either, for which the rows are read
+    once.
+    """
+    names = [c for c in feature_columns(df, label) if isinstance(df.schema[c].dataType, T.NumericType)]
+    if drop_empty and names:
+        filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)]).first()
+        names = [c for i, c in enumerate(names) if filled[f"n{i}"]]
+    if not names:
+        raise ValueError("no numeric feature columns")
+    return names
+
+
 def ip_columns(df):
     """(source, destination) address columns, None where absent."""
     found = {c.lower(): c for c in df.columns}
@@ -103,11 +119,15 @@ def fill_zero(df, columns):
     return df.fillna(0.0, subset=list(columns))
 
 
-def impute_median(df, columns):
-    """NULL becomes the column's exact median; an all-NULL column stays NULL."""
-    middle = exact_quantiles(df, columns, [0.5])
+def impute_median(df, columns, sketches=None):
+    """NULL becomes the column's median; an all-NULL column stays NULL.
+
+    The median is exact, or within the rank error of ``sketches`` (``FileSketches`` of
+    the files ``df`` comes from), for which ``df`` is not read.
+    """
+    middle = sketches.quantiles([0.5]) if sketches else exact_quantiles(df, columns, [0.5])
     return df.withColumns(
-        {c: F.coalesce(F.col(c), F.lit(middle[c][0])) for c in columns if middle[c]}
+        {c: F.coalesce(F.col(c), F.lit(middle[c][0])) for c in columns if middle.get(c)}
     )
 
 

@@ -11,18 +11,18 @@ from flowloom.operators.skew import hot_keys, lookup_join, skew_join
 from flowloom.sources import scratch
 
 
-def knn_graph(df, key, labeled, features="features", k=10, edges="labeled", least=3):
+def knn_graph(df, key, labeled, features="features", k=10, edges="labeled", least=3, **search):
     """(nodes, edges): every row is a node, edges join labelled rows only.
 
     ``labeled`` is a table of keys. ``edges="all"`` searches among all rows.
     Fewer than ``least`` rows have no neighbours worth the name; each then has
-    only a loop to itself.
+    only a loop to itself. ``search`` goes to ``knn_edges``, ``mode="lsh"`` for one.
     """
     pool = df if edges == "all" else df.join(labeled.select(key), key, "left_semi")
     if pool.limit(least).count() < least:
         loops = self_loops(pool, key)
         return df, loops.withColumns({"rank": F.lit(1), "distance": F.lit(0.0)})
-    return df, knn_edges(pool, key, features, k)
+    return df, knn_edges(pool, key, features, k, **search)
 
 
 def endpoints(flows, src, dst):

@@ -1,10 +1,15 @@
-"""Exact k-nearest-neighbour join of a table with itself.
+"""K-nearest-neighbour join of a table with itself, and of two tables.
 
 Identical vectors are merged first, so a vector repeated by a third of the
 rows is searched once. The distinct vectors are assigned to pivots; a vector
 is sent only to those cells where the triangle inequality leaves room for it
 among some member's neighbours. Large cells are cut into blocks, one matrix
-product per pair of blocks, each emitting at most k rows per query.
+product per pair of blocks, each emitting at most k rows per query. That is exact.
+
+``mode="lsh"`` searches signature buckets instead: in each of several tables a vector
+falls in the bucket of the signs of random projections, and asks there and in the buckets
+across the planes it is nearest to. Buckets are cut into blocks like cells. A vector that
+met fewer than k others is searched exactly.
 """
 
 import math
@@ -20,6 +25,8 @@ from flowloom.sources import scratch
 
 MAX_CELLS = 2048
 SLICE = 512
+#: Vectors that the planes of the signatures are centred on, chosen by hash.
+CENTRE_ROWS = 10_000
 
 
 def _matrix(column):
@@ -180,48 +187,43 @@ def _with_parts(rows, parts):
     return rows.join(F.broadcast(table), "cell")
 
 
-def _blocks(sent, block):
-    """Queries and candidates of every (cell, query block, candidate block)."""
-    # One row per cell, so at most MAX_CELLS.
-    parts = _parts(sent, block).collect()
+COLUMNS = ["cell", "q", "s", "v", "rep", "u", "ask"]
+
+
+def _blocks(asks, offers, parts):
+    """Queries and candidates of every (cell, query block, candidate block).
+
+    ``parts`` adds to a table its cell's numbers of query and candidate blocks.
+    """
     spot = F.xxhash64("v")
-    columns = ["cell", "q", "s", "v", "rep", "u", "ask"]
     asks = (
-        _with_parts(sent, parts)
+        parts(asks)
         .withColumn("q", F.pmod(spot, F.col("qs")).cast("int"))
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ss") - 1)))
         .withColumn("ask", F.lit(True))
     )
     offers = (
-        _with_parts(sent.withColumn("cell", F.explode("to")), parts)
+        parts(offers)
         .withColumn("s", F.pmod(spot, F.col("ss")).cast("int"))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
         .withColumn("ask", F.lit(False))
     )
-    return asks.select(*columns).unionByName(offers.select(*columns))
+    return asks.select(*COLUMNS).unionByName(offers.select(*COLUMNS))
 
 
-def knn_edges(df, key, features="features", k=10, metric="cosine", block=8192, cells=None):
-    """(src, dst, rank, distance): every row's k nearest other rows.
-
-    Ties go to the smaller id, cosine distances being rounded to twelve places,
-    and k is at most the number of other rows. The zero vector is at cosine
-    distance 1 from every row. A vector that is NULL or holds one is an error.
-    """
-    spark = df.sparkSession
-    whole = F.coalesce(F.forall(features, lambda e: e.isNotNull()), F.lit(False))
-    df = df.filter(F.assert_true(whole, "a vector is NULL or holds NULL").isNull())
-    words = F.array_join(F.col(features).cast("array<string>"), ",")
-    rows = scratch.materialise(
-        df.select(
-            F.col(key).alias("id"),
-            F.col(features).cast("array<double>").alias("x"),
-            F.md5(words).alias("v"),
-        ),
-        "knn",
+def _found(blocks, k, metric, kind):
+    """(qv, sv, srep, distance, r): each query's k nearest over all its blocks."""
+    found = blocks.groupBy("cell", "q", "s").applyInPandas(
+        _search(k, metric), f"qv string, sv string, srep {kind}, distance double"
     )
-    groups = scratch.materialise(_distinct(rows, metric), "knn")
-    n = groups.count()
+    # A candidate may be met in more than one cell.
+    found = found.groupBy("qv", "sv").agg(F.min("srep").alias("srep"), F.min("distance").alias("distance"))
+    best = Window.partitionBy("qv").orderBy("distance", "srep")
+    return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+
+
+def _exact(groups, n, k, metric, block, cells, kind):
+    """The k nearest other vectors of every distinct vector, by pruned cells."""
     if cells is None:
         cells = max(1, min(MAX_CELLS, math.ceil(n / block)))
     cells = min(cells, MAX_CELLS)
@@ -234,15 +236,140 @@ def knn_edges(df, key, features="features", k=10, metric="cosine", block=8192, c
     else:
         zero = F.lit(0)
         sent = groups.withColumn("cell", zero).withColumn("to", F.array(zero))
+    # One row per cell, so at most MAX_CELLS.
+    parts = _parts(sent, block).collect()
+    offers = sent.withColumn("cell", F.explode("to"))
+    return _found(_blocks(sent, offers, lambda rows: _with_parts(rows, parts)), k, metric, kind)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = (
-        _blocks(sent, block)
-        .groupBy("cell", "q", "s")
-        .applyInPandas(_search(k, metric), f"qv string, sv string, srep {kind}, distance double")
+
+def _signed(groups, planes, middle, probes):
+    """``groups`` with ``homes`` (a bucket per table) and ``to`` (buckets it asks in)."""
+    tables, bits, _ = planes.shape
+    power = 1 << np.arange(bits, dtype=np.int64)
+    schema = T.StructType([*groups.schema.fields, *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("homes", "to")]])
+
+    def sign(batches):
+        for part in _slices(batches):
+            u = _matrix(part["u"])
+            side = np.einsum("nd,tbd->ntb", u, planes) - middle[None]
+            home = (side > 0) @ power
+            near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, : min(probes, bits)]
+            across = home[:, :, None] ^ power[near]
+            asked = np.concatenate([home[:, :, None], across], axis=2) * tables + np.arange(tables)[None, :, None]
+            yield part.assign(homes=list(home * tables + np.arange(tables)), to=list(asked.reshape(len(u), -1)))
+
+    return groups.mapInPandas(sign, schema)
+
+
+def _buckets(groups, n, k, metric, block, tables, probes, rows, seed, kind):
+    """The k nearest other vectors met in signature buckets; exact where fewer were met."""
+    width = len(groups.select("u").first()["u"])
+    bits = max(0, math.ceil(math.log2(max(n, 1) / rows)))
+    if bits == 0:
+        return _exact(groups, n, k, metric, block, 1, kind)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
+    if metric == "cosine":
+        planes[:, :, -1] = 0.0
+    sample = np.array([r["u"] for r in groups.orderBy(F.xxhash64(F.lit(seed), "v")).limit(CENTRE_ROWS).select("u").collect()])
+    middle = np.median(np.einsum("nd,tbd->ntb", sample, planes), axis=0)
+    signed = scratch.materialise(_signed(groups, planes, middle, probes), "knn")
+    asks = signed.withColumn("cell", F.explode("to"))
+    offers = signed.withColumn("cell", F.explode("homes"))
+    count = lambda t, c: t.groupBy("cell").agg(F.count(F.lit(1)).alias(c))
+    sizes = count(asks, "a").join(count(offers, "o"), "cell").select(
+        "cell", F.ceil(F.col("a") / block).cast("int").alias("qs"), F.ceil(F.col("o") / block).cast("int").alias("ss")
     )
-    best = Window.partitionBy("qv").orderBy("distance", "srep")
-    found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+    sizes = scratch.broadcast_if_small(scratch.materialise(sizes, "knn"))
+    found = _found(_blocks(asks, offers, lambda t: t.join(sizes, "cell")), k, metric, kind)
+    found = scratch.materialise(found, "knn")
+    enough = found.groupBy("qv").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= min(k, n - 1))
+    short = groups.join(enough.select(F.col("qv").alias("v")), "v", "left_anti")
+    short = scratch.materialise(short, "knn")
+    left = short.count()
+    if not left:
+        return found
+    whole = lambda t: t.withColumns({"cell": F.lit(0), "qs": F.lit(-(-left // block)), "ss": F.lit(-(-n // block))})
+    rest = _found(_blocks(short, groups, whole), k, metric, kind)
+    return found.join(short.select(F.col("v").alias("qv")), "qv", "left_anti").unionByName(rest)
+
+
+def _vectors(df, key, features):
+    """(id, x, v): checked vectors, written, with a hash of their values."""
+    whole = F.coalesce(F.forall(features, lambda e: e.isNotNull() & ~F.isnan(e)), F.lit(False))
+    df = df.filter(F.assert_true(whole, "a vector is NULL or holds NULL or NaN").isNull())
+    words = F.array_join(F.col(features).cast("array<string>"), ",")
+    return scratch.materialise(
+        df.select(
+            F.col(key).alias("id"),
+            F.col(features).cast("array<double>").alias("x"),
+            F.md5(words).alias("v"),
+        ),
+        "knn",
+    )
+
+
+def knn_between(asks, offers, key, features="features", k=10, metric="cosine", block=8192):
+    """(src, dst, rank, distance): the k nearest rows of ``offers`` for every row of ``asks``.
+
+    A row is never its own neighbour: rows of the same key are the same row. Distances and
+    ties are those of ``knn_edges``. Both tables are cut into blocks by a hash of the key;
+    every pair of blocks is one matrix product.
+    """
+    sides = []
+    for df in (asks, offers):
+        rows = _vectors(df, key, features)
+        square = F.aggregate("x", F.lit(0.0).cast("double"), lambda s, e: s + e * e)
+        length = F.sqrt(F.when(square == 0.0, 1.0).otherwise(square))
+        search = F.transform("x", lambda e: e / length) if metric == "cosine" else F.col("x")
+        # The key takes the place of the vector's hash: equal vectors stay apart.
+        sides.append(rows.select(F.col("id").cast("string").alias("v"), F.col("id").alias("rep"), search.alias("u")))
+    kind = sides[0].schema["rep"].dataType.simpleString()
+    a, o = (max(1, -(-t.count() // block)) for t in sides)
+    whole = lambda t: t.withColumns({"cell": F.lit(0), "qs": F.lit(a), "ss": F.lit(o)})
+    found = _found(_blocks(*sides, whole), k, metric, kind)
+    return found.select(F.col("qv").cast(kind).alias("src"), F.col("srep").alias("dst"), F.col("r").alias("rank"), "distance")
+
+
+def knn_extend(edges, known, new, key, features="features", k=10, metric="cosine", block=8192):
+    """``knn_edges`` of ``known`` and ``new`` together, from the ``edges`` of ``known``.
+
+    Only pairs with a new row are compared: new rows ask all rows, known rows ask the new
+    ones, and each known row keeps the k best of its old list and what it met.
+    """
+    asked = knn_between(new, known.select(key, features).unionByName(new.select(key, features)), key, features, k, metric, block)
+    met = knn_between(known, new, key, features, k, metric, block)
+    best = Window.partitionBy("src").orderBy("distance", "dst")
+    kept = edges.select("src", "dst", "distance").unionByName(met.select("src", "dst", "distance"))
+    kept = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return kept.select("src", "dst", "rank", "distance").unionByName(asked)
+
+
+def knn_edges(
+    df, key, features="features", k=10, metric="cosine", block=8192, cells=None, mode="exact", tables=8, probes=4,
+    bucket_rows=512, seed=42,
+):
+    """(src, dst, rank, distance): every row's k nearest other rows.
+
+    Ties go to the smaller id, cosine distances being rounded to twelve places,
+    and k is at most the number of other rows. The zero vector is at cosine
+    distance 1 from every row. A vector that is NULL or holds NULL or NaN is an error.
+
+    ``mode="lsh"`` compares a vector only with those in its signature buckets: ``tables``
+    tables of about ``bucket_rows`` vectors a bucket, each asked in the own bucket and
+    ``probes`` more, so work grows with the rows and not with their square as long as no
+    bucket outgrows the others; a bucket of more than ``block`` vectors is searched whole, in
+    blocks. Every row has its k neighbours; some may be farther than the exact ones. Planes
+    are centred on at most ``CENTRE_ROWS`` vectors.
+    """
+    rows = _vectors(df, key, features)
+    groups = scratch.materialise(_distinct(rows, metric), "knn")
+    n, kind = groups.count(), rows.schema["id"].dataType.simpleString()
+    if mode == "lsh" and n:
+        found = _buckets(groups, n, k, metric, block, tables, probes, bucket_rows, seed, kind)
+    elif mode in ("exact", "lsh"):
+        found = _exact(groups, n, k, metric, block, cells, kind)
+    else:
+        raise ValueError(f"mode {mode}: exact or lsh")
 
     # A query needs at most k + 1 copies of any vector.
     copies = Window.partitionBy("v").orderBy("id")

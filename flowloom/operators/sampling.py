@@ -4,6 +4,8 @@ Rows are ordered by a hash of their key, so a sample is the same on every run
 and exact sizes are cut without shuffling the table (ordering.segments).
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import order_hash, uniform
@@ -116,12 +118,42 @@ def fixed_weights(df, weights, label="label", name="weight"):
     return df.withColumn(name, value)
 
 
-def smote(df, key, features, counts, k=5, label="label", seed=42):
+def replicate(df, key, weights, label="label", seed=42, name="copy"):
+    """Every row as often as a Poisson number with its class's weight as mean says.
+
+    The number is read from a hash of the key, so it is the same on every run, and
+    learners without weights then see each class about ``weight`` times. ``name`` counts a
+    row's copies from 0. A row of a class without a weight stays once, a row without a
+    label too.
+    """
+    u = uniform(key, seed)
+    copies = F.lit(1)
+    for value, weight in weights.items():
+        term = total = math.exp(-weight)
+        reached, steps = [], 0
+        # The hash has 32 bits.
+        while 1.0 - total > 2.0**-32 and steps < 40 + 4 * weight:
+            reached.append(total)
+            steps += 1
+            term *= weight / steps
+            total += term
+        count = sum(((u >= c).cast("int") for c in reached), F.lit(0))
+        copies = F.when(F.col(label) == value, count).otherwise(copies)
+    made = df.withColumn(name, F.expr("0")).withColumn("_copies", copies).filter("_copies > 0")
+    return made.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+
+
+def balanced_weights(df, label="label"):
+    """{class: weight}: rows / (classes * rows of the class)."""
+    return {r[label]: r["weight"] for r in class_weights(df.filter(F.col(label).isNotNull()), label).collect()}
+
+
+def smote(df, key, features, counts, k=5, label="label", seed=42, **search):
     """Raise classes to ``counts`` rows with points between near neighbours.
 
     The i-th new row of a class starts from its (i mod n)-th row in hash
     order, so a class with n rows yields ceil(missing / n) rounds over all of
-    them; neighbour and position are read from hashes.
+    them; neighbour and position are read from hashes. ``search`` goes to ``knn_edges``.
     """
     from flowloom.operators.neighbours import knn_edges
 
@@ -132,7 +164,7 @@ def smote(df, key, features, counts, k=5, label="label", seed=42):
         if missing <= 0 or not have.get(value):
             continue
         rows = scratch.materialise(df.filter(F.col(label) == value), "smote")
-        near = knn_edges(rows, key, features, k, metric="euclidean").select(
+        near = knn_edges(rows, key, features, k, metric="euclidean", **search).select(
             F.col("src").alias(key), "rank", F.col("dst")
         )
         degree = min(k, have[value] - 1)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowloom.functions import numeric, text
-from flowloom.operators import clean, metrics, scaling
+from flowloom.operators import clean, metrics, quantiles, scaling
 from flowloom.operators.ordering import shuffled_ordinal
 from flowloom.operators.splitting import kfold
 from flowloom.plans import fixtures as fx
@@ -606,6 +606,52 @@ def p33(spark, sf):
     return df.select("flow_key", *x, "label")
 
 
+@query(
+    "p17_numeric_features",
+    fx.with_sql(
+        FLOWS,
+        "f AS (SELECT unnest(['qty', 'price', 'disc', 'tax']) AS feature, unnest([qty, price, disc, tax]) AS value FROM flows)",
+        "SELECT feature, count(value) AS n, round(sum(value), 2) AS total FROM f GROUP BY feature",
+    ),
+)
+def p17(spark, sf):
+    """Features by type: addresses, times, text and a column without values are left out."""
+    df = fx.flows(spark, sf).withColumns({"void": F.lit(None).cast("double"), "note": F.col("flag"), "nested": F.array("qty")})
+    names = clean.numeric_features(df.withColumnRenamed("label", "Label"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names]))
+    found = df.select(pairs.alias("e")).groupBy("e.feature").agg(F.count("e.value").alias("n"), F.sum("e.value").alias("total"))
+    return found.withColumn("total", F.round("total", 2))
+
+
+@query(
+    "p12_sketch_median",
+    fx.with_sql(
+        FLOWS,
+        "f AS (SELECT unnest(['qty', 'price', 'disc', 'tax']) AS feature, unnest([qty, price, disc, tax]) AS value FROM flows)",
+        "SELECT feature, count(value) AS n, true AS within, true AS read_once FROM f GROUP BY feature",
+    ),
+)
+def p12_sketch(spark, sf):
+    """Medians from one sketch per file: their exact ranks lie within the stated error; later files alone are read later."""
+    folder = scratch.new_path(spark, "files")
+    fx.flows(spark, sf).select("source_file", *fx.FEATURES).write.partitionBy("source_file").parquet(folder)
+    df = spark.read.parquet(folder)
+    files = sorted(df.inputFiles())
+    held = quantiles.FileSketches(spark, lambda paths: spark.read.option("basePath", folder).parquet(*paths), fx.FEATURES)
+    some = held.add(files[: len(files) // 2])
+    read_once = some + held.add(files) == len(files) and held.add(files) == 0
+    values, error = held.quantiles([0.5]), held.rank_error
+    parts = []
+    for c in fx.FEATURES:
+        middle = F.lit(values[c][0])
+        below, upto = F.avg((F.col(c) < middle).cast("double")), F.avg((F.col(c) <= middle).cast("double"))
+        parts.append(df.agg(F.lit(c).alias("feature"), F.count(c).alias("n"), ((below <= 0.5 + error) & (upto >= 0.5 - error)).alias("within")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("read_once", F.lit(read_once))
+
+
 @query("p34_null_tokens", fx.with_sql(RAW, TOK, f"SELECT {COLS} FROM tok"))
 def p34(spark, sf):
     return clean.apply_null_tokens(_header(spark, sf))

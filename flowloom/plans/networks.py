@@ -229,10 +229,44 @@ def g04_two(spark, sf):
 
 @query(
     "g03_self_loops",
-    "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id AS src, vec_id AS dst FROM embeddings, n",
+    fx.with_sql(
+        VECTORS,
+        "few AS (SELECT * FROM vectors WHERE row_id >= (SELECT max(row_id) - 1 FROM vectors))",
+        "more AS (SELECT * FROM vectors WHERE row_id >= (SELECT max(row_id) - 2 FROM vectors))",
+        _knn_sql("more", 10),
+        "SELECT 'two' AS pool, row_id AS src, row_id AS dst FROM few UNION ALL SELECT 'three', src, dst FROM near",
+    ),
 )
 def g03(spark, sf):
-    return graphs.self_loops(fx.vectors(spark, sf), "row_id")
+    """Two labelled rows get loops, three get edges."""
+    v = scratch.materialise(fx.vectors(spark, sf), "nodes")
+    last = v.agg(F.max("row_id")).first()[0]
+    found = []
+    for name, n in (("two", 2), ("three", 3)):
+        _, edges = graphs.knn_graph(v, "row_id", v.filter(F.col("row_id") > last - n))
+        found.append(edges.select(F.lit(name).alias("pool"), "src", "dst"))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "j03_knn_lsh",
+    """SELECT count(*) * 12 AS rows, count(*) * 12 * 10 AS edges, true AS recall_enough, true AS exact_distances FROM embeddings""",
+)
+def j03_lsh(spark, sf):
+    """Twelve noisy copies of every vector: what the signature buckets find of the exact neighbours."""
+    noise = F.transform("features", lambda x, i: x + 0.04 * F.sin(F.col("row_id") * 7 + F.col("copy") * 131 + i * 17 + F.col("copy") * i))
+    v = fx.vectors(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    v = v.select((F.col("row_id") * 12 + F.col("copy")).alias("row_id"), noise.alias("features"))
+    v = scratch.materialise(v, "copies")
+    found = scratch.materialise(knn_edges(v, "row_id", mode="lsh", bucket_rows=256), "found")
+    exact = knn_edges(v, "row_id")
+    met = found.join(exact.select("src", "dst", F.col("distance").alias("d")), ["src", "dst"])
+    met = met.agg(F.count(F.lit(1)).alias("met"), F.max(F.abs(F.col("d") - F.col("distance"))).alias("gap")).first()
+    counts = found.agg(F.countDistinct("src").alias("rows"), F.count(F.lit(1)).alias("edges"))
+    return counts.select(
+        "rows", "edges", (F.lit(met["met"]) >= 0.9 * F.col("edges")).alias("recall_enough"),
+        F.lit((met["gap"] or 0.0) < 1e-9).alias("exact_distances"),
+    )
 
 
 def _layers(widths, first=0):

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,44 @@ def test_fold_parameters_equal_a_fit_on_the_other_folds(spark):
         for r in scaling.fit(df.filter(F.col("fold") != fold), ["x", "c"]).collect():
             got = merged[(fold, r["feature"])]
             assert got["mean"] == pytest.approx(r["mean"]) and got["scale"] == pytest.approx(r["scale"])
+
+
+def test_sketches_read_every_file_once_and_stay_within_their_error(spark, tmp_path):
+    from flowloom.operators import quantiles
+
+    rows = spark.range(20_000).select(
+        (F.hash("id") % 1000).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).otherwise(float("nan")).alias("b"),
+        F.lit(None).cast("double").alias("c"), F.concat(F.lit("day "), F.col("id") % 5, F.lit(" é")).alias("day"),
+    )
+    rows.write.partitionBy("day").parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    files = df.inputFiles()
+    reads = []
+
+    def read(paths):
+        reads.append(len(paths))
+        return spark.read.parquet(*paths)
+
+    held = quantiles.FileSketches(spark, read, ["a", "b", "c"], str(tmp_path / "sketches"))
+    assert held.table() is None
+    paths = sorted(str(p) for p in (tmp_path / "in").rglob("*.parquet"))
+    assert (held.add(paths[:7]), held.add(paths), held.add(paths)) == (7, len(files) - 7, 0) and sum(reads) == len(files)
+    again = quantiles.FileSketches(spark, read, ["a", "b", "c"], str(tmp_path / "sketches"))
+    assert again.add(paths) == 0
+    got = again.quantiles([0.01, 0.5, 0.99])
+    assert got["c"] is None
+    for c in "ab":
+        values = np.array(sorted(r[0] for r in df.filter(~F.isnan(c)).select(c).collect()))
+        for p, v in zip([0.01, 0.5, 0.99], got[c]):
+            assert (values < v).mean() - again.rank_error <= p <= (values <= v).mean() + again.rank_error
+    filled = clean.impute_median(spark.createDataFrame([(None, 1.0, None)], "a double, b double, c double"), ["a", "b", "c"], again)
+    row = filled.first()
+    assert (row["b"], row["c"]) == (1.0, None) and abs(row["a"] - got["a"][1]) <= 2000 * 2 * again.rank_error
+
+
+def test_features_by_type(spark):
+    df = spark.createDataFrame([("x", 1, 2.0, None, [1.0], 0)], "Src_IP string, n int, v double, empty double, list array<double>, Label int")
+    assert clean.numeric_features(df) == ["n", "v"]
+    assert clean.numeric_features(df, drop_empty=False) == ["n", "v", "empty"]
+    with pytest.raises(ValueError, match="numeric"):
+        clean.numeric_features(df.select("empty", "list", "Label"))

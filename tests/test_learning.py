@@ -67,6 +67,50 @@ def test_classifiers_learn_and_thresholds_differ(spark, blobs):
     assert (strict, learning.score(weighted, blobs, p, True).agg(F.sum("y_pred")).first()[0] >= 1) == (0, True)
 
 
+def test_a_model_that_learned_nothing_fails_the_checks(spark, monkeypatch):
+    from flowloom.plans import training
+
+    sf = "/root/testdata/sf0.001"
+    constant = lambda model, df, threshold=0.5, inclusive=False: df.withColumns({"prob": F.lit(0.5), "y_pred": F.lit(0)})
+    monkeypatch.setattr(learning, "score", constant)
+    for query in (training.l11, training.l13):
+        assert {r["learned"] for r in query(spark, sf).select("learned").distinct().collect()} == {False}
+    assert [r["learned"] for r in training.a26(spark, sf).collect()] == [False]
+
+
+def test_folds_fitted_together_equal_folds_fitted_alone(spark, blobs):
+    columns, folds = ["a", "b", "c"], blobs.withColumn("fold", (F.col("id") % 3).cast("int"))
+    models = learning.fit_folds(folds, columns, k=3)
+    together = {r["fold"]: r.asDict() for r in learning.cross_validate_together(folds, columns, k=3).collect()}
+    for f in range(3):
+        # Alone: the other folds' rows become fold 1 of two, so only model 0 sees them.
+        alone = folds.withColumn("fold", F.when(F.col("fold") == f, 0).otherwise(1))
+        one = learning.fit_folds(alone, columns, k=2)
+        assert np.abs(one.coefficients[0] - models.coefficients[f]).max() < 1e-6
+        result = learning.evaluate(one.score(alone.filter("fold = 0")))
+        assert all(result[c] == pytest.approx(together[f][c], abs=1e-6) for c in learning._FOLD_COLUMNS)
+        # The library's learner stops earlier; it must not be better by more than its tolerance.
+        ml = learning.fit_graph_classifier(folds.filter(F.col("fold") != f), columns, max_iter=200)
+        theirs = np.r_[ml.stages[-1].coefficients.toArray(), ml.stages[-1].intercept]
+        assert np.abs(theirs - models.coefficients[f]).max() < 0.05
+
+
+def test_replicated_rows_follow_their_weights(spark):
+    from flowloom.operators.sampling import balanced_weights, replicate
+
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 8 == 0, 1).when(F.col("id") % 8 < 7, 0).alias("label"))
+    weights = balanced_weights(df)
+    assert weights == {0: pytest.approx(35_000 / 60_000), 1: pytest.approx(3.5)}
+    made = replicate(df, "id", weights)
+    rows = {r[0]: (r[1], r[2]) for r in made.groupBy("label").agg(F.count("*"), F.countDistinct("id")).collect()}
+    assert rows[None] == (5000, 5000)
+    for label, n in ((0, 30_000), (1, 5000)):
+        assert rows[label][0] == pytest.approx(17_500, rel=0.04)
+        assert rows[label][1] == pytest.approx(n * (1 - np.exp(-weights[label])), rel=0.04)
+    assert made.select("id", "copy").distinct().count() == made.count()
+    assert sorted(map(tuple, replicate(df, "id", {1: 3.5}).collect())) == sorted(map(tuple, replicate(df.repartition(7), "id", {1: 3.5}).collect()))
+
+
 def test_sequence_classifier(spark):
     rows = [(i, i % 2, [[float(i % 2), float(j)] for j in range(10)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, label int, steps array<array<double>>")
