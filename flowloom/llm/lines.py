@@ -110,22 +110,30 @@ def _lined(docs, batches, fanout):
     kept = F.concat_ws("\n", F.transform(spared, lambda i: F.get("_split", i)))
     return joined.select(
         "_row",
+        "_lines",
         F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.size("_split").cast("long").alias("n_lines"),
         F.size(numbers).cast("long").alias("n_dropped"),
     )
 
 
-def dedup(docs, batches=4, fanout=2):
+def dedup(docs, batches=4, fanout=2, drop_emptied=False):
     """``docs`` with the lines taken out of ``text`` that an earlier document holds.
 
     A line's key is the line without white space at both ends, A-Z lower-cased;
     keys of under ten code points never count. A key that two or more ids hold
     keeps its lines only under the smallest id, there all of them. Null text is
     one empty line. Rows of one id count as one document; a missing id counts as
-    the largest. Other columns come back as they were, whatever their names.
+    the largest. Other columns come back as they were, whatever their names. With
+    ``drop_emptied`` rows that lost lines and have nothing but white space left go too;
+    rows that had nothing else before stay.
     """
-    return _lined(docs, batches, fanout).select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
+    done = _lined(docs, batches, fanout)
+    if drop_emptied:
+        blank = lambda c: F.btrim(c, F.lit(WHITE + "\n")) == ""
+        had = ~blank(F.coalesce(F.col("_row.text"), F.lit("")))
+        done = done.filter(~(F.col("_lines").isNotNull() & had & blank(F.col("text"))))
+    return done.select(F.col("_row").withField("text", F.col("text")).alias("_row")).select("_row.*")
 
 
 def digest(docs, batches=4, fanout=2):

@@ -23,7 +23,12 @@ def test_stages_take_effect(spark, tmp_path):
         if name == "toxicity":
             assert 0.7 * before < done.count() < before
         if name == "line_dedup":
-            assert done.count() == docs.count() and done.filter("n_chars <> length(text)").count() == 0
+            # Whole copies keep no line and go; what was empty stays.
+            words = r"text rlike '[^\\x20\\x09-\\x0D]'"
+            lost = lines.digest(docs).filter("n_lines > n_dropped").count()
+            assert lost <= done.count() <= docs.count() and done.filter("n_chars <> length(text)").count() == 0
+            bare = docs.filter(f"text is null or not ({words})").count()
+            assert done.filter(f"text is null or not ({words})").count() == bare
             assert lines.digest(done).filter("n_dropped > 0").count() == 0
         if name == "ngram_jaccard":
             found = jaccard.digest(docs)
@@ -44,3 +49,16 @@ def test_run_is_all_stages(spark):
     done = corpus_pipeline.run(spark, SMALL)
     assert done.columns == mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet")).columns
     assert 0 < done.count() < 200
+
+
+def test_copies_of_a_text_end_as_one_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "A first line of some length here.\nA second line that is long enough too.\nThird line, as long as the others."
+    rows = [(i, text, "en", "s", len(text)) for i in range(6)] + [(6, "Words of its own, and quite a few of them at that.", "en", "s", 50)]
+    rows += [(7, "", "en", "s", 0), (8, None, "en", "s", None), (9, "short\n" + text, "en", "s", len(text) + 6)]
+    docs = spark.createDataFrame(rows, schema)
+    done = corpus_pipeline.line_dedup_stage(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in done.collect()) == [0, 6, 7, 8, 9]
+    assert {r.doc_id: r.text for r in done.collect()}[9] == "short"
+    kept = corpus_pipeline.near_duplicate_stage(spark, done, SMALL)
+    assert sum(r.text == text for r in kept.collect()) == 1
