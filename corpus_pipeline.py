@@ -18,8 +18,12 @@ def toxicity_stage(spark, docs, sf_dir):
 
 
 def line_dedup_stage(spark, docs, sf_dir):
-    """Documents without the lines an earlier one holds; ``n_chars`` follows the text."""
-    done = lines.dedup(docs)
+    """Documents without the lines an earlier one holds; ``n_chars`` follows the text.
+
+    A document that had words and keeps none repeats others as a whole, and goes;
+    one that was empty before stays.
+    """
+    done = lines.dedup(docs, drop_emptied=True)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
