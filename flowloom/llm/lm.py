@@ -3,17 +3,21 @@
 The text becomes blocks of words, numbered within the block. Each block counts
 its own n-grams, known by 64-bit hashes of their words, and sends them, packed and
 dealt by hash, to the count tables; a table adds the counts of all blocks and
-answers every block with the totals of the n-grams it sent. Joined back to the exploded n-grams of the block's documents, the totals
-give a score per word, summed per document. An n-gram goes over the wire once
+answers every block with the totals of the n-grams it sent. One order goes after the other,
+so only one order's counts are under way at a time. Joined back to the exploded n-grams of
+the block's documents, the totals give a score per word, summed per document. An n-gram goes over the wire once
 for each block that has it, so a phrase in every document costs no more than any
 other.
 
 S(w | context) = count(context w) / count(context) if that n-gram was counted at
-least ``CUTOFF`` times, else ``BACKOFF`` * S(w | shorter context); single words
+least ``CUTOFF`` times (a scored document has every n-gram of its own once, so from one on
+nothing would ever back off), else ``BACKOFF`` * S(w | shorter context); single words
 have their share of all words. Every word counts as itself, however rare; only a
 caller that names a vocabulary size gets one unknown word for the rest.
 """
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +36,7 @@ UNKNOWN = b""
 BLOCK_WORDS = 1_000_000
 TABLE_KEYS = 1_500_000
 COUNTED = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # An odd multiplier and the final mix of the n-gram hashes.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -146,28 +151,27 @@ def _steps(keys):
     return np.diff(keys, prepend=np.uint64(0))
 
 
-def _send(order, tables):
-    """Each block's own n-gram counts, packed per table."""
+def _send(n, tables):
+    """Each block's own counts of n-grams, packed per table."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, sizes = _hashes(row), np.array(row["sizes"], np.int64)
-                for n in range(1, order + 1):
-                    keys, counts = np.unique(grams(hashes, sizes, n)[0], return_counts=True)
-                    owner = _deal(keys, tables)
-                    for table in np.unique(owner):
-                        own = owner == table
-                        yield pa.record_batch(
-                            [
-                                pa.array([n], pa.int32()),
-                                pa.array([table], pa.int32()),
-                                pa.array([row["block"]], pa.int64()),
-                                pa.array([_pack(_steps(keys[own]))], pa.binary()),
-                                pa.array([_pack(counts[own].astype(np.uint32))], pa.binary()),
-                            ],
-                            names=["n", "part", "block", "keys", "counts"],
-                        )
+                keys, counts = np.unique(grams(hashes, sizes, n)[0], return_counts=True)
+                owner = _deal(keys, tables)
+                for table in np.unique(owner):
+                    own = owner == table
+                    yield pa.record_batch(
+                        [
+                            pa.array([n], pa.int32()),
+                            pa.array([table], pa.int32()),
+                            pa.array([row["block"]], pa.int64()),
+                            pa.array([_pack(_steps(keys[own]))], pa.binary()),
+                            pa.array([_pack(counts[own].astype(np.uint32))], pa.binary()),
+                        ],
+                        names=["n", "part", "block", "keys", "counts"],
+                    )
 
     return run
 
@@ -231,6 +235,17 @@ def _scores(order, tables, total, backoff, cutoff):
     return run
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark):
+    """What a query inside shuffled is deleted when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def score(docs, order=ORDER, size=None, backoff=BACKOFF, cutoff=CUTOFF, block_words=BLOCK_WORDS, table_keys=TABLE_KEYS):
     """doc_id, n_words, log_score and mean_log_score of every row of ``docs``.
 
@@ -247,8 +262,13 @@ def score(docs, order=ORDER, size=None, backoff=BACKOFF, cutoff=CUTOFF, block_wo
     blocks = scratch.materialise(rows.mapInArrow(_number(known, block_words), schema), "blocks")
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, v: s + v))).head()[0] or 0
     tables = max(1, -(-total // table_keys))
-    sent = blocks.mapInArrow(_send(order, tables), "n int, part int, block long, keys binary, counts binary")
-    answers = sent.groupBy("n", "part").applyInArrow(_total, "block long, n int, part int, totals binary")
+    answers = None
+    with _shuffles_removed(docs.sparkSession):
+        for n in range(1, order + 1):
+            sent = blocks.mapInArrow(_send(n, tables), "n int, part int, block long, keys binary, counts binary")
+            totals = sent.groupBy("n", "part").applyInArrow(_total, "block long, n int, part int, totals binary")
+            totals = scratch.materialise(totals, "totals")
+            answers = totals if answers is None else answers.unionByName(totals)
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))
     ready = blocks.join(answers, "block", "left")
     scored = ready.mapInArrow(
