@@ -222,6 +222,26 @@ def s16(spark, sf):
     return scan.load_cleaned(spark, [f"{folder}/{name}.parquet" for name in parts])[0]
 
 
+@query(
+    "s16_csv_folders",
+    fx.with_sql(
+        FLOWS,
+        """SELECT flow_key, qty, CASE WHEN label = 1 THEN price END AS price, label AS "Label",
+                  'string double double int' AS kinds FROM flows""",
+    ),
+)
+def s16_csv(spark, sf):
+    """Folders of CSV files under two headers, the types of all found together."""
+    df = fx.flows(spark, sf).withColumnRenamed("label", "Label")
+    folder = scratch.new_path(spark, "folder")
+    df.filter(F.col("Label") == 0).select("flow_key", "qty", "Label").write.option("header", True).csv(f"{folder}/a")
+    df.filter(F.col("Label") == 1).select("flow_key", "qty", "price", "Label").write.option("header", True).csv(f"{folder}/b")
+    rows, _ = scan.load_cleaned(spark, [f"{folder}/a", f"{folder}/b"])
+    kinds = dict(rows.dtypes)
+    found = " ".join(kinds[c] for c in ("flow_key", "qty", "price", "Label"))
+    return rows.select("flow_key", "qty", "price", "Label", F.lit(found).alias("kinds"))
+
+
 @query(
     "s14_encode_flow",
     fx.with_sql(

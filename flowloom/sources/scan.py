@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.operators.ordering import sorted_ordinal
+from flowloom.operators.ordering import first_per
 from flowloom.operators.sampling import exact_n
 from flowloom.sources import scratch
 
@@ -85,19 +85,25 @@ def headers(spark, paths, threads=32):
 
     Only that line is read, by the file system client, so no job runs per file.
     """
+    with ThreadPoolExecutor(threads) as pool:
+        lines = list(pool.map(lambda p: _first_line(spark, p), paths))
+    return {p: _fields(x) for p, x in zip(paths, lines)}
 
-    def first_line(path):
-        system, target = scratch.filesystem(spark, path)
-        stream = system.open(target)
-        try:
-            java = spark.sparkContext._jvm.java.io
-            return java.BufferedReader(java.InputStreamReader(stream, "UTF-8")).readLine()
-        finally:
-            stream.close()
 
-    with ThreadPoolExecutor(threads) as pool:
-        lines = list(pool.map(first_line, paths))
-    return {p: next(csv.reader([x.lstrip("\ufeff")])) if x else [] for p, x in zip(paths, lines)}
+def _fields(line):
+    return next(csv.reader([line.lstrip("\ufeff")])) if line else []
+
+
+def _first_line(spark, path):
+    system, target = scratch.filesystem(spark, path)
+    jvm = spark.sparkContext._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(system.getConf()).getCodec(target)
+    stream = system.open(target)
+    try:
+        text = codec.createInputStream(stream) if codec else stream
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
 
 
 def _scans(spark, paths, columns, header):
@@ -162,8 +168,8 @@ def header(spark, path):
 
 
 def cap_per_file(df, n, order_by, file="source_file"):
-    """The first n rows of every file, exactly."""
-    return sorted_ordinal(df, order_by, (file,), "_at").filter(F.col("_at") < n).drop("_at")
+    """The first n rows of every file, exactly; only rows near the cut are put in order."""
+    return first_per(df, n, order_by, (file,))
 
 
 def sample_per_file(df, key, n, file="source_file", seed=42):
@@ -173,7 +179,8 @@ def sample_per_file(df, key, n, file="source_file", seed=42):
 
 def early_stop_sample(df, key, n, order_by, file="source_file", slack=1.2, seed=42):
     """n random rows out of the first n * slack of every file."""
-    return sample_per_file(cap_per_file(df, int(n * slack), order_by, file), key, n, file, seed)
+    head = scratch.materialise(cap_per_file(df, int(n * slack), order_by, file), "head")
+    return sample_per_file(head, key, n, file, seed)
 
 
 def row_counts(df, file="source_file"):
@@ -186,6 +193,76 @@ def row_counts(df, file="source_file"):
     )
 
 
+#: Kinds of CSV values as bits, so that the kind of a column is one ``bit_or`` over all files.
+WHOLE, LONG, REAL, TRUTH, DAY, TIME, TEXT = (1 << i for i in range(7))
+DIGITS = r"^[+-]?\d+$"
+DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+MOMENT = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}"
+
+
+def _kind(value):
+    """The bit of a text value; NULL and empty text are of no kind."""
+    whole = value.rlike(DIGITS)
+    return (
+        F.when(value.isNull() | (value == ""), 0)
+        .when(whole & value.try_cast("int").isNotNull(), WHOLE)
+        .when(whole & value.try_cast("bigint").isNotNull(), LONG)
+        .when(value.try_cast("double").isNotNull(), REAL)
+        .when(F.lower(value).isin("true", "false"), TRUTH)
+        .when(value.rlike(DATE) & value.try_cast("date").isNotNull(), DAY)
+        .when(value.rlike(MOMENT) & value.try_cast("timestamp").isNotNull(), TIME)
+        .otherwise(TEXT)
+    )
+
+
+def _type_of(bits):
+    """The smallest type that holds every kind in ``bits``."""
+    for kinds, name in (
+        (WHOLE, "int"), (WHOLE | LONG, "bigint"), (WHOLE | LONG | REAL, "double"),
+        (TRUTH, "boolean"), (DAY, "date"), (DAY | TIME, "timestamp"),
+    ):
+        if bits and not bits & ~kinds:
+            return name
+    return "string"
+
+
+def typed(rows, columns):
+    """``rows`` with its text columns cast to the types that all their values have.
+
+    One job reads all rows, whatever the number of files they come from; each task
+    returns one row of bits. Whole numbers are int or bigint, with others double; dates
+    with times are timestamps; any other mix, and a column without a value, is text.
+    """
+    bits = rows.agg(*[F.bit_or(_kind(F.col(f"`{c}`"))).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    kinds = {c: _type_of(bits[f"k{i}"] or 0) for i, c in enumerate(columns)}
+    return rows.withColumns({c: F.col(f"`{c}`").try_cast(k) for c, k in kinds.items() if k != "string"})
+
+
+def _numbered(names):
+    """Names as they are; those that come more than once get their position."""
+    return tuple(f"{n}{i}" if names.count(n) > 1 else n for i, n in enumerate(names))
+
+
+def _csv_files(spark, path):
+    """(header, files) of a CSV file or of a folder of such files."""
+    system, target = scratch.filesystem(spark, path)
+    files = [path]
+    if system.getFileStatus(target).isDirectory():
+        inside = [s.getPath() for s in system.listStatus(target) if s.isFile() and s.getLen()]
+        files = sorted(p.toString() for p in inside if p.getName()[0] not in "_.")
+    lines = [_first_line(spark, p) for p in files]
+    return [(_numbered(_fields(line)), p) for line, p in zip(lines, files) if line]
+
+
+def _csv_frame(spark, groups):
+    """Files of all headers as one typed frame: one scan per header, one job for all types."""
+    frames = [_lines(spark, paths, list(names), True).drop("_long", "source_file") for names, paths in groups.items()]
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame, allowMissingColumns=True)
+    return typed(rows, rows.columns)
+
+
 def _aligned(frames):
     """The frames with one type per column: double for different numbers, else text."""
     kinds = {}
@@ -200,33 +277,58 @@ def _aligned(frames):
     return [f.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in common.items() if c in f.columns}) for f in frames]
 
 
-def load_cleaned(spark, paths, label="Label"):
-    """(rows, skipped): cleaned files stacked by column name.
+def load_cleaned(spark, paths, label="Label", threads=32):
+    """(rows, skipped): cleaned files, or folders of such, stacked by column name.
 
     ``skipped`` lists (path, reason) of the files that cannot be opened or have
-    no label; no usable file at all is an error. A column that is a number here
-    and text there is text, different kinds of numbers are doubles.
+    no label; no usable file at all is an error. Only the first lines and footers are
+    looked at file by file, by ``threads`` at a time: CSV files with equal headers are one
+    scan, Parquet files with equal schemas too, and one job finds the types of all CSV
+    columns (``typed``). A column that is a number here and text there is text; whole
+    numbers of one CSV column that need it are bigint, other different kinds doubles.
     """
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     from flowloom.operators.clean import concat
 
-    frames, skipped = [], []
-    for p in paths:
+    def look(path):
         try:
-            reader = spark.read
-            frame = (
-                reader.parquet(p)
-                if p.endswith(".parquet")
-                else reader.option("header", True).option("inferSchema", True).csv(p)
-            )
+            if path.endswith(".parquet"):
+                return [(spark.read.parquet(path).schema, path)]
+            return _csv_files(spark, path)
         except PySparkException as error:
-            skipped.append((p, error.getCondition() or str(error).splitlines()[0]))
+            return error.getCondition() or str(error).splitlines()[0]
+        except Py4JJavaError as error:
+            missing = "FileNotFound" in error.java_exception.getClass().getName()
+            return "PATH_NOT_FOUND" if missing else str(error.java_exception.getMessage())
+
+    with ThreadPoolExecutor(threads) as pool:
+        seen = list(pool.map(look, paths))
+    groups, tables, order, skipped = {}, {}, [], []
+    for path, found in zip(paths, seen):
+        if isinstance(found, str):
+            skipped.append((path, found))
             continue
-        if label in frame.columns:
-            frames.append(frame)
+        parquet = path.endswith(".parquet")
+        usable = [(head, p) for head, p in found if label in (head.names if parquet else head)]
+        if not usable:
+            skipped.append((path, f"no {label} column"))
+        for head, file in usable:
+            if parquet:
+                tables.setdefault(head.json(), (head, []))[1].append(file)
+            else:
+                groups.setdefault(head, []).append(file)
+            kind = head.json() if parquet else "csv"
+            if kind not in order:
+                order.append(kind)
+    frames = []
+    for kind in order:
+        if kind == "csv":
+            frames.append(_csv_frame(spark, groups))
         else:
-            skipped.append((p, f"no {label} column"))
+            schema, files = tables[kind]
+            frames.append(spark.read.schema(schema).parquet(*files))
     if not frames:
         raise ValueError(f"no file with a {label} column: {skipped}")
     return concat(_aligned(frames)), skipped

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowloom.operators import sampling, splitting
+from flowloom.operators import ordering, sampling, splitting
 from flowloom.operators.ordering import segments, shuffled_ordinal, sorted_ordinal, top_n
 from flowloom.operators.quantiles import exact_quantiles
 from flowloom.operators.skew import hot_keys, skew_join
@@ -104,3 +105,23 @@ def test_skew_join_salts_hot_keys_and_loses_nothing(spark):
     for how in ("inner", "left"):
         got = sorted(map(tuple, skew_join(facts, lookup, "k", how, hot).collect()), key=str)
         assert got == sorted(map(tuple, facts.join(lookup, "k", how).collect()), key=str)
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "timestamp", "date", "decimal(20,3)", "array<double>"])
+@pytest.mark.parametrize("n", [0, 37, 200])
+def test_first_per_equals_a_window(spark, kind, n):
+    odd = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 4 == 0, 7).otherwise(F.pmod(F.col("id") * 7919, F.lit(997)))
+    value = {
+        "date": F.date_add(F.lit("2024-01-01").cast("date"), odd.cast("int")),
+        "array<double>": F.array(odd.cast("double")),
+        "timestamp": F.timestamp_micros(odd * 1_000_003),
+        "double": F.when(F.col("id") % 13 == 0, F.lit(float("nan"))).when(F.col("id") % 17 == 0, F.lit(float("-inf")))
+        .when(F.col("id") % 19 == 0, F.lit(float("inf"))).otherwise(odd * 1e300 - 4e302),
+        "string": F.concat(F.lit("é" * 2), odd.cast("string")),
+    }.get(kind, odd)
+    file = F.when(F.col("id") % 7 == 0, None).when(F.col("id") < 300, "a").otherwise("b")
+    df = spark.range(600).select("id", file.alias("file"), value.cast(kind).alias("v"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("v", "id"))
+    want = {r.id for r in df.withColumn("r", rank).filter(F.col("r") <= n).collect()}
+    got = [r.id for r in ordering.first_per(df, n, ["v", "id"], ("file",), steps=50).collect()]
+    assert len(got) == len(want) and set(got) == want

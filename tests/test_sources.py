@@ -1,3 +1,4 @@
+import gzip
 import os
 
 import pytest
@@ -61,6 +62,30 @@ def test_cleaned_folder_ignores_unlabelled_files(spark, tmp_path):
         scan.load_cleaned(spark, paths[2:])
 
 
+def test_many_small_csv_files_get_their_types_at_once(spark, tmp_path):
+    for i in range(120):
+        extra, value = (",when", ",2024-01-02" if i % 4 else ",2024-01-02 03:04:05") if i % 2 == 0 else ("", "")
+        number = 3_000_000_000 if i == 7 else i
+        (tmp_path / f"{i:03}.csv").write_text(f"a,b,c,Label{extra}\n{number},{i}.5,{'x' if i == 11 else i},0{value}\n,,,1{',' if extra else ''}\n")
+    (tmp_path / "bare.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt") as out:
+        out.write("a,b,c,Label\n5,1,01,1\n")
+    paths = scan.list_files(spark, str(tmp_path)) + [str(tmp_path / "packed.csv.gz"), str(tmp_path / "gone.csv")]
+    spark.sparkContext.setJobGroup("types", "types")
+    got, skipped = scan.load_cleaned(spark, paths)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("types")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # A listing for each of two headers, and the two stages of one aggregate: not one per file.
+    assert len(jobs) <= 4
+    assert {os.path.basename(p): r for p, r in skipped} == {
+        "bare.csv": "no Label column", "empty.csv": "no Label column", "gone.csv": "PATH_NOT_FOUND"
+    }
+    assert dict(got.dtypes) == {"a": "bigint", "b": "double", "c": "string", "Label": "int", "when": "timestamp"}
+    assert got.count() == 241 and got.filter("c = '01'").count() == 1
+    assert got.filter("a is not null").agg(F.max("a"), F.sum("b")).first()[0] == 3_000_000_000
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string")
     for fmt in ("parquet", "csv", "json"):
