@@ -211,6 +211,9 @@ def _height(df, column):
     value, kind = F.col(f"`{column}`"), df.schema[column].dataType
     if isinstance(kind, (T.NumericType, T.TimestampType)):
         return value.cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+        return (F.unix_date(value.cast("date")) * F.lit(86_400.0)) + seconds
     if isinstance(kind, T.BooleanType):
         return value.cast("int").cast("double")
     if isinstance(kind, T.DateType):

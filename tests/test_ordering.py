@@ -107,7 +107,7 @@ def test_skew_join_salts_hot_keys_and_loses_nothing(spark):
         assert got == sorted(map(tuple, facts.join(lookup, "k", how).collect()), key=str)
 
 
-@pytest.mark.parametrize("kind", ["double", "string", "timestamp", "date", "decimal(20,3)", "array<double>"])
+@pytest.mark.parametrize("kind", ["double", "string", "timestamp", "timestamp_ntz", "date", "decimal(20,3)", "array<double>"])
 @pytest.mark.parametrize("n", [0, 37, 200])
 def test_first_per_equals_a_window(spark, kind, n):
     odd = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 4 == 0, 7).otherwise(F.pmod(F.col("id") * 7919, F.lit(997)))
@@ -115,6 +115,7 @@ def test_first_per_equals_a_window(spark, kind, n):
         "date": F.date_add(F.lit("2024-01-01").cast("date"), odd.cast("int")),
         "array<double>": F.array(odd.cast("double")),
         "timestamp": F.timestamp_micros(odd * 1_000_003),
+        "timestamp_ntz": F.timestamp_micros(odd * 40_000_000_003),
         "double": F.when(F.col("id") % 13 == 0, F.lit(float("nan"))).when(F.col("id") % 17 == 0, F.lit(float("-inf")))
         .when(F.col("id") % 19 == 0, F.lit(float("inf"))).otherwise(odd * 1e300 - 4e302),
         "string": F.concat(F.lit("é" * 2), odd.cast("string")),
