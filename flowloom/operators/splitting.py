@@ -16,7 +16,8 @@ def _named(column, names):
 
 def _edges(shares, size):
     """Cut positions floor(n * running share), without float drift."""
-    total, out = 0.0, []
+    # As a long: a count of a few hundred thousand times ten thousand is no int.
+    total, out, size = 0.0, [], size.cast("long")
     for share in shares[:-1]:
         total += share
         out.append(F.floor(size * F.lit(int(round(total * 10_000))) / F.lit(10_000)))

@@ -126,3 +126,10 @@ def test_first_per_equals_a_window(spark, kind, n):
     want = {r.id for r in df.withColumn("r", rank).filter(F.col("r") <= n).collect()}
     got = [r.id for r in ordering.first_per(df, n, ["v", "id"], ("file",), steps=50).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_temporal_split_of_many_rows(spark):
+    """A count times ten thousand beyond an int."""
+    got = splitting.temporal(spark.range(310_000).withColumn("v", F.col("id") % 7), "v", "id")
+    counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert counts == {"train": 217_000, "val": 46_500, "test": 46_500}
