@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,31 @@ def test_replay_keeps_rows_without_an_order_key(spark, tmp_path):
     assert len([f for f in (tmp_path / "b").glob("part-*.txt") if f.stat().st_size]) >= 5 and spark.read.text(str(tmp_path / "b")).count() == 50
     detect.replay(lines.limit(0), str(tmp_path / "c"), "at")
     assert spark.read.text(str(tmp_path / "c")).count() == 0
+
+
+def test_keys_of_a_bucket_share_one_read_and_one_write_of_state():
+    calls, held = [], []
+
+    class Rows:
+        def get(self):
+            calls.append("get")
+            return iter(held)
+
+        def put(self, rows):
+            calls.append("put")
+            held[:] = rows
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Rows()
+
+    state = detect.Buckets(["flow_id", "k", "seq", "features"], "_key", ["seq", "flow_id"], 1, 3)
+    state.init(Handle())
+    got = {}
+    for batch in range(3):
+        at = [(batch * 4 + i, k) for k in range(50) for i in (1, 0, 2, 3)]
+        rows = pd.DataFrame({"flow_id": [a for a, _ in at], "k": [k for _, k in at], "seq": [a for a, _ in at], "features": [[a + k / 100] for a, k in at], "_key": [str(k) for _, k in at], "_bucket": 0})
+        for out in state.handleInputRows((0,), iter([rows[:70], rows[70:]]), None):
+            got |= {(r.k, r.flow_id): r.buffer for r in out.itertuples()}
+    assert calls == ["get", "put"] * 3 and len(held) == 50
+    assert got == {(k, a): [[x + k / 100] for x in range(max(0, a - 2), a + 1)] for k in range(50) for a in range(12)}
