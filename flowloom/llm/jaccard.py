@@ -253,7 +253,11 @@ def stars(placed):
 
 
 def _multiplied(unit):
-    """Shared columns of the pairs between two chunks of rows of one block."""
+    """Shared columns of the pairs between two chunks of rows of one block.
+
+    ``all`` is the number of columns a row has in all blocks: a pair leaves the task
+    only if what the two may share elsewhere could still lift it over the bounds.
+    """
     shingles = np.unique(unit["shingle"].to_numpy())
     sides = []
     for left in (True, False):
@@ -262,10 +266,12 @@ def _multiplied(unit):
         order = np.argsort(column, kind="stable")
         keys, first, place = np.unique(rows["key"].to_numpy(), return_index=True, return_inverse=True)
         main = rows["main"].to_numpy(zero_copy_only=False)
+        # Columns that a row has in other blocks, or that the unit with the sides changed counts.
+        apart = rows["all"].to_numpy()[first] - np.bincount(place[main != left], minlength=len(keys))
         sides.append(
-            (keys, rows["n"].to_numpy()[first], rows["component"].to_numpy()[first], place[order], column[order], main[order])
+            (keys, rows["n"].to_numpy()[first], rows["component"].to_numpy()[first], apart, place[order], column[order], main[order])
         )
-    (ka, na, ca, row_a, col_a, _), (kb, nb, cb, row_b, col_b, main) = sides
+    (ka, na, ca, else_a, row_a, col_a, _), (kb, nb, cb, else_b, row_b, col_b, main) = sides
     total = np.zeros(len(ka) * len(kb), np.int64)
     width = np.bincount(col_b, minlength=len(shingles))
     start = np.cumsum(width) - width
@@ -282,6 +288,13 @@ def _multiplied(unit):
     i, j = np.divmod(np.flatnonzero(total), max(len(kb), 1))
     fits = (na[i] * 5 >= nb[j] * 4) & (nb[j] * 5 >= na[i] * 4) & (ca[i] != cb[j])
     i, j = i[fits], j[fits]
+    here = total[i * len(kb) + j]
+    # Of a pair in falling order a column outside the main component on both sides counts in the other unit.
+    rest_a = np.where(ka[i] < kb[j], else_a[i], else_a[i] + np.bincount(row_a, minlength=len(ka))[i] - here)
+    most = here + np.minimum(rest_a, else_b[j])
+    beyond_prefix = np.maximum((4 * na[i] + 4) // 5, (4 * nb[j] + 4) // 5) - 1
+    fits = (most + beyond_prefix) * 9 >= (na[i] + nb[j]) * 4
+    i, j = i[fits], j[fits]
     swap = ka[i] > kb[j]
     return pa.table(
         {
@@ -302,7 +315,8 @@ def product(placed, labels):
     rows of a block outside the largest component of their column are multiplied
     with all its rows, a pair of chunks of about ``UNIT`` rows at a time. Sums
     count common prefix shingles; what lies beyond the prefix can add at most its
-    length.
+    length, and other blocks at most the columns that a row has there, so that a
+    block gives out only pairs that may still be similar enough.
     """
     tagged = placed.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     column = Window.partitionBy("shingle")
@@ -313,7 +327,8 @@ def product(placed, labels):
         .withColumn("main", F.col("component") == F.col("_most"))
         .withColumn("_other", F.max(~F.col("main")).over(column))
         .filter("_other")
-        .select("shingle", "key", "n", "component", "main", F.col("_hub.key").alias("_hub"))
+        .withColumn("all", F.count("*").over(Window.partitionBy("key")))
+        .select("shingle", "key", "n", "component", "main", "all", F.col("_hub.key").alias("_hub"))
     )
     mixed = scratch.materialise(mixed, "mixed-columns")
     blocks = mixed.select("_hub", "key").distinct().count() // UNIT + 1
@@ -328,7 +343,7 @@ def product(placed, labels):
         {"_i": F.pmod(F.xxhash64("key"), F.col("_l")), "_j": F.pmod(F.xxhash64(F.lit(1), "key"), F.col("_r"))}
     )
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ["shingle", "key", "n", "component", "main"]
+    kept = ["shingle", "key", "n", "component", "main", "all"]
     left = dealt.filter("not main").select("block", "_i", every("_r").alias("_j"), *kept, F.lit(True).alias("left"))
     right = dealt.select("block", every("_l").alias("_i"), "_j", *kept, F.lit(False).alias("left"))
     units = left.unionByName(right).groupBy("block", "_i", "_j")

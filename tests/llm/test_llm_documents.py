@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -130,6 +131,24 @@ def test_jaccard_equals_brute_force(docs, rows):
     assert Counter(tuple(r) for r in jaccard.digest(docs).collect()) == want
 
 
+def test_jaccard_product_gives_out_only_pairs_that_may_be_similar():
+    # Of 100 shingles each, a pair must share 10 of the prefix; "all" tells how many columns lie in other blocks.
+    def unit(shared, extra):
+        rows = [(s, key, 100, key, False, shared + extra, left) for s in range(shared) for key in (1, 2) for left in (True, False)]
+        return pa.table(dict(zip(["shingle", "key", "n", "component", "main", "all", "left"], zip(*rows))))
+
+    made = lambda *x: jaccard._multiplied(unit(*x)).to_pylist()
+    assert made(9, 0) == [] and made(5, 4) == []
+    assert made(10, 0) == [{"a": 1, "b": 2, "na": 100, "nb": 100, "common": 10}]
+    assert [r["common"] for r in made(5, 5)] == [5]
+
+    # A row that is linked elsewhere counts on one side only: nothing it shares is lost.
+    mixed = [(s, key, 100, key, main, 10, left) for s in range(10) for key, main in ((2, False), (1, s < 6)) for left in (True, False) if not (left and main)]
+    names = ["shingle", "key", "n", "component", "main", "all", "left"]
+    found = jaccard._multiplied(pa.table(dict(zip(names, zip(*mixed))))).to_pylist()
+    assert sum(r["common"] for r in found) == 10
+
+
 @pytest.mark.parametrize("unit", [1000, 16])
 def test_jaccard_links_a_large_group_of_near_copies(spark, unit, monkeypatch):
     monkeypatch.setattr(jaccard, "UNIT", unit)
