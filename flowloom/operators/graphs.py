@@ -1,6 +1,7 @@
 """Graphs of flows and of hosts, and propagation of features along edges."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,46 +46,77 @@ def host_features(flows, src, dst, columns):
     return endpoints(flows, src, dst).groupBy("node").agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def host_labels(flows, src, dst, label, order):
-    """Majority label per host; a tie goes to the label that was seen first."""
-    votes = (
-        endpoints(flows, src, dst)
-        .groupBy("node", label)
-        .agg(
-            F.count(F.lit(1)).alias("votes"),
-            F.min(F.struct(*[F.col(c) for c in order], F.col("side"))).alias("seen"),
-        )
-    )
-    return votes.groupBy("node").agg(
-        F.min_by(label, F.struct(-F.col("votes"), F.col("seen"))).alias(label)
-    )
+FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def host_ids(flows, src, dst):
-    """(node, node_id): hosts numbered in sorted order."""
-    return sorted_ordinal(hosts(flows, src, dst), ["node"], (), "node_id")
+def host_votes(flows, src, dst, columns, label, order):
+    """Per host and label the votes, the least value of the first ``order`` column, sums and counts.
+
+    What decides most ties has a fixed width, so rows are hashed and neither sorted nor
+    sent with the whole order; ``_open`` tells of a missing value, which comes first.
+    """
+    dated = isinstance(flows.schema[order[0]].dataType, FIXED_WIDTH)
+    votes = endpoints(flows, src, dst).groupBy("node", label).agg(
+        F.count(F.lit(1)).alias("_votes"),
+        *([F.min(order[0]).alias("_early"), F.max(F.col(order[0]).isNull()).alias("_open")] if dated else []),
+        *[F.sum(c).alias(f"_s_{c}") for c in columns],
+        *[F.count(c).alias(f"_n_{c}") for c in columns],
+    )
+    early = F.when(~F.col("_open"), F.col("_early")) if dated else F.lit(None)
+    return votes.withColumns({"_open": F.col("_open") if dated else F.lit(True), "_early": early})
 
 
 def host_nodes(flows, src, dst, columns, label, order):
-    """(node, label, mean features): one row per host, from one pass over the flows.
+    """(node, label, mean features): one row per host.
 
     Sums and votes are taken per host and label first, which also splits a busy
-    host between the map sides of both shuffles.
+    host between the map sides of both shuffles. Only hosts whose first labels have as
+    many votes and start at the same value of the first ``order`` column are read again,
+    by the whole order.
     """
-    per_label = (
-        endpoints(flows, src, dst)
-        .groupBy("node", label)
-        .agg(
-            F.count(F.lit(1)).alias("_votes"),
-            F.min(F.struct(*[F.col(c) for c in order], F.col("side"))).alias("_seen"),
-            *[F.sum(c).alias(f"_s_{c}") for c in columns],
-            *[F.count(c).alias(f"_n_{c}") for c in columns],
-        )
+    host = Window.partitionBy("node")
+    place = F.struct((-F.col("_votes")).alias("votes"), (~F.col("_open")).alias("known"), "_early")
+    leading = (
+        host_votes(flows, src, dst, columns, label, order)
+        .withColumns({"_place": place, "_best": F.min(place).over(host)})
+        .withColumns({c: F.try_divide(F.sum(f"_s_{c}").over(host), F.sum(f"_n_{c}").over(host)) for c in columns})
+        .filter(F.col("_place") == F.col("_best"))
+        .withColumn("_tied", F.count(F.lit(1)).over(host))
+        .select("node", label, *columns, "_early", "_tied")
+    )
+    leading = scratch.materialise(leading, "hosts")
+    tied = leading.filter("_tied > 1")
+    if tied.isEmpty():
+        return leading.select("node", label, *columns)
+    asked = scratch.broadcast_if_small(
+        tied.select(F.col("node").alias("_node"), F.col(label).alias("_label"), F.col("_early").alias("_from"))
     )
-    return per_label.groupBy("node").agg(
-        F.min_by(label, F.struct(-F.col("_votes"), F.col("_seen"))).alias(label),
-        *[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(c) for c in columns],
+    same = F.col("node").eqNullSafe(F.col("_node")) & F.col(label).eqNullSafe(F.col("_label"))
+    if isinstance(flows.schema[order[0]].dataType, FIXED_WIDTH):
+        same = same & F.col(order[0]).eqNullSafe(F.col("_from"))
+    ends = endpoints(flows.select(*dict.fromkeys([src, dst, label, *order])), src, dst)
+    seen = ends.join(asked, same).groupBy("_node", "_label").agg(
+        F.min(F.struct(*[F.col(c) for c in order], F.col("side"))).alias("_seen")
     )
+    won = scratch.materialise(seen.groupBy("_node").agg(F.min_by("_label", "_seen").alias("_label")), "hosts")
+    same = F.col("node").eqNullSafe(F.col("_node")) & F.col(label).eqNullSafe(F.col("_label"))
+    settled = leading.filter("_tied = 1").unionByName(tied.join(won, same, "left_semi"))
+    return settled.select("node", label, *columns)
+
+
+def host_labels(flows, src, dst, label, order):
+    """Majority label per host; a tie goes to the label that was seen first."""
+    return host_nodes(flows, src, dst, [], label, order)
+
+
+def host_ids(flows, src, dst):
+    """(node, node_id): hosts numbered in sorted order."""
+    return sorted_ordinal(hosts(flows, src, dst), ["node"], (), "node_id")
+
+
+def numbered(nodes):
+    """``nodes`` with ``node_id``, hosts in sorted order; a host without an address takes a number and goes."""
+    return sorted_ordinal(nodes, ["node"], (), "node_id").filter(F.col("node").isNotNull())
 
 
 def host_edges(flows, src, dst, columns, ids=None):
@@ -100,9 +132,8 @@ def host_graph(flows, src, dst, columns, label, order):
     flow's own features; parallel edges are kept. Who needs one of the two calls
     ``host_nodes`` or ``host_edges``.
     """
-    ids = host_ids(flows, src, dst)
-    nodes = host_nodes(flows, src, dst, columns, label, order).join(ids, "node")
-    return nodes, host_edges(flows, src, dst, columns, ids)
+    nodes = numbered(host_nodes(flows, src, dst, columns, label, order))
+    return nodes, host_edges(flows, src, dst, columns, nodes.select("node", "node_id"))
 
 
 def edge_ids(flows, ids, src, dst):

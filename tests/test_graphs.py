@@ -131,3 +131,40 @@ def test_host_nodes_equal_means_and_votes(spark):
     means = {r["node"]: r["x"] for r in graphs.host_features(flows, "s", "d", ["x"]).collect()}
     labels = {r["node"]: r["label"] for r in graphs.host_labels(flows, "s", "d", "label", ["id"]).collect()}
     assert got.keys() == means.keys() and all(got[n] == (labels[n], pytest.approx(means[n])) for n in got)
+
+
+def test_host_votes_are_hashed_not_sorted(spark):
+    flows = spark.createDataFrame([(1, "x", "a", "b", 2.0, 0)], "t long, k string, s string, d string, x double, label int")
+    votes = graphs.host_votes(flows, "s", "d", ["x"], "label", ["t", "k"])
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("order", [["t", "k"], ["k", "t"], ["t"], ["k"]])
+def test_host_ties_follow_the_whole_order(spark, order):
+    rng = np.random.default_rng(3)
+    pick = lambda values: values[rng.integers(len(values))]
+    rows = [
+        (i, pick([None, 1, 2]), pick([None, "x", "y"]), pick([None, "a", "b", "c", f"h{i}"]), pick([None, "a", f"g{i % 40}"]), pick([None, 0, 1]), pick([None, 1.0, 3.0]))
+        for i in range(400)
+    ]
+    flows = spark.createDataFrame(rows, "i long, t long, k string, s string, d string, label int, x double")
+    order = [*order, "i"]
+    low = lambda v: (v is not None, v if v is not None else 0)
+    votes, sums = {}, {}
+    for r in flows.collect():
+        for side, node in ((0, r.s), (1, r.d)):
+            seen = (*[low(r[c]) for c in order], side)
+            n, first = votes.setdefault(node, {}).get(r.label, (0, seen))
+            votes[node][r.label] = (n + 1, min(first, seen))
+            sums.setdefault(node, []).extend([] if r.x is None else [r.x])
+    want = {
+        node: (min(v, key=lambda y: (-v[y][0], v[y][1])), sum(sums[node]) / len(sums[node]) if sums[node] else None)
+        for node, v in votes.items()
+    }
+    nodes = graphs.host_nodes(flows, "s", "d", ["x"], "label", order)
+    got = [tuple(r) for r in nodes.collect()]
+    assert len(got) == len(want) and {n: (y, x) for n, y, x in got} == want
+    assert {r.node: r.label for r in graphs.host_labels(flows, "s", "d", "label", order).collect()} == {n: y for n, (y, _) in want.items()}
+    ids = {r.node: r.node_id for r in graphs.numbered(nodes).collect()}
+    assert ids == {r.node: r.node_id for r in graphs.host_ids(flows, "s", "d").collect() if r.node is not None}
