@@ -176,10 +176,15 @@ def active_learning(
             else:
                 links = scratch.materialise(knn_extend(links, rows(known), rows(chosen), key, "_x", k), path=linked)
             count = labeled.count()
-            smoothed = smooth(nodes, labeled, key, columns, k, hops, edges, links)
-            features = scratch.materialise(smoothed, "al")
-            model = fit_graph_classifier(features.join(labeled, key, "left_semi"), columns)
-            test = score(model, features.join(labeled, key, "left_anti"))
+            if edges == "all":
+                features = scratch.materialise(smooth(nodes, labeled, key, columns, k, hops, edges, links), "al")
+                train, test = (features.join(labeled, key, how) for how in ("left_semi", "left_anti"))
+            else:
+                # Other rows keep their own features, so only the labelled ones are written.
+                pool, test = (nodes.join(labeled, key, how) for how in ("left_semi", "left_anti"))
+                train = scratch.materialise(graphs.propagate(pool, links, key, columns, hops), "al")
+            model = fit_graph_classifier(train, columns)
+            test = score(model, test)
             scored = scratch.materialise(test.select(key, "label", "prob", "y_pred"), "al")
             result = evaluate(scored)
             history.append(

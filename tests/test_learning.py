@@ -43,6 +43,21 @@ def test_rounds_grow_the_labelled_set(blobs):
     assert all(r["test_auc"] > 0.8 for r in history)
 
 
+def test_a_round_writes_features_of_labelled_rows_only(blobs, monkeypatch):
+    written, columns = [], ["a", "b", "c"]
+    keep = learning.scratch.materialise
+
+    def record(df, *args, **kwargs):
+        table = keep(df, *args, **kwargs)
+        if set(columns) <= set(table.columns):
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(learning.scratch, "materialise", record)
+    learning.active_learning(blobs, "id", columns, k=3, rounds=3, hops=2)
+    assert written == [400, 20, 28, 36]
+
+
 def test_edges_among_all_rows_smooth_the_test_rows_too(blobs):
     labeled = blobs.filter("id < 100").select("id")
     columns = ["a", "b", "c"]
