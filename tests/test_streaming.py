@@ -250,3 +250,73 @@ def test_keys_of_a_bucket_share_one_read_and_one_write_of_state():
             got |= {(r.k, r.flow_id): r.buffer for r in out.itertuples()}
     assert calls == ["get", "put"] * 3 and len(held) == 50
     assert got == {(k, a): [[x + k / 100] for x in range(max(0, a - 2), a + 1)] for k in range(50) for a in range(12)}
+
+
+class Handle:
+    """State of one bucket, and the calls that it answers."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.held)
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.held = rows
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_keys_of_a_bucket_that_expire_share_one_state_and_one_timer():
+    handle = Handle()
+    state = detect.Buckets(["flow_id", "features"], "_key", ["flow_id"], 2, 3, 1000, packed=True)
+    state.init(handle)
+    for batch in range(3):
+        rows = pd.DataFrame({"flow_id": range(100), "features": [[1.0, i] for i in range(100)], "_ms": 500 * batch + 500, "_key": [str(i % 50) for i in range(100)], "_bucket": 0})
+        outs = list(state.handleInputRows((0,), iter([rows]), handle))
+        assert sum(map(len, outs)) == 100
+    # One timer, for whichever key expires first, and 50 keys in one list.
+    assert handle.calls == ["get", "put", "timer", "get", "put", "get", "put"] and handle.timers == [1500]
+    assert len(handle.held) == 50
+    # A row and a buffer are their doubles' bytes, not lists of lists.
+    assert {(at, len(past)) for _, at, past in handle.held} == {(1500, 3 * 2 * 8)}
+    assert np.frombuffer(handle.held[7][2]).reshape(-1, 2).tolist() == [[1.0, 57.0], [1.0, 7.0], [1.0, 57.0]]
+    assert all(isinstance(b, bytes) for b in outs[0]["buffer"])
+
+
+def test_a_batch_of_buffer_graphs_takes_ties_in_order(spark):
+    """Buffers of many lengths, widths and copies in one batch, next to the graph written out."""
+    rng, rows = np.random.default_rng(5), []
+    for n in (1, 2, 3, 9, 12, 12, 12, 50, 50):
+        for width in (2, 3):
+            # Along an axis or zero, so that distances tie exactly.
+            x = np.eye(width + 1, width)[rng.integers(0, width + 1, n)] * rng.integers(1, 3, (n, 1)) if n != 50 else rng.normal(size=(n, width))
+            for last in sorted({n, max(1, n // 2)}):
+                rows.append((len(rows), x.tolist(), last))
+    df = spark.createDataFrame(rows, "id int, buffer array<array<double>>, real int").coalesce(1)
+    got = {r.id: r.smoothed for r in detect.buffer_graph(df, k=4, hops=3).collect()}
+    for i, x, last in rows:
+        x = np.array(x)
+        n, length = len(x), np.linalg.norm(x, axis=1, keepdims=True)
+        unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        gap = 1.0 - unit @ unit.T
+        np.fill_diagonal(gap, np.inf)
+        link = np.eye(n)
+        for a in range(n):
+            link[a, sorted(range(n), key=lambda b: (gap[a, b], b))[: min(4, n - 1)]] = 1
+        degree = link.sum(0)
+        spread = (link / np.sqrt(np.outer(degree, degree))).T
+        assert np.allclose(got[i], (spread @ spread @ spread @ x if n > 2 else x)[last - 1])
