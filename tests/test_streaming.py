@@ -252,6 +252,39 @@ def test_keys_of_a_bucket_share_one_read_and_one_write_of_state():
     assert got == {(k, a): [[x + k / 100] for x in range(max(0, a - 2), a + 1)] for k in range(50) for a in range(12)}
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_keys_that_share_buckets_expire_as_they_would_alone(spark, width):
+    """Seconds as event time, five to live; gaps, late rows, rows without a time, ties with the watermark."""
+    rng, folder, number = np.random.default_rng(width), scratch.new_path(spark, "feed"), 0
+    for batch in range(4):
+        made = []
+        for _ in range(40):
+            at = int(batch * 8 + rng.integers(0, 12))
+            key = None if rng.random() < 0.1 else int(rng.integers(0, 12))
+            x = [float(number)] * (width + (rng.random() < 0.1))
+            made.append((number, x, 0, f"k{key}" if key is not None else None, None if rng.random() < 0.1 else at))
+            number += 1
+        df = spark.createDataFrame(made, "flow_id long, features array<double>, true_label int, key string, seq long")
+        df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("append").text(folder)
+    params = spark.createDataFrame([(i, f"x{i}", 0.0, 1.0, 1.0) for i in range(width)], "pos int, feature string, mean double, std_pop double, scale double")
+    got = []
+    for buckets in (None, 3):
+        d = detect.Detector(
+            params, width, detect.zero_padded(width, 3), lambda df: df.withColumn("prob", F.lit(1.0)), scratch.new_path(spark, "out"),
+            key=["key"], order=["seq"], event="event", ttl_ms=5_000, buckets=buckets,
+        )
+        flows, _ = detect.read_flows(spark, folder, EXTRA, 1)
+        d.run(flows.withColumn("event", F.timestamp_seconds("seq")))
+        bad = spark.read.parquet(f"{d.out}/rejected")
+        got.append((
+            sorted((r.flow_id, r.key or "", r.buffer) for r in d.results(spark).collect()),
+            sorted((r.key or "", r.expired_at, r.expired_rows) for r in d.expired(spark).collect()),
+            sorted(r.flow_id for r in bad.collect()), d.expired(spark).schema, bad.drop("expired_key").columns,
+        ))
+    assert len(got[0][0]) > 40 and len(got[0][1]) > 20
+    assert got[0] == got[1] and "expired_key" not in d.results(spark).columns
+
+
 class Handle:
     """State of one bucket, and the calls that it answers."""
 
